@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from promptsieve.functions.binding import let
 from promptsieve.functions.draws import SPAN, step_draw
 
 Codec = Callable[[Column, Column], Column]
@@ -57,24 +58,30 @@ def base64_carried(text: Column, seed: Column) -> Column:
     return F.replace(carrier, F.lit("{x}"), encoded)
 
 
+def _elementwise(parts: Column, seed: Column, change: Callable[[Column, Column], Column], joiner: str) -> Column:
+    """Join ``change(part, its draw)`` over the parts; the row's draw base is computed once."""
+    return let(seed, lambda base: F.array_join(
+        F.transform(parts, lambda part, i: change(part, step_draw(base, i))), joiner))
+
+
 def char_spacing(text: Column, seed: Column) -> Column:
-    def spread(word, i):
-        hit = (F.length(word) > SPACING_MIN_LENGTH) & (step_draw(seed, i) < SPACING_P)
+    def spread(word, drawn):
+        hit = (F.length(word) > SPACING_MIN_LENGTH) & (drawn < SPACING_P)
         return F.when(hit, F.array_join(_code_points(word), " ")).otherwise(word)
-    return F.array_join(F.transform(F.split(text, " "), spread), " ")
+    return _elementwise(F.split(text, " "), seed, spread, " ")
 
 
 def homoglyph(text: Column, seed: Column) -> Column:
-    def swap(c, i):
-        return F.when(step_draw(seed, i) < HOMOGLYPH_P, F.translate(c, *HOMOGLYPHS)).otherwise(c)
-    return F.array_join(F.transform(_code_points(text), swap), "")
+    def swap(c, drawn):
+        return F.when(drawn < HOMOGLYPH_P, F.translate(c, *HOMOGLYPHS)).otherwise(c)
+    return _elementwise(_code_points(text), seed, swap, "")
 
 
 def zero_width(text: Column, seed: Column) -> Column:
-    def mark(c, i):
-        hit = c.rlike(r"^\p{L}$") & (step_draw(seed, i) < ZERO_WIDTH_P)
+    def mark(c, drawn):
+        hit = c.rlike(r"^\p{L}$") & (drawn < ZERO_WIDTH_P)
         return F.when(hit, F.concat(c, F.lit(ZERO_WIDTH_SPACE))).otherwise(c)
-    return F.array_join(F.transform(_code_points(text), mark), "")
+    return _elementwise(_code_points(text), seed, mark, "")
 
 
 def hex_carried(text: Column, seed: Column) -> Column:

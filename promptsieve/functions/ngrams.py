@@ -5,17 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from promptsieve.functions.binding import let
+
 
 def word_ngrams(tokens: Column, sizes: tuple[int, ...]) -> Column:
     """Space-joined runs of tokens."""
 
-    def runs(n: int) -> Column:
+    def runs(words: Column, n: int) -> Column:
         if n == 1:
-            return tokens
-        starts = F.slice(tokens, 1, F.greatest(F.size(tokens) - (n - 1), F.lit(0)))
-        return F.transform(starts, lambda _, i: F.concat_ws(" ", *[F.get(tokens, i + k) for k in range(n)]))
+            return words
+        starts = F.slice(words, 1, F.greatest(F.size(words) - (n - 1), F.lit(0)))
+        return F.transform(starts, lambda _, i: F.concat_ws(" ", *[F.get(words, i + k) for k in range(n)]))
 
-    return F.concat(*[runs(n) for n in sizes])
+    return let(tokens, lambda words: F.concat(*[runs(words, n) for n in sizes]))
 
 
 def char_ngrams(text: Column, sizes: tuple[int, ...]) -> Column:

@@ -2,13 +2,8 @@
 
 from __future__ import annotations
 
-import unicodedata
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import StringType
 
 # Character classes, written out so that Java, RE2 and Python agree on them.
 WHITESPACE = r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
@@ -24,19 +19,13 @@ WORD_TOKEN = f"[{WORD_CHARS}]+|[^{WORD_CHARS}{WHITESPACE}]"
 SIGNATURE_CHARS = 80
 
 
-def _composer():
-    """Built inside a function, so that it ships by value and workers need no copy of this package."""
-
-    def compose(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
-
-    return pandas_udf(compose, StringType())
-
-
 def nfc(text: Column) -> Column:
-    """Canonical composition. Only texts that could change travel to Python; the rest go as NULL."""
-    suspect = F.when(~text.rlike(f"^[{NFC_STABLE}]*$"), text)
-    return F.coalesce(_composer()(suspect), text)
+    """Canonical composition by the ICU library that Spark ships, called only for texts that could change.
+
+    Spark treats the call as non-deterministic, so it is neither repeated for a filter nor inlined elsewhere.
+    """
+    composed = F.java_method(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), text, F.lit(False))
+    return F.when(text.rlike(f"^[{NFC_STABLE}]*$"), text).otherwise(composed)
 
 
 def normalize(text: Column) -> Column:
