@@ -15,7 +15,7 @@ from promptsieve.operators import augment, dedup, generate, importance, metrics,
 from promptsieve.operators.ranking import exact_sample
 from promptsieve.operators.tfidf import CHAR_BLOCK, WORD_BLOCK
 from promptsieve.plans import corpus, experiment, novel
-from promptsieve.session import shared_dir
+from promptsieve.session import materialized, scratch_path
 from promptsieve.sources import registry, results
 from promptsieve.sources.registry import Source, labelled
 from promptsieve.streaming.dedup import deduplicated
@@ -304,7 +304,7 @@ def q_vocab_char(spark, sf_dir):
 @query
 def q_encode(spark, sf_dir):
     """Vocabulary from the train split, ids for every prompt."""
-    rows = split_prompts(spark, sf_dir)
+    rows = materialized(split_prompts(spark, sf_dir), "split")
     words = vocab.build_vocab(rows.where("split = 'train'"), "word")
     return vocab.encode(rows, words).select("row_id", F.array_join(F.col("ids").cast("array<string>"), " ").alias("ids"))
 
@@ -326,7 +326,7 @@ def q_tfidf_char(spark, sf_dir):
 @query
 def q_tfidf_transform(spark, sf_dir):
     """Both blocks fitted on train, every prompt transformed; a summary of each sparse row."""
-    rows = split_prompts(spark, sf_dir)
+    rows = materialized(split_prompts(spark, sf_dir), "split")
     specs = (WORD_BLOCK, CHAR_BLOCK)
     fitted = tfidf.fit(rows.where("split = 'train'"), *specs)
     sparse = tfidf.sparse_rows(tfidf.weights(rows, fitted, *specs, keep_unknown=True))
@@ -453,7 +453,7 @@ def q_top_tokens_per_prompt(spark, sf_dir):
 def _classifier(spark: SparkSession, sf_dir: str) -> tuple[experiment.Classifier, DataFrame]:
     rows = augment.augment_splits(
         split_prompts(spark, sf_dir).select("split", "row_id", "text", "label", "source"), max_chars=None)
-    rows = rows.withColumn("row_id", F.col("row_id") * 2 + (F.col("label") == 3).cast("int"))
+    rows = materialized(rows.withColumn("row_id", F.col("row_id") * 2 + (F.col("label") == 3).cast("int")), "splits")
     return experiment.train(rows), rows
 
 
@@ -468,7 +468,7 @@ def q_experiment(spark, sf_dir):
     rows = split_prompts(spark, sf_dir).select("split", "row_id", "text", "label")
     fresh = generate.toy_corpus(documents(spark, sf_dir)).select(
         F.lit("novel").alias("split"), (-F.col("row_id") - 1).alias("row_id"), "text", "label")
-    return experiment.experiment(rows.unionByName(fresh))[1]
+    return experiment.experiment(materialized(rows.unionByName(fresh), "experiment"))[1]
 
 
 @query
@@ -483,18 +483,13 @@ def q_model_importance(spark, sf_dir):
     return experiment.corpus_importance(clf, rows)
 
 
-def _scratch(spark: SparkSession, job: str) -> str:
-    run = spark.sql("SELECT uuid()").first()[0]
-    return f"{shared_dir(spark).rstrip('/')}/{job}-{run}"
-
-
 @query
 def q_stream_score(spark, sf_dir):
     clf, _ = _classifier(spark, sf_dir)
     arrivals = (spark.readStream.schema(table(spark, sf_dir, "documents").schema)
                 .option("pathGlobFilter", "documents.parquet").parquet(sf_dir)
                 .select(F.col("doc_id").alias("row_id"), "text"))
-    out = _scratch(spark, "score")
+    out = scratch_path(spark, "score")
     start_scoring(arrivals, clf, f"{out}/scored", f"{out}/state").awaitTermination()
     return spark.read.parquet(f"{out}/scored").select("row_id", "y_pred", "blocked", "confidence")
 
@@ -505,7 +500,7 @@ def q_stream_dedup(spark, sf_dir):
     arrivals = (spark.readStream.schema(table(spark, sf_dir, "events").schema)
                 .option("pathGlobFilter", "events.parquet").parquet(sf_dir)
                 .withColumn("ts", F.col("ts").cast("timestamp")))
-    out = _scratch(spark, "dedup")
+    out = scratch_path(spark, "dedup")
     (deduplicated(arrivals, "ts", "props", "60 days").select("text_key").writeStream.format("parquet")
      .option("path", f"{out}/keys").option("checkpointLocation", f"{out}/state")
      .trigger(availableNow=True).start().awaitTermination())

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from promptsieve.labels import label_names
 from promptsieve.operators import importance, metrics, tfidf
 from promptsieve.operators.tfidf import CHAR_BLOCK, WORD_BLOCK, TermSpec
+from promptsieve.session import materialized
 
 
 @dataclass
@@ -41,7 +42,7 @@ class Classifier:
         return texts.select("row_id", *carry).join(scored, "row_id") if carry else scored
 
 
-def regularization_grid(values: tuple[float, ...] = (1e-4, 1e-3, 1e-2), max_iter: int = 50) -> list[Estimator]:
+def regularization_grid(values: tuple[float, ...] = (1e-3, 1e-2), max_iter: int = 20) -> list[Estimator]:
     return [LogisticRegression(family="multinomial", regParam=r, maxIter=max_iter, weightCol="weight",
                                labelCol="label", featuresCol="features") for r in values]
 
@@ -70,14 +71,14 @@ def best_by_validation(candidates: list[Estimator], train: DataFrame, val: DataF
 def train(rows: DataFrame, specs: tuple[TermSpec, ...] = (WORD_BLOCK, CHAR_BLOCK), binary: bool = False,
           candidates: list[Estimator] | None = None, weighted: bool = True, patience: int = 3,
           log: Callable[[str], None] = lambda _: None) -> Classifier:
-    """Fit features and classifier on split ``train``; choose by split ``val``. ``rows`` has row_id, text, label,
-    split, with ``row_id`` unique."""
+    """Fit features and classifier on split ``train``; choose by split ``val``. ``rows`` is a stored table with
+    row_id, text, label and split, ``row_id`` unique. The fitted features are stored beside it."""
     k = len(label_names(binary))
     if binary:
         rows = rows.withColumn("label", (F.col("label") > 0).cast("int"))
     started = time.perf_counter()
     fit_rows = rows.where(F.col("split") == "train")
-    features = tfidf.fit(fit_rows, *specs).persist(StorageLevel.MEMORY_AND_DISK)
+    features = materialized(tfidf.fit(fit_rows, *specs), "features")
     class_weight = metrics.class_weights(fit_rows, k).select("label", "weight")
     used = rows.where(F.col("split").isin("train", "val"))
     shell = Classifier(specs, features, None, [], 0.0, binary)
