@@ -97,7 +97,7 @@ def max_similarity(candidates: DataFrame, refs: DataFrame, spec: TermSpec | None
         raise ValueError(f"unknown mode {mode!r}")
     spec = spec or similarity_spec()
     small = is_small(candidates) if small is None else small
-    fitted = tfidf.fit(refs, spec, is_placed=True)
+    fitted = tfidf.fit(refs, spec)
     ref_postings = _postings(refs, fitted, spec, "ref", is_placed=True).drop("df")
     cand_postings = _postings(candidates, fitted, spec, "cand")
     if mode == "exact_max":

@@ -1,8 +1,8 @@
 """TF-IDF over word and character n-grams in long form.
 
-Texts are placed by ``row_id`` once, before they are cut into terms; fit and transform share that exchange. Every later per-row step (term counts, norms,
-vectors) groups by ``row_id`` and reuses that placement, so raw text is shuffled once and exploded terms never are.
-Only the fit shuffles terms, combined map-side, and its result is bounded by ``max_features``.
+Terms are counted inside their row. The fit shuffles only (term, count) partial sums, combined map-side, and its result
+is bounded by ``max_features``. For the transform, texts are placed by ``row_id`` before they are cut into terms; norms
+and vectors group by ``row_id`` and reuse that placement, so raw text is shuffled once and exploded terms never are.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from promptsieve.functions.ngrams import char_ngrams, word_ngrams
+from promptsieve.functions.ngrams import char_ngrams, counted, word_ngrams
 from promptsieve.functions.text import WORD_CHARS, truncated, word_tokens
 from promptsieve.operators.lookup import bounded
 from promptsieve.operators.ranking import top_by_count
@@ -61,22 +61,21 @@ def placed(texts: DataFrame) -> DataFrame:
 
 
 def term_counts(texts: DataFrame, *specs: TermSpec) -> DataFrame:
-    """(row_id, block, term, tf) of placed texts; a text without terms keeps one row with NULL term."""
+    """(row_id, block, term, tf), counted inside each row; a text without terms keeps one row with NULL term."""
 
     def tagged(block: int, spec: TermSpec) -> Column:
         tag = F.lit(block).alias("block")
-        return F.transform(spec.terms(F.col("text")), lambda t: F.struct(tag, t.alias("term")))
+        return F.transform(counted(spec.terms(F.col("text"))),
+                           lambda t: F.struct(tag, t["term"].alias("term"), t["tf"].alias("tf")))
 
-    grams = F.concat(*[tagged(b, s) for b, s in enumerate(specs)])
-    return (texts.select("row_id", F.explode_outer(grams).alias("_g"))
-            .groupBy("row_id", F.col("_g.block").alias("block"), F.col("_g.term").alias("term"))
-            .agg(F.count("*").alias("tf")))
+    counts = F.concat(*[tagged(b, s) for b, s in enumerate(specs)])
+    return texts.select("row_id", F.explode_outer(counts).alias("_t")).select("row_id", "_t.*")
 
 
-def fit_block(texts: DataFrame, spec: TermSpec, is_placed: bool = False) -> DataFrame:
+def fit_block(texts: DataFrame, spec: TermSpec) -> DataFrame:
     """(term, idx, df, idf): the most frequent terms, ties by term, indexed in term order."""
     n_docs = texts.agg(F.count("*")).scalar()
-    corpus = (term_counts(texts if is_placed else placed(texts), spec).where(F.col("term").isNotNull())
+    corpus = (term_counts(texts, spec).where(F.col("term").isNotNull())
               .groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("ctf"))
               .where(F.col("df") >= spec.min_df))
     top = top_by_count(corpus, "ctf", spec.max_features, "term")
@@ -84,11 +83,11 @@ def fit_block(texts: DataFrame, spec: TermSpec, is_placed: bool = False) -> Data
                       (F.log((n_docs + 1) / (F.col("df") + 1)) + 1).alias("idf"))
 
 
-def fit(texts: DataFrame, *specs: TermSpec, is_placed: bool = False) -> DataFrame:
+def fit(texts: DataFrame, *specs: TermSpec) -> DataFrame:
     """Blocks side by side: (block, term, idx, df, idf), each block's indices after those of the one before."""
     table, offset = None, 0
     for block, spec in enumerate(specs):
-        part = (fit_block(texts, spec, is_placed).withColumn("block", F.lit(block))
+        part = (fit_block(texts, spec).withColumn("block", F.lit(block))
                 .withColumn("idx", (F.col("idx") + offset).cast("int")))
         table = part if table is None else table.unionByName(part)
         offset += spec.max_features
@@ -114,7 +113,10 @@ def weights(texts: DataFrame, fitted: DataFrame, *specs: TermSpec, is_placed: bo
     raw = (term_counts(texts if is_placed else placed(texts), *specs)
            .join(known, ["block", "term"], "left" if keep_unknown else "inner")
            .withColumn("_raw", damped * F.col("idf")))
-    length = F.sqrt(F.sum(F.col("_raw") * F.col("_raw")).over(Window.partitionBy("row_id", "block")))
+    # one long sort key for all blocks, which Spark sorts by radix
+    length = F.coalesce(*[F.when(F.col("block") == b, F.sqrt(F.sum(
+        F.when(F.col("block") == b, F.col("_raw") * F.col("_raw"))).over(Window.partitionBy("row_id"))))
+        for b in range(len(specs))])
     return raw.select("row_id", "block", "term", "idx", "df", (F.col("_raw") / length).alias("weight"))
 
 

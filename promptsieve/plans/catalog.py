@@ -42,13 +42,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Redistribute a text table only when its scan offers fewer tasks than there are cores, as one file with one row
+    group does. A table of many files passes through unshuffled."""
+    few = df.rdd.getNumPartitions() < df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(key) if few else df
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("row_id"), "text", "source")
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("row_id"), "text", "source")
+    return spread(docs, "row_id")
 
 
 def judged(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    return docs.select("doc_id", "text", "source").join(labels, "doc_id")
+    return spread(docs.select("doc_id", "text", "source"), "doc_id").join(labels, "doc_id")
 
 
 def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
