@@ -23,7 +23,9 @@ from promptsieve.streaming.scoring import start_scoring
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
-TURNS = 1 << 20  # turns of a conversation before its key would overlap the next one's
+TURNS = 1 << 20         # turns of a conversation before its key would overlap the next one's
+
+LONG_CHARS = 1000       # the second rater of the documents finds no fault with longer ones
 
 # Pseudo-models of the metric queries: share of labels predicted right.
 MODEL_ACCURACY = {"mlp": 0.9, "cnn": 0.8, "bilstm": 0.7}
@@ -75,12 +77,14 @@ def benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sources(spark: SparkSession, sf_dir: str) -> list[Source]:
-    """Five sources. Documents come twice, judged by two rules, so that labels do conflict."""
+    """Five sources. Documents come twice, from two raters who disagree on long poor ones, so that labels do conflict."""
     docs, talk = judged(spark, sf_dir), conversations(spark, sf_dir)
-    text = F.col("text")
+    text, poor = F.col("text"), F.col("quality") == 0
+    rated = lambda is_jailbreak: F.when(F.col("toxic") == 1, 2).when(is_jailbreak, 1).otherwise(0)
     return [
-        Source("quality", lambda: labelled(docs, text, 1 - F.col("quality"), "quality", "doc_id")),
-        Source("toxic", lambda: labelled(docs, text, 2 * F.col("toxic"), "toxic", "doc_id")),
+        Source("graded", lambda: labelled(docs, text, rated(poor), "graded", "doc_id")),
+        Source("screened", lambda: labelled(docs, text, rated(poor & (F.length(text) < LONG_CHARS)), "screened",
+                                            "doc_id")),
         Source("talk_user", lambda: labelled(talk.where("role = 'user'"), text, 0, "talk_user", "row_id")),
         Source("talk_system", lambda: labelled(talk.where("role = 'system'"), text, 0, "talk_system", "row_id")),
         Source("benchmark", lambda: labelled(benchmark(spark, sf_dir), text, 0, "benchmark", "row_id")),

@@ -162,9 +162,11 @@ CTES: dict[str, str] = {
     "judged": "SELECT d.doc_id, d.text, d.source, l.quality, l.toxic FROM documents d JOIN labels l USING (doc_id)",
     "prompts": f"""SELECT doc_id AS row_id, {norm('text')} AS text,
         CAST(CASE WHEN toxic = 1 THEN 2 WHEN quality = 0 THEN 1 ELSE 0 END AS INT) AS label, source FROM judged""",
-    "raw_corpus": """
-        SELECT 0 AS source_rank, doc_id AS row_id, text, CAST(1 - quality AS INT) AS label, 'quality' AS source FROM judged
-        UNION ALL SELECT 1, doc_id, text, CAST(2 * toxic AS INT), 'toxic' FROM judged
+    "raw_corpus": f"""
+        SELECT 0 AS source_rank, doc_id AS row_id, text, CAST(CASE WHEN toxic = 1 THEN 2 WHEN quality = 0 THEN 1 ELSE 0
+        END AS INT) AS label, 'graded' AS source FROM judged
+        UNION ALL SELECT 1, doc_id, text, CAST(CASE WHEN toxic = 1 THEN 2 WHEN quality = 0 AND
+        length(text) < {catalog.LONG_CHARS} THEN 1 ELSE 0 END AS INT), 'screened' FROM judged
         UNION ALL SELECT 2, row_id, text, 0, 'talk_user' FROM talk WHERE role = 'user'
         UNION ALL SELECT 3, row_id, text, 0, 'talk_system' FROM talk WHERE role = 'system'
         UNION ALL SELECT 4, item_id, text, 0, 'benchmark' FROM benchmark""",
