@@ -8,13 +8,14 @@ from pyspark.sql import functions as F
 from promptsieve.functions.text import exact_key
 
 
-def text_groups(prompts: DataFrame) -> DataFrame:
-    """One row per distinct lower-cased text: its labels as a bit set, its row count and its first row.
+def text_groups(prompts: DataFrame, carry_text: bool = True) -> DataFrame:
+    """One row per distinct lower-cased text: how many labels and rows it has, and its first row.
 
-    The shuffle key is a 64-character hash, and copies collapse before the shuffle, however many there are.
+    The shuffle key is a 64-character hash, and copies collapse before the shuffle, however many there are. Counting
+    jobs leave the text behind. It comes last in the first row's order, so both forms name the same first row.
     """
-    carried = [c for c in prompts.columns if c not in ("source_rank", "row_id")]
-    first = F.min(F.struct("source_rank", "row_id", *carried)).alias("first")
+    carried = [c for c in prompts.columns if c not in ("source_rank", "row_id", "text")]
+    first = F.min(F.struct("source_rank", "row_id", *carried, *(["text"] if carry_text else []))).alias("first")
     return (prompts.withColumn("text_key", exact_key(F.col("text")))
             .groupBy("text_key")
             .agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("label"))).alias("label_set"),

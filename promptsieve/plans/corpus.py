@@ -20,8 +20,9 @@ def cleaned(raw: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
 
 def consolidate(raw: DataFrame, min_chars: int = MIN_CHARS) -> tuple[DataFrame, DataFrame]:
     """(corpus, statistics) of the united sources."""
-    groups = dedup.text_groups(cleaned(raw, min_chars))
-    return dedup.consolidated(groups), stats.cleaning_stats(raw, groups)
+    clean = cleaned(raw, min_chars)
+    corpus = dedup.consolidated(dedup.text_groups(clean)).select(*raw.columns)
+    return corpus, stats.cleaning_stats(raw, dedup.text_groups(clean, carry_text=False))
 
 
 def build(raw: DataFrame, path: str, frac: float = augment.FRACTION, max_chars: int | None = augment.MAX_CHARS,
