@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from promptsieve.operators import tfidf
+from promptsieve.operators.lookup import bounded
 from promptsieve.operators.tfidf import TermSpec
 
 MAX_SIM = 0.8
@@ -58,7 +59,7 @@ def _prefix(postings: DataFrame, threshold: float) -> DataFrame:
             .where(F.col("_covered") > threshold * threshold - 1e-9).drop("_covered"))
 
 
-def _meet(cands: DataFrame, refs: DataFrame, small: bool) -> DataFrame:
+def _meet(cands: DataFrame, refs: DataFrame, small: bool, max_terms: int) -> DataFrame:
     """Join postings on the term. A grid splits the references *and* the candidates of a frequent term."""
     right = cands.select("cand", "idx", F.col("weight").alias("cand_weight"))
     if small:
@@ -66,11 +67,11 @@ def _meet(cands: DataFrame, refs: DataFrame, small: bool) -> DataFrame:
     cuts = (cands.groupBy("idx").agg(F.count("*").alias("_n"), F.max("df").alias("_df"))
             .select("idx", F.ceil(F.col("_df") / CELL_ROWS).cast("int").alias("_r"),
                     F.ceil(F.col("_n") / CELL_ROWS).cast("int").alias("_c")))
-    # at most one row per vocabulary term, and the vocabulary is capped
-    left = (refs.join(F.broadcast(cuts), "idx")
+    cuts = bounded(cuts, max_terms)  # one row per vocabulary term at most
+    left = (refs.join(cuts, "idx")
             .withColumn("_row", F.pmod(F.hash("ref"), F.col("_r")))
             .withColumn("_col", F.explode(F.sequence(F.lit(0), F.col("_c") - 1))))
-    right = (right.join(F.broadcast(cuts), "idx")
+    right = (right.join(cuts, "idx")
              .withColumn("_col", F.pmod(F.hash("cand"), F.col("_c")))
              .withColumn("_row", F.explode(F.sequence(F.lit(0), F.col("_r") - 1))))
     return (left.drop("_r", "_c").join(right.drop("_r", "_c"), ["idx", "_row", "_col"])
@@ -101,10 +102,10 @@ def max_similarity(candidates: DataFrame, refs: DataFrame, spec: TermSpec | None
     ref_postings = _postings(refs, fitted, spec, "ref", is_placed=True).drop("df")
     cand_postings = _postings(candidates, fitted, spec, "cand")
     if mode == "exact_max":
-        scores = _dot(_meet(cand_postings, ref_postings, small))
+        scores = _dot(_meet(cand_postings, ref_postings, small, spec.max_features))
     else:
-        pairs = _meet(_prefix(cand_postings, threshold), ref_postings, small).groupBy("ref", "cand").agg(
-            F.lit(True).alias("_hit")).drop("_hit")
+        pairs = _meet(_prefix(cand_postings, threshold), ref_postings, small,
+                      spec.max_features).select("ref", "cand").distinct()
         full = cand_postings.select("cand", "idx", F.col("weight").alias("cand_weight"))
         scores = _dot(pairs.join(ref_postings, "ref")
                       .join(F.broadcast(full) if small else full, ["cand", "idx"]))

@@ -12,6 +12,7 @@ from pathlib import Path
 import pyspark
 
 from promptsieve.functions import codecs
+from promptsieve.functions.text import WHITESPACE as WS
 from promptsieve.labels import LABELS, SEED
 from promptsieve.operators import generate as g
 from promptsieve.operators import similarity, split, vocab
@@ -19,7 +20,6 @@ from promptsieve.operators.tfidf import CHAR_BLOCK, WORD_BLOCK
 from promptsieve.plans import catalog, novel
 from promptsieve.sources.results import MODEL_ORDER
 
-WS = r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 
 
 def lit(s: str) -> str:
