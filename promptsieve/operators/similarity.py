@@ -7,10 +7,10 @@ that both sides meet on a (term, cell) grid, where frequent terms are cut into c
 
 from __future__ import annotations
 
-from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from promptsieve.functions.stopwords import ENGLISH
 from promptsieve.operators import tfidf
 from promptsieve.operators.lookup import bounded
 from promptsieve.operators.tfidf import TermSpec
@@ -29,7 +29,7 @@ def similarity_spec(stop_words: tuple[str, ...] | None = None, max_features: int
 
 
 def english_stop_words() -> tuple[str, ...]:
-    return tuple(sorted(StopWordsRemover.loadDefaultStopWords("english")))
+    return ENGLISH
 
 
 def reference_texts(*tables: DataFrame) -> DataFrame:

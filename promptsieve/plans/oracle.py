@@ -6,10 +6,6 @@ Statements are assembled from named sub-queries; constants (banks, tables, seeds
 from __future__ import annotations
 
 import re
-import zipfile
-from pathlib import Path
-
-import pyspark
 
 from promptsieve.functions import codecs
 from promptsieve.functions.text import WHITESPACE as WS
@@ -284,15 +280,7 @@ _tfidf_ctes("ctrain", "train_rows", "placed", _char_grams(CHAR_BLOCK.sizes), "0"
 
 
 
-def english_stop_words() -> tuple[str, ...]:
-    """The list ``similarity.english_stop_words`` loads, read from the jar because no session may be running here."""
-    jar = next(Path(pyspark.__file__).parent.glob("jars/spark-mllib_*.jar"))
-    with zipfile.ZipFile(jar) as z:
-        text = z.read("org/apache/spark/ml/feature/stopwords/english.txt").decode()
-    return tuple(sorted(w for w in text.splitlines() if w))
-
-
-_SIM = similarity.similarity_spec(english_stop_words())
+_SIM = similarity.similarity_spec()
 _LONG = (r"list_filter(regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}'), lambda t: t NOT IN ("
          + ", ".join(lit(s) for s in _SIM.stop_words) + "))")
 
