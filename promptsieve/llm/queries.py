@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from promptsieve.llm import mixing, quality
+from promptsieve.llm import decontaminate, mixing, ngram_join, quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -21,6 +21,11 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+@query
+def op1_ngram_jaccard(spark, sf_dir):
+    return ngram_join.join(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
+
+
 @query
 def op5_quality_rules(spark, sf_dir):
     return quality.judged(documents(spark, sf_dir))
@@ -31,6 +36,11 @@ def op7_source_mixing(spark, sf_dir):
     return mixing.mix(documents(spark, sf_dir))
 
 
+@query
+def op10_decontamination(spark, sf_dir):
+    return decontaminate.leaks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def oracle_sql() -> dict[str, str]:
     from promptsieve.llm import sql
 
