@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from promptsieve.llm import decontaminate, mixing, ngram_join, quality
+from promptsieve.llm import decontaminate, mixing, ngram_join, quality, secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -31,6 +31,11 @@ def op5_quality_rules(spark, sf_dir):
     return quality.judged(documents(spark, sf_dir))
 
 
+@query
+def op6_secret_scans(spark, sf_dir):
+    return secrets.digest(documents(spark, sf_dir))
+
+
 @query
 def op7_source_mixing(spark, sf_dir):
     return mixing.mix(documents(spark, sf_dir))
