@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from promptsieve.llm import decontaminate, mixing, ngram_join, quality, secrets
+from promptsieve.llm import decontaminate, licenses, mixing, ngram_join, quality, secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -41,6 +41,11 @@ def op7_source_mixing(spark, sf_dir):
     return mixing.mix(documents(spark, sf_dir))
 
 
+@query
+def op9_license_scans(spark, sf_dir):
+    return licenses.scan(documents(spark, sf_dir))
+
+
 @query
 def op10_decontamination(spark, sf_dir):
     return decontaminate.leaks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
