@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from promptsieve.llm import decontaminate, licenses, mixing, ngram_join, quality, secrets, toxicity
+from promptsieve.llm import decontaminate, licenses, mixing, ngram_join, pseudonyms, quality, secrets, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -46,6 +46,11 @@ def op7_source_mixing(spark, sf_dir):
     return mixing.mix(documents(spark, sf_dir))
 
 
+@query
+def op8_pseudonyms(spark, sf_dir):
+    return pseudonyms.digest(documents(spark, sf_dir))
+
+
 @query
 def op9_license_scans(spark, sf_dir):
     return licenses.scan(documents(spark, sf_dir))
