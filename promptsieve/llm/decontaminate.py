@@ -55,12 +55,12 @@ def walk_keys(h: np.ndarray, repeat: int, n: int) -> np.ndarray:
     """Keys of the windows that open at the first ``n`` words; ``h`` has STEPS more."""
     places = PLACES[repeat].tolist()
     at, key = np.arange(n), np.full(n, repeat, dtype=np.uint64)
+    coins = (h >> np.uint64(repeat * 16)).astype(np.uint16)
     for step in range(places[-1] + 1):
-        word = h[at]
         if step in places:
-            key = (key ^ word) * _C
+            key = (key ^ h[at]) * _C
             key ^= key >> np.uint64(29)
-        at += ((word >> np.uint64(repeat * 16 + step)) & np.uint64(1)).astype(np.int64)
+        at += (coins[at] >> np.uint16(step)) & np.uint16(1)
     return mixed(key)
 
 
@@ -110,8 +110,9 @@ def _joined(data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> bytes:
     return b" ".join(data[a:b].tobytes() for a, b in zip(starts.tolist(), stops.tolist())).lower()
 
 
-def best_edits(item: str, text: str) -> int:
-    """Least edits between ``item`` and any part of ``text``: a bit-parallel column of the edit matrix per character."""
+def best_edits(item: str, text: str, most: int) -> int:
+    """Least edits between ``item`` and any part of ``text``: a bit-parallel column of the edit matrix per character. It
+    ends, with some number above ``most``, once the rest of the text is too short to come down to ``most``."""
     if item in text:
         return 0
     masks: dict[str, int] = {}
@@ -120,14 +121,17 @@ def best_edits(item: str, text: str) -> int:
     full, top = (1 << len(item)) - 1, 1 << (len(item) - 1)
     up, down, score = full, 0, len(item)
     best = score
-    for c in text:
+    for left, c in zip(range(len(text) - 1, -1, -1), text):
         eq = masks.get(c, 0)
         diagonal = (((eq & up) + up) ^ up) | eq | down
         right, left = down | (full & ~(diagonal | up)), up & diagonal
         score += bool(right & top) - bool(left & top)
         right, left = (right << 1) & full, (left << 1) & full
         up, down = left | (full & ~(diagonal | right)), right & diagonal
-        best = min(best, score)
+        if score < best:
+            best = score
+        elif score - left > most < best:
+            break
     return best
 
 
@@ -154,8 +158,9 @@ def _matches(index: Index, data: np.ndarray, ends: np.ndarray):
         low = max(int(opens[a]) - int(slack[a]), int(bounds[d]))
         high = min(int(opens[a + k - 1]) + index.lengths[i] + int(slack[a]), int(bounds[d + 1]))
         wanted = index.texts[i].decode("utf-8", "replace")
-        edits = best_edits(wanted, _joined(data, starts[low:high], stops[low:high]).decode("utf-8", "replace"))
-        if 100 * edits <= MAX_EDITS_PERCENT * len(wanted):
+        most = len(wanted) * MAX_EDITS_PERCENT // 100
+        edits = best_edits(wanted, _joined(data, starts[low:high], stops[low:high]).decode("utf-8", "replace"), most)
+        if edits <= most:
             found[d, i] = min(found.get((d, i), (edits, low - int(bounds[d]))), (edits, low - int(bounds[d])))
     return found
 

@@ -7,7 +7,8 @@ A text is the set of its five-word shingles. Texts with equal sets are one class
    class dropped. A class that keeps less than the threshold of its shingles links with nothing.
 2. The rest is ordered by (frequency, hash). Classes that link share a shingle of their prefixes.
 3. Candidates are tried in rounds: first every class against one pivot per prefix shingle, then, after links have merged
-   classes to components, only pairs of different components. A group of thousands of near copies so costs a few pairs per
+   classes to components, only pairs of different components. The first pivot is the most central class, whose shingles are
+   held by most others, as the text that others are copies of. A group of thousands of near copies so costs a few pairs per
    member, and passages that many documents share stay out of the prefixes. The last round leaves no pair out.
 4. A pair's overlap is counted fragment by fragment and summed per pair; the exact counts decide.
 
@@ -28,9 +29,10 @@ from promptsieve.llm.common import chunks, cut, mixed, small, word_hashes, word_
 
 WORDS = 5
 PERCENT = 80
-PACK_SHINGLES = 1 << 20     # shingles a map task holds before it sends them, packed per fragment
+PACK_SHINGLES = 1 << 19     # shingles a map task holds before it sends them, packed per fragment
+HASH_BYTES = 6              # of a shingle's hash that are sent; the fragment adds what it knows of the rest
 PARTS = 4                   # fragments in which overlaps of candidate pairs are counted
-PIVOT_ROUNDS = 2
+PIVOT_ROUNDS = 3
 _C = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -107,7 +109,8 @@ def packed(docs: DataFrame, fragments: int) -> DataFrame:
             for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(fragment)]):
                 new = np.flatnonzero(np.diff(keys[a:b])) + 1
                 at = np.concatenate([[0], new, [b - a]])
-                rows.append((int(fragment[a]), hashes[a:b].tobytes(), keys[a:b][at[:-1]].tobytes(),
+                low = hashes[a:b].view(np.uint8).reshape(-1, 8)[:, :HASH_BYTES]
+                rows.append((int(fragment[a]), low.tobytes(), keys[a:b][at[:-1]].tobytes(),
                              np.diff(at).astype(np.int32).tobytes()))
             return pa.RecordBatch.from_arrays(
                 [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.binary(), pa.binary(), pa.binary()))],
@@ -138,8 +141,10 @@ def shared(packs: DataFrame, fragments: int) -> DataFrame:
     def run(batches):
         hashes, keys = [], []
         for batch in batches:
-            for h, k, c in zip(*(batch.column(i).to_pylist() for i in ("hashes", "keys", "counts"))):
-                hashes.append(np.frombuffer(h, dtype=np.uint64))
+            for f, h, k, c in zip(*(batch.column(i).to_pylist() for i in ("fragment", "hashes", "keys", "counts"))):
+                whole = np.zeros((len(h) // HASH_BYTES, 8), dtype=np.uint8)
+                whole[:, :HASH_BYTES] = np.frombuffer(h, dtype=np.uint8).reshape(-1, HASH_BYTES)
+                hashes.append(whole.view(np.uint64).ravel() | np.uint64(f % (1 << 16) << (8 * HASH_BYTES)))
                 keys.append(np.repeat(np.frombuffer(k, dtype=np.int64), np.frombuffer(c, dtype=np.int32)))
         if not hashes:
             return
@@ -216,8 +221,10 @@ def _fits(na: Column, nb: Column) -> Column:
 def merged(found: DataFrame) -> DataFrame:
     """(key, label): components of the survivors."""
     prefix = F.slice("tokens", F.lit(1), (F.size("tokens") - _least(F.col("n")) + 1).cast("int"))
-    tokens = cut(found.select("key", "n", F.posexplode(prefix).alias("_at", "_t"), F.size("tokens").alias("_k")).select(
-        "key", "n", F.col("_t.h").alias("h"), (F.col("_k") - F.col("_at")).alias("left")))
+    weight = F.aggregate("tokens.df", F.lit(0.0), lambda a, x: a + F.log(x.cast("double"))) / F.col("n")
+    tokens = cut(found.select("key", "n", F.posexplode(prefix).alias("_at", "_t"), F.size("tokens").alias("_k"),
+                              weight.alias("weight")).select(
+        "key", "n", "weight", F.col("_t.h").alias("h"), (F.col("_k") - F.col("_at")).alias("left")))
     hs = lambda p: F.filter("tokens.h", lambda x: F.pmod(x, PARTS) == p)
     parts = found.select("key", F.explode(F.array(*[F.struct(F.lit(p).alias("part"), hs(p).alias("hs"))
                                                     for p in range(PARTS)])).alias("_p")).select("key", "_p.*")
@@ -225,8 +232,9 @@ def merged(found: DataFrame) -> DataFrame:
     labels = found.select("key", F.col("key").alias("label"))
     for turn in range(PIVOT_ROUNDS):
         rows = tokens.join(labels, "key") if turn else tokens.withColumn("label", F.col("key"))
-        rank = F.xxhash64("key", F.lit(turn))   # every round tries another pivot
-        pivots = rows.groupBy("h").agg(F.min(F.struct(rank.alias("_o"), "key", "n", "label")).alias("_p"),
+        # the most central class, later one of another half of the classes each time
+        rank = F.col("weight") if not turn else F.when(F.xxhash64("key", F.lit(turn)) % 2 == 0, F.col("weight")).otherwise(0.0)
+        pivots = rows.groupBy("h").agg(F.max(F.struct(rank.alias("_o"), "key", "n", "label")).alias("_p"),
                                        F.count_distinct("label").alias("_m")).where("_m > 1").select("h", "_p")
         pairs = (rows.join(pivots, "h").where(F.col("label") != F.col("_p.label"))
                  .where(_fits(F.col("n"), F.col("_p.n")))
