@@ -168,7 +168,7 @@ def detections(gated: DataFrame) -> DataFrame:
 
 def _occurrences_of(text: Column, pattern: Column) -> Column:
     """``occurrences`` with a pattern per row."""
-    whole = F.concat(F.lit("(?s)(.*?)("), pattern, F.lit(")"))
+    whole = F.concat(F.lit("\\G(?s)(.*?)("), pattern, F.lit(")"))
     pieces = [F.regexp_extract_all(text, whole, F.lit(g)) for g in (1, 2)]
 
     def step(found: Column, x: Column) -> Column:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from promptsieve.llm import decontaminate, licenses, mixing, ngram_join, pseudonyms, quality, secrets, toxicity
+from promptsieve.llm import decontaminate, licenses, mixing, ngram_join, pseudonyms, quality, secrets, token_counts, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -26,6 +26,11 @@ def op1_ngram_jaccard(spark, sf_dir):
     return ngram_join.join(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
 
 
+@query
+def op2_token_counts(spark, sf_dir):
+    return token_counts.counted(documents(spark, sf_dir))
+
+
 @query
 def op4_toxicity(spark, sf_dir):
     return toxicity.scored(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))

@@ -40,7 +40,7 @@ def occurrences(text: Column, pattern: str, group: int = 0) -> Column:
 
     The text before each match is extracted with it, so that lengths sum up to positions.
     """
-    pieces = [F.regexp_extract_all(text, F.lit(f"(?s)(.*?)({pattern})"), F.lit(g)) for g in (1, 2, 2 + group)]
+    pieces = [F.regexp_extract_all(text, F.lit(f"\\G(?s)(.*?)({pattern})"), F.lit(g)) for g in (1, 2, 2 + group)]
 
     def step(found: Column, x: Column) -> Column:
         start = F.when(F.size(found) > 0, F.element_at(found, -1)["end"]).otherwise(0) + F.length(x["0"])
