@@ -202,5 +202,5 @@ def leaks(docs: DataFrame, benchmark: DataFrame, block_items: int = BLOCK_ITEMS)
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` that contain no item."""
-    hit = cut(leaks(docs, benchmark).select(F.col("doc_id").alias("_id")).distinct())
-    return docs.join(small(hit), F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
+    hit = cut(leaks(docs, benchmark).select(F.col("doc_id").alias("__id")).distinct())
+    return docs.join(small(hit), F.col("doc_id").eqNullSafe(F.col("__id")), "left_anti")

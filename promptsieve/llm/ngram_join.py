@@ -272,11 +272,11 @@ def join(docs: DataFrame) -> DataFrame:
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` without those whose component has a smaller id; of rows with the smallest id, one stays."""
     groups = cut(join(docs))
-    gone = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("_id")).distinct()
-    kept = docs.join(small(cut(gone)), F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
+    gone = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("__id")).distinct()
+    kept = docs.join(small(cut(gone)), F.col("doc_id").eqNullSafe(F.col("__id")), "left_anti")
     again = cut(groups.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("_n")).where("_n > 1"))
-    again = small(again.select(F.col("doc_id").alias("_id")))
-    single = kept.join(again, F.col("doc_id") == F.col("_id"), "left_anti")
+    again = small(again.select(F.col("doc_id").alias("__id")))
+    single = kept.join(again, F.col("doc_id") == F.col("__id"), "left_anti")
     first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
-    repeated = kept.join(again, F.col("doc_id") == F.col("_id"), "left_semi")
-    return single.unionByName(repeated.withColumn("_first", first).where("_first = 1").drop("_first"))
+    repeated = kept.join(again, F.col("doc_id") == F.col("__id"), "left_semi")
+    return single.unionByName(repeated.withColumn("__first", first).where("__first = 1").drop("__first"))

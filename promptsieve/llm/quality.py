@@ -114,5 +114,5 @@ def judged(docs: DataFrame, max_documents: int = MAX_DOCUMENTS, max_share_percen
 
 def filtered(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are kept, with their columns."""
-    marked = judged(docs).where(~F.col("kept")).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(small(cut(marked)), F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
+    marked = judged(docs).where(~F.col("kept")).select(F.col("doc_id").alias("__id")).distinct()
+    return docs.join(small(cut(marked)), F.col("doc_id").eqNullSafe(F.col("__id")), "left_anti")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from promptsieve.llm import decontaminate, licenses, mixing, ngram_join, pseudonyms, quality, secrets, token_counts, toxicity
+from promptsieve.llm import decontaminate, licenses, mixing, ngram_join, pseudonyms, quality, secrets, token_counts, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -31,6 +31,12 @@ def op2_token_counts(spark, sf_dir):
     return token_counts.counted(documents(spark, sf_dir))
 
 
+@query
+def op3_warc_derivatives(spark, sf_dir):
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return warc.digest(warc.derived(warc.responses(pages)))
+
+
 @query
 def op4_toxicity(spark, sf_dir):
     return toxicity.scored(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))

@@ -163,8 +163,8 @@ def scan(docs: DataFrame, rate: float = RATE) -> DataFrame:
                     & ~F.exists("_base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
     rows = cut(rows.select("doc_id", F.xxhash64("_text").alias("_h"), "_base",
                            F.when(F.col("_text").rlike(RUN), runs).otherwise(F.array().cast(_SPAN)).alias("_runs")))
-    added = small(cut(random_runs(rows, rate).withColumnsRenamed({"doc_id": "_id", "_h": "_g"})))
-    both = rows.join(added, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_g")), "left")
+    added = small(cut(random_runs(rows, rate).withColumnsRenamed({"doc_id": "__id", "_h": "__g"})))
+    both = rows.join(added, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("_h") == F.col("__g")), "left")
     spans = F.when(F.col("_added").isNull(), F.col("_base")).otherwise(
         F.array_sort(F.concat("_base", F.col("_added").cast("array<struct<start:int,rank:int,kind:string,end:int>>"))))
     return both.select("doc_id", "_h", "_base", spans.alias("_spans"))
@@ -183,17 +183,17 @@ def digest(docs: DataFrame) -> DataFrame:
 
 def redacted(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` with a mark in place of every span; overlapping spans get one mark."""
-    spans = scan(docs).where(F.size("_spans") > 0).select(F.col("doc_id").alias("_id"), F.col("_h").alias("_g"),
-                                                          "_spans").distinct()
+    spans = scan(docs).where(F.size("_spans") > 0).select(F.col("doc_id").alias("__id"), F.col("_h").alias("__g"),
+                                                          F.col("_spans").alias("__spans")).distinct()
     text = F.col("text")
 
     def step(acc: Column, x: Column) -> Column:
         gap = F.substring(text, acc["at"] + 1, F.greatest(x["start"] - acc["at"], F.lit(0)))
         new = F.when(x["start"] >= acc["at"], F.concat(acc["out"], gap, F.lit(MARK))).otherwise(acc["out"])
         return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), new.alias("out"))
-    clean = F.aggregate("_spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step,
+    clean = F.aggregate("__spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step,
                         lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    joined = docs.join(small(cut(spans)), F.col("doc_id").eqNullSafe(F.col("_id"))
-                       & (F.xxhash64("text") == F.col("_g")), "left")
-    return joined.withColumn("text", F.when(F.col("_id").isNull() & F.col("_g").isNull(), text).otherwise(clean)).select(
+    joined = docs.join(small(cut(spans)), F.col("doc_id").eqNullSafe(F.col("__id"))
+                       & (F.xxhash64("text") == F.col("__g")), "left")
+    return joined.withColumn("text", F.when(F.col("__id").isNull() & F.col("__g").isNull(), text).otherwise(clean)).select(
         *docs.columns)
