@@ -121,7 +121,7 @@ def best_edits(item: str, text: str, most: int) -> int:
     full, top = (1 << len(item)) - 1, 1 << (len(item) - 1)
     up, down, score = full, 0, len(item)
     best = score
-    for left, c in zip(range(len(text) - 1, -1, -1), text):
+    for rest, c in zip(range(len(text) - 1, -1, -1), text):
         eq = masks.get(c, 0)
         diagonal = (((eq & up) + up) ^ up) | eq | down
         right, left = down | (full & ~(diagonal | up)), up & diagonal
@@ -130,7 +130,7 @@ def best_edits(item: str, text: str, most: int) -> int:
         up, down = left | (full & ~(diagonal | right)), right & diagonal
         if score < best:
             best = score
-        elif score - left > most < best:
+        elif score - rest > most < best:
             break
     return best
 

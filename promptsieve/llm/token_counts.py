@@ -5,8 +5,8 @@ every trie node has a failure link, the node reached after the longest match at
 again, and the number of pieces popped on the way. The automaton follows them where a byte has no edge, so no piece is built
 and no byte is read twice.
 
-Words are maximal runs without white space, in lower case (A-Z). A word that no sequence of pieces covers is one unknown
-token. A task keeps the counts of the last CACHE_WORDS distinct words it met, as few words make up most of a text; the
+Words are maximal runs without white space, in lower case (A-Z). Where the longest piece ends with the word but has no
+word-end mark, the mark that is left costs nothing. A word whose greedy pieces break off is one unknown token. A task keeps the counts of the last CACHE_WORDS distinct words it met, as few words make up most of a text; the
 counts don't depend on it.
 
 The vocabulary is any file of byte-level pieces with word-end marks (tokenizers' JSON); its path is a parameter, it is read
@@ -59,7 +59,7 @@ class Automaton:
     def __init__(self, vocabulary: list[tuple[int, ...]]):
         self.edges: list[dict[int, int]] = [{}]
         is_piece = [False]
-        for symbols in vocabulary:
+        for symbols in (*vocabulary, (END,)):
             v = 0
             for s in symbols:
                 if s not in self.edges[v]:
@@ -77,7 +77,7 @@ class Automaton:
                 for s, v in self.edges[u].items():
                     below.append(v)
                     if is_piece[v]:
-                        self.link[v], self.pops[v] = 0, 1
+                        self.link[v], self.pops[v] = 0, int((u, s) != (0, END))
                         continue
                     at, popped = self.link[u], self.pops[u]
                     while at >= 0 and s not in self.edges[at]:
