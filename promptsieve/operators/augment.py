@@ -12,12 +12,11 @@ from promptsieve.labels import SEED, SPLITS
 from promptsieve.operators.ranking import exact_sample
 
 FRACTION = 0.15
-MAX_CHARS = 600  # length limit of the original recipe; pass max_chars=None to encode whole texts
 OBFUSCATION_LABEL = 3
 
 
 def obfuscated_copies(rows: DataFrame, codecs: dict[str, Codec] = TRAIN_CODECS, frac: float = FRACTION,
-                      seed: int = SEED, max_chars: int | None = MAX_CHARS, source_labels=(1, 2),
+                      seed: int = SEED, max_chars: int | None = None, source_labels=(1, 2),
                       by: str | None = None, strata: tuple = ()) -> DataFrame:
     """Label-3 copies of exactly ``floor(frac * attacks)`` attack rows, each through one codec drawn by row key."""
     attacks = rows.where(F.col("label").isin(*source_labels))
@@ -32,7 +31,7 @@ def obfuscated_copies(rows: DataFrame, codecs: dict[str, Codec] = TRAIN_CODECS,
 
 
 def augment(rows: DataFrame, codecs: dict[str, Codec] = TRAIN_CODECS, frac: float = FRACTION, seed: int = SEED,
-            max_chars: int | None = MAX_CHARS, source_labels=(1, 2)) -> DataFrame:
+            max_chars: int | None = None, source_labels=(1, 2)) -> DataFrame:
     """The rows and their obfuscated copies; unchanged when ``frac`` is not positive."""
     if frac <= 0:
         return rows
@@ -40,7 +39,7 @@ def augment(rows: DataFrame, codecs: dict[str, Codec] = TRAIN_CODECS, frac: floa
 
 
 def augment_splits(rows: DataFrame, codecs: dict[str, Codec] = TRAIN_CODECS, frac: float = FRACTION,
-                   seed: int = SEED, max_chars: int | None = MAX_CHARS, splits=SPLITS) -> DataFrame:
+                   seed: int = SEED, max_chars: int | None = None, splits=SPLITS) -> DataFrame:
     """As ``augment``, with an exact share per split; a copy stays in the split of its original."""
     if frac <= 0:
         return rows

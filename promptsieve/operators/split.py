@@ -13,7 +13,6 @@ from promptsieve.operators.ranking import bucketed_rank
 
 N_FOLDS = 20
 HELDOUT_SHARE = 0.15
-EXACT_PATTERN_ROWS = 4  # groups up to this size are stratified by their exact class counts, larger ones coarsely
 
 
 def with_group_key(prompts: DataFrame, **kw) -> DataFrame:
@@ -27,14 +26,12 @@ def group_classes(keyed: DataFrame, labels=tuple(LABELS)) -> DataFrame:
 
 
 def stratum(labels=tuple(LABELS)) -> Column:
-    """Class-count vector of a small group; label set and power of two of the size of a large one.
+    """Binary digits of each class count, one rule for groups of every size: 1, 2 to 3, 4 to 7 and so on.
 
-    The number of strata is bounded by the number of labels, not by the data.
+    Strata grow with the logarithm of the largest group only.
     """
-    counts = [F.col(f"c{v}") for v in labels]
-    exact = F.concat_ws(",", *[c.cast("string") for c in counts])
-    label_set = F.concat(*[F.when(c > 0, "1").otherwise("0") for c in counts])
-    return F.when(F.col("n_rows") <= EXACT_PATTERN_ROWS, exact).otherwise(label_set)
+    digits = [F.when(F.col(f"c{v}") > 0, F.length(F.bin(f"c{v}"))).otherwise(0) for v in labels]
+    return F.concat_ws(",", *[d.cast("string") for d in digits])
 
 
 def group_folds(groups: DataFrame, n_folds: int = N_FOLDS, seed: int = SEED, labels=tuple(LABELS)) -> DataFrame:

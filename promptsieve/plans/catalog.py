@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from promptsieve.functions import codecs
 from promptsieve.functions import text as tx
-from promptsieve.functions.draws import choice, draw, row_seed
+from promptsieve.functions.draws import choice, row_seed
 from promptsieve.labels import SEED, label_name
 from promptsieve.operators import augment, dedup, generate, importance, metrics, similarity, split, stats, tfidf, vocab
 from promptsieve.operators.ranking import exact_sample
@@ -25,10 +25,12 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 TURNS = 1 << 20         # turns of a conversation before its key would overlap the next one's
 
-LONG_CHARS = 1000       # the second rater of the documents finds no fault with longer ones
+LENIENT = "%%%"         # the second rater of the documents finds no fault with texts that hold this
 
-# Pseudo-models of the metric queries: share of labels predicted right.
-MODEL_ACCURACY = {"mlp": 0.9, "cnn": 0.8, "bilstm": 0.7}
+# The metric queries judge three rules over texts, filed under model keys of the report: (pattern of class 2, of class 1).
+RULES = {"mlp": ("idiot|moron|scum|trash|loser|stupid", "[#$%&]{3}"),
+         "cnn": ("pathetic|worthless|disgusting|clown", "[#$%&]{3}|[0-9]{4}"),
+         "bilstm": ("idiot|pathetic|clown|<!--", "system =|[*]{3}")}
 SAMPLE_CAP = 150
 SAMPLE_FRACTION = 0.25
 
@@ -57,12 +59,13 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def judged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents; those without a judgement have NULL labels."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    return spread(docs.select("doc_id", "text", "source"), "doc_id").join(labels, "doc_id")
+    return spread(docs.select("doc_id", "text", "source"), "doc_id").join(labels, "doc_id", "left")
 
 
 def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Judged documents as labelled prompts: toxic ones injections, poor ones jailbreaks, the rest benign."""
+    """All documents as labelled prompts: toxic ones injections, poor ones jailbreaks, the rest benign."""
     label = F.when(F.col("toxic") == 1, 2).when(F.col("quality") == 0, 1).otherwise(0)
     return judged(spark, sf_dir).select(F.col("doc_id").alias("row_id"), tx.normalize(F.col("text")).alias("text"),
                                         label.alias("label"), "source")
@@ -77,16 +80,19 @@ def benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sources(spark: SparkSession, sf_dir: str) -> list[Source]:
-    """Five sources. Documents come twice, from two raters who disagree on long poor ones, so that labels do conflict."""
+    """Six sources over all rows of three tables. Documents come twice, from two raters who disagree on some poor ones, so
+    that labels do conflict."""
     docs, talk = judged(spark, sf_dir), conversations(spark, sf_dir)
     text, poor = F.col("text"), F.col("quality") == 0
     rated = lambda is_jailbreak: F.when(F.col("toxic") == 1, 2).when(is_jailbreak, 1).otherwise(0)
     return [
         Source("graded", lambda: labelled(docs, text, rated(poor), "graded", "doc_id")),
-        Source("screened", lambda: labelled(docs, text, rated(poor & (F.length(text) < LONG_CHARS)), "screened",
+        Source("screened", lambda: labelled(docs, text, rated(poor & ~F.contains(text, F.lit(LENIENT))), "screened",
                                             "doc_id")),
         Source("talk_user", lambda: labelled(talk.where("role = 'user'"), text, 0, "talk_user", "row_id")),
         Source("talk_system", lambda: labelled(talk.where("role = 'system'"), text, 0, "talk_system", "row_id")),
+        Source("talk_other", lambda: labelled(talk.where("role NOT IN ('user', 'system') OR role IS NULL"), text, 0,
+                                              "talk_other", "row_id")),
         Source("benchmark", lambda: labelled(benchmark(spark, sf_dir), text, 0, "benchmark", "row_id")),
     ]
 
@@ -99,23 +105,28 @@ def split_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split.assign_split(prompts(spark, sf_dir))
 
 
-def pseudo_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(model, split, row_id, y_true, y_pred): keyed draws stand in for models, toy prompts for the novel set."""
-    known = split_prompts(spark, sf_dir).select("split", "row_id", "label")
-    fresh = generate.toy_corpus(documents(spark, sf_dir)).select(F.lit("novel").alias("split"), "row_id", "label")
-    models = F.array(*[F.struct(F.lit(m).alias("model"), F.lit(p).alias("p")) for m, p in MODEL_ACCURACY.items()])
-    rows = known.unionByName(fresh).select("split", "row_id", F.col("label").alias("y_true"), F.inline(models))
-    key = F.concat_ws("/", "model", "split", "row_id")
-    guess = F.when(draw(SEED, "right", key) < F.col("p"), F.col("y_true")).otherwise(choice(4, SEED, "guess", key))
-    return rows.select("model", "split", "row_id", "y_true", guess.alias("y_pred"))
+def ruled(model: str, text=None):
+    """Class that a text rule gives."""
+    text = F.col("text") if text is None else text
+    two, one = RULES[model]
+    return F.when(text.rlike(two), 2).when(text.rlike(one), 1).otherwise(0)
+
+
+def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(model, split, row_id, y_true, y_pred) of the text rules on the split documents, and on prompts made of them as
+    the novel set."""
+    known = split_prompts(spark, sf_dir).select("split", "row_id", "text", "label")
+    fresh = generate.toy_corpus(documents(spark, sf_dir)).select(F.lit("novel").alias("split"), "row_id", "text", "label")
+    guesses = F.array(*[F.struct(F.lit(m).alias("model"), ruled(m).alias("y_pred")) for m in RULES])
+    return (known.unionByName(fresh).select("split", "row_id", F.col("label").alias("y_true"), F.inline(guesses))
+            .select("model", "split", "row_id", "y_true", "y_pred"))
 
 
 def attributed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Attributions whose score is the tf-idf weight; terms without any letter or digit count as special."""
     rows = prompts(spark, sf_dir)
     fitted = tfidf.fit(rows, WORD_BLOCK)
-    preds = rows.select("row_id", F.when(draw(SEED, "right", F.col("row_id")) < 0.8, F.col("label"))
-                        .otherwise(choice(4, SEED, "guess", F.col("row_id"))).alias("pred"))
+    preds = rows.select("row_id", ruled("mlp").alias("pred"))
     return (tfidf.weights(rows, fitted, WORD_BLOCK).join(preds, "row_id")
             .select("row_id", F.col("idx").alias("pos"), F.col("term").alias("token"),
                     F.round("weight", 6).alias("score"),
@@ -261,7 +272,7 @@ def q_split_leakage(spark, sf_dir):
 @query
 def q_augment_train(spark, sf_dir):
     rows = split_prompts(spark, sf_dir).select("split", "row_id", "text", "label", "source")
-    return augment.augment_splits(rows, max_chars=None)
+    return augment.augment_splits(rows)
 
 
 @query
@@ -287,8 +298,8 @@ for _name, _codec in {**codecs.TRAIN_CODECS, **codecs.HELDOUT_CODECS}.items():
 
 @query
 def q_template_prompts(spark, sf_dir):
-    """Each generator, one attempt per document; distinct texts."""
-    keys = documents(spark, sf_dir).select("row_id")
+    """Each generator over every document; distinct texts."""
+    keys = documents(spark, sf_dir).select("row_id", "text")
     made = None
     for name, fn, label, source in novel.RECIPES:
         part = generate.generate(keys, fn, None, label, source)
@@ -378,7 +389,8 @@ def q_similarity_prune(spark, sf_dir):
 def q_novel_set(spark, sf_dir):
     manual = benchmark(spark, sf_dir).select("row_id", tx.normalize(F.col("text")).alias("text"),
                                              F.lit(0).alias("label"), F.lit("manual").alias("source"))
-    pool = novel.with_pool_id(novel.candidate_pool(spark, manual))
+    turns = conversations(spark, sf_dir).select("row_id", "text")
+    pool = materialized(novel.with_pool_id(novel.candidate_pool(turns, manual)), "pool")
     kept = novel.novel_set(pool, documents(spark, sf_dir), document_lines(spark, sf_dir)).where("keep")
     return kept.select("text", "label", "source", "max_sim")
 
@@ -387,11 +399,11 @@ def q_novel_set(spark, sf_dir):
 
 @query
 def q_confusion(spark, sf_dir):
-    return metrics.confusion_matrix(pseudo_predictions(spark, sf_dir), ["model", "split"])
+    return metrics.confusion_matrix(predictions(spark, sf_dir), ["model", "split"])
 
 
 def _confusion(spark, sf_dir, binary=False):
-    preds = pseudo_predictions(spark, sf_dir)
+    preds = predictions(spark, sf_dir)
     return (metrics.confusion_matrix(metrics.binary_view(preds), ["model", "split"], 2) if binary
             else metrics.confusion_matrix(preds, ["model", "split"]))
 
@@ -423,13 +435,13 @@ def q_class_weights(spark, sf_dir):
 
 @query
 def q_gap(spark, sf_dir):
-    return rounded(metrics.generalization_gap(metrics.evaluate(pseudo_predictions(spark, sf_dir), ["model", "split"])))
+    return rounded(metrics.generalization_gap(metrics.evaluate(predictions(spark, sf_dir), ["model", "split"])))
 
 
 @query
 def q_compare(spark, sf_dir):
     """Report lines, one per model in fixed order."""
-    by_split = metrics.evaluate(pseudo_predictions(spark, sf_dir), ["model", "split"])
+    by_split = metrics.evaluate(predictions(spark, sf_dir), ["model", "split"])
     pick = lambda name, column: F.max(F.when(F.col("split") == name, F.col(column)))
     title = F.create_map(*[F.lit(x) for pair in results.MODEL_ORDER for x in pair])
     rank = F.create_map(*[F.lit(x) for i, (m, _) in enumerate(results.MODEL_ORDER) for x in (m, i)])
@@ -464,7 +476,7 @@ def q_top_tokens_per_prompt(spark, sf_dir):
 
 def _classifier(spark: SparkSession, sf_dir: str) -> tuple[experiment.Classifier, DataFrame]:
     rows = augment.augment_splits(
-        split_prompts(spark, sf_dir).select("split", "row_id", "text", "label", "source"), max_chars=None)
+        split_prompts(spark, sf_dir).select("split", "row_id", "text", "label", "source"))
     rows = materialized(rows.withColumn("row_id", F.col("row_id") * 2 + (F.col("label") == 3).cast("int")), "splits")
     return experiment.train(rows), rows
 

@@ -25,19 +25,25 @@ def consolidate(raw: DataFrame, min_chars: int = MIN_CHARS) -> tuple[DataFrame,
     return corpus, stats.cleaning_stats(raw, dedup.text_groups(clean, carry_text=False))
 
 
-def build(raw: DataFrame, path: str, frac: float = augment.FRACTION, max_chars: int | None = augment.MAX_CHARS,
+def build(raw: DataFrame, path: str, frac: float = augment.FRACTION, max_chars: int | None = None,
           seed: int = SEED) -> DataFrame:
     """Write the corpus, its base splits and its augmented splits below ``path``; returns the augmented table.
 
     Each stage reads the table the stage before has written: a lost executor costs one stage's tasks, not the chain.
+    ``row_id`` becomes a key of 128 bits made of source, id and text, since sources number their rows alike; a copy's key
+    differs from its original's, so that every row of the result can be joined by its key.
     """
     spark = raw.sparkSession
     corpus, statistics = consolidate(raw)
-    corpus.write.mode("overwrite").parquet(f"{path}/consolidated")
+    key = F.md5(F.to_json(F.struct("source", "row_id", "text")))
+    corpus.withColumn("row_id", key).write.mode("overwrite").parquet(f"{path}/consolidated")
     sinks.write_json(statistics, f"{path}/consolidated_stats")
     placed = split.assign_split(spark.read.parquet(f"{path}/consolidated"), seed=seed)
     sinks.write_splits(placed, f"{path}/base")
     base = spark.read.parquet(f"{path}/base")
     sinks.write_json(stats.split_stats(base), f"{path}/split_summary")
-    sinks.write_splits(augment.augment_splits(base, frac=frac, seed=seed, max_chars=max_chars), f"{path}/splits")
+    augmented = augment.augment_splits(base, frac=frac, seed=seed, max_chars=max_chars)
+    is_copy = F.col("label") == augment.OBFUSCATION_LABEL
+    own_key = F.when(is_copy, F.md5(F.concat_ws("/", "row_id", "source"))).otherwise(F.col("row_id"))
+    sinks.write_splits(augmented.withColumn("row_id", own_key), f"{path}/splits")
     return spark.read.parquet(f"{path}/splits")

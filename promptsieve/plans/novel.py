@@ -3,7 +3,7 @@ anything already in the corpus."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from promptsieve.labels import SEED
@@ -11,6 +11,7 @@ from promptsieve.operators import generate as g
 from promptsieve.operators.dedup import first_per_key
 from promptsieve.operators.similarity import MAX_SIM, reference_texts, similarity_filter
 from promptsieve.operators.tfidf import TermSpec
+from promptsieve.session import materialized
 
 # Prompts asked from each generator.
 SIZES = {"jailbreak": 150, "injection": 150, "obfuscation": 100, "benign": 200}
@@ -19,12 +20,12 @@ RECIPES = (("jailbreak", g.jailbreak, 1, "template"), ("injection", g.injection,
            ("obfuscation", g.heldout_obfuscation, 3, "obfuscated"), ("benign", g.hard_benign, 0, "hard_benign"))
 
 
-def candidate_pool(spark: SparkSession, manual: DataFrame | None = None, sizes: dict[str, int] = SIZES,
+def candidate_pool(rows: DataFrame, manual: DataFrame | None = None, sizes: dict[str, int] = SIZES,
                    seed: int = SEED) -> DataFrame:
-    """(row_id, text, label, source, part): manual rows first, then the generators; one row per text, the first by
-    (part, row_id)."""
+    """(row_id, text, label, source, part): manual rows first, then what the generators make of ``rows``; one row per
+    text, the first by (part, row_id)."""
     parts = [manual] if manual is not None else []
-    parts += [g.generate(g.attempts(spark, sizes[name]), fn, sizes[name], label, source, seed)
+    parts += [g.generate(rows, fn, sizes[name], label, source, seed)
               for name, fn, label, source in RECIPES]
     offset = 0 if manual is not None else 1
     pool = None
@@ -45,10 +46,11 @@ def novel_set(candidates: DataFrame, *seen: DataFrame, max_sim: float = MAX_SIM,
     return similarity_filter(candidates, reference_texts(*seen), max_sim, mode, spec, small)
 
 
-def build(spark: SparkSession, path: str, *seen: DataFrame, manual: DataFrame | None = None,
+def build(rows: DataFrame, path: str, *seen: DataFrame, manual: DataFrame | None = None,
           sizes: dict[str, int] = SIZES, max_sim: float = MAX_SIM, seed: int = SEED) -> DataFrame:
-    """Write the novel set; returns it with the columns of a prompt table."""
-    pool = with_pool_id(candidate_pool(spark, manual, sizes, seed))
+    """Write the novel set made of sentences of ``rows``; returns it with the columns of a prompt table."""
+    spark = rows.sparkSession
+    pool = materialized(with_pool_id(candidate_pool(rows, manual, sizes, seed)), "pool")
     kept = novel_set(pool, *seen, max_sim=max_sim).where("keep")
     kept.select("row_id", "text", "label", "source").write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)

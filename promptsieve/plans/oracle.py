@@ -112,40 +112,26 @@ def codec_case(names, index: str, t: str, s: str) -> tuple[str, str]:
 
 # ---- generators
 
-def slot(template: str, name: str, value: str) -> str:
-    return f"replace({template}, '{{{name}}}', {value})"
-
-
-def jailbreak_sql(key: str) -> str:
-    parts = [pick(b, f"jb{i}", key) for i, b in
-             enumerate((g.JAILBREAK_OPENERS, g.JAILBREAK_MIDDLES, g.JAILBREAK_ENDINGS))]
-    return slot("concat_ws(' ', " + ", ".join(parts) + ")", "p", pick(g.PERSONAS, "persona", key))
-
-
-def injection_sql(key: str) -> str:
-    order = f"concat_ws(' ', {pick(g.INJECTION_OVERRIDES, 'override', key)}, {pick(g.INJECTION_PAYLOADS, 'payload', key)})"
-    return slot(pick(g.INJECTION_WRAPPERS, "wrapper", key), "x", order)
-
-
-def benign_sql(key: str) -> str:
-    text = pick(g.BENIGN_TEMPLATES, "benign", key)
-    for name, items in g.BENIGN_SLOTS.items():
-        text = slot(text, name, pick(items, f"slot_{name}", key))
-    return text
+def framed_sql(kind: str, key: str, text: str, seed=SEED) -> str:
+    parts = rf"list_filter(list_transform(regexp_split_to_array({text}, '[.!?\n]+'), lambda s: trim(s)), lambda s: s <> '')"
+    piece = lambda s: (f"coalesce(list_extract({parts}, CAST(floor({draw(f'{kind}_{s}', key, seed)} * len({parts})) AS INT)"
+                       " + 1), '')")
+    frame = pick(g.FRAMES[kind], f"frame_{kind}", key, seed)
+    return f"replace(replace({frame}, '{{a}}', {piece('a')}), '{{b}}', {piece('b')})"
 
 
 def generated(tries: str, recipe, n: int | None) -> str:
     """Select of (row_id, text, label, source) with distinct lower-cased texts."""
     kind, _, label, source = recipe
     if kind == "obfuscation":
-        name, text = codec_case(codecs.HELDOUT_CODECS, "h", "t400", "cs")
-        base = f"CASE WHEN {draw('base', 'row_id')} < 0.5 THEN {injection_sql('row_id')} ELSE {jailbreak_sql('row_id')} END"
+        name, text = codec_case(codecs.HELDOUT_CODECS, "h", "t", "cs")
+        base = (f"CASE WHEN {draw('base', 'row_id')} < 0.5 THEN {framed_sql('injection', 'row_id', 'text')} "
+                f"ELSE {framed_sql('jailbreak', 'row_id', 'text')} END")
         made = (f"SELECT row_id, {norm(text)} AS text, 'obfuscated:' || {name} AS source FROM (SELECT row_id, "
-                f"substr({base}, 1, 400) AS t400, {choice(len(codecs.HELDOUT_CODECS), 'heldout', 'row_id')} AS h, "
+                f"{base} AS t, {choice(len(codecs.HELDOUT_CODECS), 'heldout', 'row_id')} AS h, "
                 f"{seed32('codec', 'row_id')} AS cs FROM {tries})")
     else:
-        text = {"jailbreak": jailbreak_sql, "injection": injection_sql, "benign": benign_sql}[kind]("row_id")
-        made = f"SELECT row_id, {norm(text)} AS text, '{source}' AS source FROM {tries}"
+        made = f"SELECT row_id, {norm(framed_sql(kind, 'row_id', 'text'))} AS text, '{source}' AS source FROM {tries}"
     limit = f" ORDER BY row_id LIMIT {n}" if n else ""
     return (f"SELECT row_id, text, CAST({label} AS INT) AS label, source FROM "
             f"({first_rows(f'({made})', 'lower(text)', 'row_id', '*')}){limit}")
@@ -155,17 +141,19 @@ def generated(tries: str, recipe, n: int | None) -> str:
 
 CTES: dict[str, str] = {
     "talk": f"SELECT conv_id * {catalog.TURNS} + turn AS row_id, turn, role, text FROM conversations",
-    "judged": "SELECT d.doc_id, d.text, d.source, l.quality, l.toxic FROM documents d JOIN labels l USING (doc_id)",
+    "judged": "SELECT d.doc_id, d.text, d.source, l.quality, l.toxic FROM documents d LEFT JOIN labels l USING (doc_id)",
     "prompts": f"""SELECT doc_id AS row_id, {norm('text')} AS text,
         CAST(CASE WHEN toxic = 1 THEN 2 WHEN quality = 0 THEN 1 ELSE 0 END AS INT) AS label, source FROM judged""",
     "raw_corpus": f"""
         SELECT 0 AS source_rank, doc_id AS row_id, text, CAST(CASE WHEN toxic = 1 THEN 2 WHEN quality = 0 THEN 1 ELSE 0
         END AS INT) AS label, 'graded' AS source FROM judged
         UNION ALL SELECT 1, doc_id, text, CAST(CASE WHEN toxic = 1 THEN 2 WHEN quality = 0 AND
-        length(text) < {catalog.LONG_CHARS} THEN 1 ELSE 0 END AS INT), 'screened' FROM judged
+        NOT contains(text, '{catalog.LENIENT}') THEN 1 ELSE 0 END AS INT), 'screened' FROM judged
         UNION ALL SELECT 2, row_id, text, 0, 'talk_user' FROM talk WHERE role = 'user'
         UNION ALL SELECT 3, row_id, text, 0, 'talk_system' FROM talk WHERE role = 'system'
-        UNION ALL SELECT 4, item_id, text, 0, 'benchmark' FROM benchmark""",
+        UNION ALL SELECT 4, row_id, text, 0, 'talk_other' FROM talk
+        WHERE role NOT IN ('user', 'system') OR role IS NULL
+        UNION ALL SELECT 5, item_id, text, 0, 'benchmark' FROM benchmark""",
     "cleaned": f"""SELECT * FROM (SELECT source_rank, row_id, {norm('text')} AS text, label, source FROM raw_corpus)
         WHERE length(text) >= 3""",
     "text_groups": """SELECT lower(text) AS k, count(DISTINCT label) AS n_labels, count(*) AS n_rows
@@ -179,8 +167,7 @@ CTES: dict[str, str] = {
         count(*) FILTER (label = 1) AS c1, count(*) FILTER (label = 2) AS c2, count(*) FILTER (label = 3) AS c3
         FROM keyed GROUP BY group_key""",
     "folds": f"""SELECT group_key, n_rows, c0, c1, c2, c3, CAST((row_number() OVER (ORDER BY -length(bin(n_rows)),
-        CASE WHEN n_rows <= {split.EXACT_PATTERN_ROWS} THEN concat_ws(',', c0, c1, c2, c3)
-        ELSE concat((c0 > 0)::INT, (c1 > 0)::INT, (c2 > 0)::INT, (c3 > 0)::INT) END,
+        concat_ws(',', {', '.join(f"CASE WHEN c{k} > 0 THEN length(bin(c{k})) ELSE 0 END" for k in range(4))}),
         {digest('fold', 'group_key')}, group_key) - 1) % {split.N_FOLDS} AS INT) AS fold FROM groups""",
     "placed": """SELECT k.row_id, k.text, k.label, k.source, group_key, f.fold,
         CASE WHEN f.fold >= 17 THEN 'test' WHEN f.fold >= 14 THEN 'val' ELSE 'train' END AS split
@@ -190,23 +177,25 @@ CTES: dict[str, str] = {
 
 
 def _toy() -> str:
-    bodies = []
-    for i, (templates, fill) in enumerate(((g.TOY_BENIGN, g.TOY_TOPICS), (g.TOY_JAILBREAK, g.TOY_PERSONAS),
-                                           (g.TOY_INJECTION, g.TOY_ACTIONS))):
-        bodies.append(slot(pick(templates, f"toy{i}", "row_id", 0), "s", pick(fill, f"fill{i}", "row_id", 0)))
-    return f"""SELECT row_id, 'Request ' || row_id || ' ' || {choice(1_000_001, 'number', 'row_id', 0)} || ': ' ||
+    bodies = [framed_sql(kind, "row_id", "text", 0) for kind in g.CLASSES]
+    return f"""SELECT row_id, row_id || ' ' ||
         CASE label WHEN 0 THEN {bodies[0]} WHEN 1 THEN {bodies[1]} ELSE {bodies[2]} END AS text, label, 'toy' AS source
-        FROM (SELECT row_id, CAST(CASE WHEN u < 0.5 THEN 0 WHEN u < 0.75 THEN 1 ELSE 2 END AS INT) AS label
-        FROM (SELECT doc_id AS row_id, {draw('class', 'doc_id', 0)} AS u FROM documents))"""
+        FROM (SELECT row_id, text, CAST(CASE WHEN u < 0.5 THEN 0 WHEN u < 0.75 THEN 1 ELSE 2 END AS INT) AS label
+        FROM (SELECT doc_id AS row_id, text, {draw('class', 'doc_id', 0)} AS u FROM documents))"""
 
 
 CTES["toy"] = _toy()
 
-_MODELS = ", ".join(f"('{m}', {p}::DOUBLE)" for m, p in catalog.MODEL_ACCURACY.items())
-CTES["models"] = f"SELECT * FROM (VALUES {_MODELS}) AS t(model, p)"
-CTES["preds"] = f"""SELECT model, split, row_id, y_true, CASE WHEN {draw('right', 'k')} < p THEN y_true
-    ELSE {choice(4, 'guess', 'k')} END AS y_pred FROM (SELECT *, concat_ws('/', model, split, row_id) AS k FROM
-    (SELECT split, row_id, label AS y_true FROM placed UNION ALL SELECT 'novel', row_id, label FROM toy), models)"""
+
+
+def ruled(model: str) -> str:
+    two, one = catalog.RULES[model]
+    return (f"CAST(CASE WHEN regexp_matches(text, '{two}') THEN 2 WHEN regexp_matches(text, '{one}') THEN 1 ELSE 0 END AS INT)")
+
+
+_ROWS = "(SELECT split, row_id, text, label FROM placed UNION ALL SELECT 'novel', row_id, text, label FROM toy)"
+CTES["preds"] = " UNION ALL ".join(
+    f"SELECT '{m}' AS model, split, row_id, label AS y_true, {ruled(m)} AS y_pred FROM {_ROWS}" for m in catalog.RULES)
 CTES["binary_preds"] = """SELECT model, split, (y_true > 0)::INT AS y_true, (y_pred > 0)::INT AS y_pred FROM preds"""
 
 
@@ -310,7 +299,7 @@ def _pool() -> str:
     parts = [f"SELECT item_id AS row_id, {norm('text')} AS text, 0 AS label, 'manual' AS source, 0 AS part FROM benchmark"]
     for i, recipe in enumerate(novel.RECIPES, start=1):
         n = novel.SIZES[recipe[0]]
-        tries = f"(SELECT range AS row_id FROM range({n * g.TRIES_PER_PROMPT}))"
+        tries = "talk"
         parts.append(f"SELECT row_id, text, label, source, {i} AS part FROM ({generated(tries, recipe, n)})")
     return ("SELECT row_id * 8 + part AS row_id, text, label, source FROM ("
             + first_rows("(" + " UNION ALL ".join(parts) + ")", "text", "part, row_id", "*") + ")")
@@ -334,8 +323,7 @@ CTES["vocab_char"] = _vocab("char", "list_filter(string_split(text, ''), lambda
 CTES["vocab_train"] = _vocab("word", words("text"), "train_rows")
 CTES["attributed"] = rf"""SELECT w.row_id, w.idx AS pos, w.term AS token, round(w.weight, 6) AS score,
     NOT regexp_matches(w.term, '[\p{{L}}\p{{N}}]') AS special, p.pred FROM word_w w JOIN (SELECT row_id,
-    CASE WHEN {draw('right', 'row_id')} < 0.8 THEN label ELSE {choice(4, 'guess', 'row_id')} END AS pred
-    FROM prompts) p USING (row_id)"""
+    {ruled('mlp')} AS pred FROM prompts) p USING (row_id)"""
 CTES["relative"] = """SELECT row_id, pos, token, special, pred, CASE WHEN top > 0 THEN m / top ELSE m END AS score
     FROM (SELECT *, max(m) OVER (PARTITION BY row_id) AS top FROM
     (SELECT *, CASE WHEN special THEN 0 ELSE score END AS m FROM attributed))"""
@@ -445,7 +433,7 @@ def _selects() -> dict[str, str]:
     for codec in (*codecs.TRAIN_CODECS, *codecs.HELDOUT_CODECS):
         q[f"q_codec_{codec}"] = (f"SELECT row_id, {codec_sql(codec, 'text', 'cs')} AS text FROM "
                                  f"(SELECT row_id, text, {seed32('codec', 'row_id')} AS cs FROM prompts)")
-    tries = "(SELECT doc_id AS row_id FROM documents)"
+    tries = "(SELECT doc_id AS row_id, text FROM documents)"
     q["q_template_prompts"] = " UNION ALL ".join(f"({generated(tries, r, None)})" for r in novel.RECIPES)
     q["q_toy_corpus"] = "SELECT row_id, text, label, source FROM toy"
     q["q_vocab_word"] = "SELECT token, id, n FROM vocab_word"

@@ -131,28 +131,45 @@ def test_augment_stays_in_its_split(spark):
     assert all(r.row_id % 3 == ("train", "val", "test").index(r.split) for r in added)
 
 
-def test_generators(spark):
+def test_generators(texts):
     for name, fn, label, source in novel.RECIPES:
-        made = generate.generate(generate.attempts(spark, 40), fn, 40, label, source).collect()
+        made = generate.generate(texts(80), fn, 40, label, source).collect()
         assert len({r.text.lower() for r in made}) == len(made) == 40
-        assert all(len(r.text) > 10 and "{" not in r.text for r in made)
+        assert all(len(r.text) > 10 and "{a}" not in r.text and "{b}" not in r.text for r in made)
         assert all(r.source.startswith(source) for r in made)
-    benign = generate.generate(generate.attempts(spark, 200), generate.hard_benign, 200, 0, "hard_benign")
-    assert benign.count() == 47
+    rows = texts(3)
+    doubled = rows.unionByName(rows)
+    assert generate.generate(doubled, generate.hard_benign, None, 0, "hard_benign").count() == 3
 
 
-def test_toy_corpus(spark):
-    toy = generate.toy_corpus(spark.range(4000).withColumnRenamed("id", "row_id"))
+def test_pieces_come_from_the_text(spark):
+    odd = spark.createDataFrame([(1, "only one"), (2, ""), (3, None), (4, "... !!!")], "row_id bigint, text string")
+    made = {r.row_id: r.text for r in generate.generate(odd, generate.jailbreak, None, 1, "x").collect()}
+    assert made[1].count("only one") == 2 and all(x in made.values() for x in made.values())
+
+
+def test_toy_corpus(texts):
+    toy = generate.toy_corpus(texts(4000))
     share = {r.label: r.n / 4000 for r in toy.groupBy("label").agg(F.count("*").alias("n")).collect()}
     assert abs(share[0] - 0.5) < 0.03 and abs(share[1] - 0.25) < 0.03
     assert toy.select("text").distinct().count() == 4000
 
 
-def test_build_writes_every_stage(spark, tmp_path):
-    toy = generate.toy_corpus(spark.range(400).withColumnRenamed("id", "row_id")).withColumn("source_rank", F.lit(0))
+def test_build_writes_every_stage(spark, texts, tmp_path):
+    toy = generate.toy_corpus(texts(400)).withColumn("source_rank", F.lit(0))
     table = corpus.build(toy.select("source_rank", "row_id", "text", "label", "source"), str(tmp_path))
     base = spark.read.parquet(f"{tmp_path}/base")
     assert base.count() == 400 and table.where("label < 3").count() == 400
     attacks = {r.split: r.n for r in base.where("label > 0").groupBy("split").agg(F.count("*").alias("n")).collect()}
     added = {r.split: r.n for r in table.where("label = 3").groupBy("split").agg(F.count("*").alias("n")).collect()}
     assert added == {s: int(n * 0.15) for s, n in attacks.items()}
+
+
+def test_build_gives_unique_keys(spark, texts, tmp_path):
+    one = generate.toy_corpus(texts(120)).withColumn("source_rank", F.lit(0))
+    other = (generate.toy_corpus(texts(120), seed=3).withColumns({"source_rank": F.lit(1), "source": F.lit("second")})
+             .withColumn("text", F.concat("text", F.lit(" again"))))
+    columns = ["source_rank", "row_id", "text", "label", "source"]
+    table = corpus.build(one.select(*columns).unionByName(other.select(*columns)), str(tmp_path))
+    assert table.where("label = 3").count() > 0
+    assert table.count() == table.select("row_id").distinct().count() > 240

@@ -16,10 +16,10 @@ GRID = lambda: experiment.regularization_grid((1e-3,), max_iter=15)
 
 
 @pytest.fixture(scope="module")
-def toy(spark):
-    rows = generate.toy_corpus(spark.range(300).withColumnRenamed("id", "row_id"))
+def toy(spark, texts):
+    rows = generate.toy_corpus(texts(300))
     placed = split.assign_split(rows).select("row_id", "text", "label", "split")
-    fresh = generate.toy_corpus(spark.range(1000, 1040).withColumnRenamed("id", "row_id"), seed=5).select(
+    fresh = generate.toy_corpus(texts(40, first=1000), seed=5).select(
         "row_id", "text", "label", F.lit("novel").alias("split"))
     return materialized(placed.unionByName(fresh), "toy")
 
@@ -99,10 +99,10 @@ def test_stream_dedup(spark, tmp_path):
     assert sorted(r.text for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["Copy", "other"]
 
 
-def test_novel_set_excludes_near_copies(spark, tmp_path):
+def test_novel_set_excludes_near_copies(spark, texts, tmp_path):
     sizes = {"jailbreak": 10, "injection": 10, "obfuscation": 8, "benign": 10}
-    pool = novel.with_pool_id(novel.candidate_pool(spark, sizes=sizes))
+    pool = novel.with_pool_id(novel.candidate_pool(texts(60), sizes=sizes))
     seen = pool.where("label = 1").select(F.concat(F.upper("text"), F.lit("!!")).alias("text"))
-    built = novel.build(spark, str(tmp_path / "novel"), seen, sizes=sizes)
+    built = novel.build(texts(60), str(tmp_path / "novel"), seen, sizes=sizes)
     assert built.where("label = 1").count() == 0
     assert built.where("label = 2").count() == 10 and built.where("label = 3").count() >= 4
