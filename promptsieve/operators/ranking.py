@@ -63,6 +63,12 @@ def bucketed_rank(df: DataFrame, strata: list[str], order: str, key: str, rank:
             .drop("_range", "_local", "_shift"))
 
 
+def shuffled(df: DataFrame, key: str, seed: int = 42) -> DataFrame:
+    """Adds ``shuffle``, a digest to sort by for a random order that is the same on every run. Nothing is sorted here:
+    ``sort`` or ``sortWithinPartitions`` by it is the reader's choice."""
+    return df.withColumn("shuffle", digest(seed, "shuffle", F.col(key)))
+
+
 def top_by_count(counts: DataFrame, n: str, k: int, *ties: str) -> DataFrame:
     """The ``k`` rows with the largest ``n``, ties by ``ties``.
 

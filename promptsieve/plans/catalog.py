@@ -10,13 +10,13 @@ from pyspark.sql import functions as F
 from promptsieve.functions import codecs
 from promptsieve.functions import text as tx
 from promptsieve.functions.draws import choice, row_seed
-from promptsieve.labels import SEED, label_name
+from promptsieve.labels import SEED, SPLITS, label_name
 from promptsieve.operators import augment, dedup, generate, importance, metrics, similarity, split, stats, tfidf, vocab
-from promptsieve.operators.ranking import exact_sample
+from promptsieve.operators.ranking import exact_sample, shuffled
 from promptsieve.operators.tfidf import CHAR_BLOCK, WORD_BLOCK
 from promptsieve.plans import corpus, experiment, novel
 from promptsieve.session import materialized, scratch_path
-from promptsieve.sources import registry, results
+from promptsieve.sources import readers, registry, results, sinks
 from promptsieve.sources.registry import Source, labelled
 from promptsieve.streaming.dedup import deduplicated
 from promptsieve.streaming.scoring import start_scoring
@@ -359,6 +359,45 @@ def q_tfidf_transform(spark, sf_dir):
                                  total.alias("total"), F.array_max("values").alias("top")))
 
 
+# ---- stored tables, written to the shared folder and read back
+
+@query
+def q_splits_round_trip(spark, sf_dir):
+    path = scratch_path(spark, "splits")
+    sinks.write_splits(split_prompts(spark, sf_dir), path)
+    read = [readers.read_split(spark, path, s).select(F.lit(s).alias("split"), "row_id", F.md5("text").alias("text_md5"),
+                                                     "label") for s in SPLITS]
+    return read[0].unionByName(read[1]).unionByName(read[2])
+
+
+@query
+def q_csv_round_trip(spark, sf_dir):
+    """Documents through a CSV export: quotes, commas and line ends inside texts come back."""
+    path = scratch_path(spark, "csv")
+    sinks.export_csv(prompts(spark, sf_dir).select("text", "label", "source"), path)
+    return readers.read_csv(spark, path).select("text", "label", "source")
+
+
+@query
+def q_vocab_round_trip(spark, sf_dir):
+    path = scratch_path(spark, "vocab")
+    sinks.save_vocab(vocab.build_vocab(prompts(spark, sf_dir), "word"), path)
+    return sinks.load_vocab(spark, path)[0]
+
+
+@query
+def q_stats_round_trip(spark, sf_dir):
+    path = scratch_path(spark, "stats")
+    sinks.write_json(stats.split_stats(split_prompts(spark, sf_dir)), path)
+    return sinks.read_json(spark, path, lines=True).select("split", "label_name", "n", "split_rows", "fraction")
+
+
+@query
+def q_shuffled(spark, sf_dir):
+    """Prompts with the drawn order column that a reader sorts by to shuffle them."""
+    return shuffled(prompts(spark, sf_dir), "row_id").select("row_id", "shuffle")
+
+
 # ---- similarity and the novel set
 
 def document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -520,12 +559,14 @@ def q_stream_score(spark, sf_dir):
 
 @query
 def q_stream_dedup(spark, sf_dir):
-    """Distinct event payloads; the delay spans the table, so no copy survives."""
+    """Distinct event payloads; the delay spans the table, measured first, so no copy survives."""
+    ends = table(spark, sf_dir, "events").agg(F.unix_seconds(F.max(F.col("ts").cast("timestamp")))
+                                              - F.unix_seconds(F.min(F.col("ts").cast("timestamp")))).first()[0] or 0
     arrivals = (spark.readStream.schema(table(spark, sf_dir, "events").schema)
                 .option("pathGlobFilter", "events.parquet").parquet(sf_dir)
                 .withColumn("ts", F.col("ts").cast("timestamp")))
     out = scratch_path(spark, "dedup")
-    (deduplicated(arrivals, "ts", "props", "60 days").select("text_key").writeStream.format("parquet")
+    (deduplicated(arrivals, "ts", "props", f"{ends + 1} seconds").select("text_key").writeStream.format("parquet")
      .option("path", f"{out}/keys").option("checkpointLocation", f"{out}/state")
      .trigger(availableNow=True).start().awaitTermination())
     return spark.read.parquet(f"{out}/keys")

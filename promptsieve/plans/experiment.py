@@ -50,22 +50,20 @@ def regularization_grid(values: tuple[float, ...] = (1e-3, 1e-2), max_iter: int
 def best_by_validation(candidates: list[Estimator], train: DataFrame, val: DataFrame, k: int, patience: int = 3,
                        log: Callable[[str], None] = print) -> tuple[Transformer, list[dict]]:
     """First candidate with the strictly best validation macro-F1; gives up after ``patience`` that do no better."""
-    best, best_f1, bad, history = None, -1.0, 0, []
-    for step, estimator in enumerate(candidates, start=1):
-        model = estimator.fit(train)
-        preds = model.transform(val).select(F.col("label").alias("y_true"),
-                                            F.col("prediction").cast("int").alias("y_pred"))
-        row = metrics.macro_metrics(metrics.confusion_matrix(preds, k=k)).first()
-        history.append({"step": step, **{f"val_{m}": row[m] for m in ("accuracy", "precision", "recall", "f1")}})
-        f1 = row["f1"] or 0.0
-        log(f"step {step:02d}  val_f1 {f1:.4f}")
-        if f1 > best_f1:
-            best, best_f1, bad = model, f1, 0
-        else:
-            bad += 1
-            if bad >= patience:
-                break
-    return best, history
+    history, chosen, leader = [], None, 0
+    for place, estimator in enumerate(candidates):
+        fitted = estimator.fit(train)
+        guesses = fitted.transform(val).selectExpr("label AS y_true", "CAST(prediction AS INT) AS y_pred")
+        scores = metrics.macro_metrics(metrics.confusion_matrix(guesses, k=k)).first().asDict()
+        history.append({"step": place + 1} | {f"val_{m}": scores[m] for m in ("accuracy", "precision", "recall", "f1")})
+        log(f"candidate {place + 1} of {len(candidates)}: macro-F1 {scores['f1'] or 0:.4f}")
+        # the earliest row with the largest score leads
+        leader = max(range(len(history)), key=lambda i: (history[i]["val_f1"] or 0.0, -i))
+        if leader == place:
+            chosen = fitted
+        elif place - leader >= patience:
+            break
+    return chosen, history
 
 
 def train(rows: DataFrame, specs: tuple[TermSpec, ...] = (WORD_BLOCK, CHAR_BLOCK), binary: bool = False,
@@ -112,8 +110,8 @@ def n_params(clf: Classifier) -> int:
 
 def timed_predictions(clf: Classifier, rows: DataFrame) -> tuple[DataFrame, float]:
     """Predictions, computed once, and the milliseconds per prompt that took."""
-    preds = predictions(clf, rows).persist(StorageLevel.MEMORY_AND_DISK)
     started = time.perf_counter()
+    preds = materialized(predictions(clf, rows), "predictions")
     n = preds.count()
     return preds, 1000.0 * (time.perf_counter() - started) / max(1, n)
 

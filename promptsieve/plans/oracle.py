@@ -436,6 +436,11 @@ def _selects() -> dict[str, str]:
     tries = "(SELECT doc_id AS row_id, text FROM documents)"
     q["q_template_prompts"] = " UNION ALL ".join(f"({generated(tries, r, None)})" for r in novel.RECIPES)
     q["q_toy_corpus"] = "SELECT row_id, text, label, source FROM toy"
+    q["q_splits_round_trip"] = "SELECT split, row_id, md5(text) AS text_md5, label FROM placed"
+    q["q_csv_round_trip"] = "SELECT text, label, source FROM prompts"
+    q["q_vocab_round_trip"] = "SELECT token, id, n FROM vocab_word"
+    q["q_stats_round_trip"] = q["q_split_stats"]
+    q["q_shuffled"] = f"SELECT row_id, {digest('shuffle', 'row_id')} AS shuffle FROM prompts"
     q["q_vocab_word"] = "SELECT token, id, n FROM vocab_word"
     q["q_vocab_char"] = "SELECT token, id, n FROM vocab_char"
     q["q_encode"] = f"""SELECT row_id, array_to_string(list_resize(coalesce(ids, []), 200, 0), ' ') AS ids FROM (

@@ -22,9 +22,10 @@ def write_json(stats: DataFrame, path: str) -> None:
     stats.write.mode("overwrite").json(path)
 
 
-def read_json(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
+def read_json(spark: SparkSession, path: str, schema: str | None = None, lines: bool = False) -> DataFrame:
+    """JSON documents; with ``lines``, one row per line, as ``write_json`` leaves them."""
     reader = spark.read.schema(schema) if schema else spark.read
-    return reader.json(path, multiLine=True)
+    return reader.json(path, multiLine=not lines)
 
 
 def save_vocab(vocab: DataFrame, path: str, level: str = "word", lowercase: bool = False) -> None:
