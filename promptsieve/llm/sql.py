@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from promptsieve.llm import mixing, quality
+from promptsieve.llm import mixing, quality, warc
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -51,5 +51,48 @@ MIX = rf"""WITH sized AS (SELECT doc_id, source, len(regexp_extract_all(coalesce
     SELECT doc_id, size, source_size, target, size * (whole + (middle <= need)::INT) AS taken FROM run"""
 
 
+
+
+def _lit(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def _decoded(x: str) -> str:
+    for name, plain in warc.ENTITIES:
+        x = f"replace({x}, {_lit(name)}, {_lit(plain)})"
+    return x
+
+
+def _uuid(*parts: str) -> str:
+    h = f"md5(concat_ws('|', {', '.join(parts)}))"
+    cuts = ", ".join(f"substr({h}, {a}, {n})" for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12)))
+    return f"'<urn:uuid:' || concat_ws('-', {cuts}) || '>'"
+
+
+def _warc() -> str:
+    sub = lambda x, pattern, by: f"regexp_replace({x}, {_lit(pattern)}, {by}, 'g')"
+    flat = sub(sub("seen", r"\s+", "' '"), warc.BLOCKS, "chr(10)")
+    lines = sub(sub(_decoded(sub(flat, "(?s)<[^>]*>", "''")), r"[ \t]+", "' '"), r" ?\n[ \n]*", "chr(10)")
+    text = sub(lines, r"^[ \n]+|[ \n]+$", "''")
+    line = "chr(13) || chr(10)"
+    return f"""WITH pages2 AS (SELECT page_id, coalesce(url, '') AS uri, coalesce(html, '') AS html FROM pages),
+    seen AS (SELECT *, {sub('html', warc.HIDDEN, "' '")} AS seen, {_uuid("'response'", 'uri', 'page_id::VARCHAR', 'md5(html)')}
+        AS rid, 'sha1:' || sha1(html) AS digest,
+        ['Content-Type: text/html; charset=utf-8', 'Content-Length: ' || strlen(html)] AS headers FROM pages2),
+    facts AS (SELECT *, {text} AS body, list_transform(regexp_extract_all(seen, {_lit(warc.LINK)}, 1), lambda x: {_decoded('x')})
+        AS links, trim({_decoded(sub(f"regexp_extract(html, {_lit(warc.TITLE)}, 1)", r"\s+", "' '"))}) AS title,
+        regexp_extract(html, {_lit(warc.DESCRIPTION)}, 1) AS description FROM seen),
+    records AS (SELECT page_id, uri, digest, links, 'response' AS type, rid AS record_id, NULL AS refers_to,
+        'application/http; msgtype=response' AS content_type,
+        'HTTP/1.1 200 OK' || {line} || array_to_string(headers, {line}) || {line} || {line} || html AS block FROM facts
+        UNION ALL SELECT page_id, uri, digest, links, 'metadata', {_uuid("'metadata'", 'rid')}, rid, 'application/json',
+        to_json({{uri: uri, status: 'HTTP/1.1 200 OK', headers: headers, title: title, description: description,
+            links: links, payload_digest: digest}})::VARCHAR FROM facts
+        UNION ALL SELECT page_id, uri, digest, links, 'conversion', {_uuid("'conversion'", 'rid')}, rid, 'text/plain', body
+        FROM facts)
+    SELECT page_id, type, record_id, refers_to, uri AS target_uri, content_type, digest AS payload_digest,
+        'sha1:' || sha1(block) AS block_digest, len(links)::BIGINT AS n_links, strlen(block)::BIGINT AS n_bytes FROM records"""
+
+
 def statements() -> dict[str, str]:
-    return {"op5_quality_rules": QUALITY, "op7_source_mixing": MIX}
+    return {"op3_warc_derivatives": _warc(), "op5_quality_rules": QUALITY, "op7_source_mixing": MIX}

@@ -27,7 +27,10 @@ CRLF = "\r\n"
 # Entities that plain text decodes, the ampersand last.
 ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&#39;", "'"), ("&nbsp;", " "),
             ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&"))
-HIDDEN = "(?is)<!--.*?-->|<(script|style|noscript|template)\\b[^>]*>.*?</\\1\\s*>"
+HIDDEN = "(?is)<!--.*?-->" + "".join(f"|<{e}\\b[^>]*>.*?</{e}\\s*>" for e in ("script", "style", "noscript", "template"))
+LINK = "(?is)<a\\b[^>]*?\\bhref\\s*=\\s*[\"']([^\"']*)[\"']"
+TITLE = "(?is)<title[^>]*>(.*?)</title>"
+DESCRIPTION = "(?is)<meta\\s[^>]*name=[\"']description[\"'][^>]*content=[\"']([^\"']*)"
 BLOCKS = ("(?i)</?(?:address|article|aside|blockquote|body|br|dd|div|dl|dt|footer|form|h[1-6]|head|header|hr|html|li|main|nav"
           "|ol|p|pre|section|table|td|th|title|tr|ul)\\b[^>]*>")
 
@@ -60,7 +63,7 @@ def plain_text(html: Column) -> Column:
 def links(html: Column) -> Column:
     """Targets of anchors' href, as written, in order."""
     found = F.regexp_extract_all(F.regexp_replace(html, HIDDEN, " "),
-                                 F.lit("(?is)<a\\b[^>]*?\\bhref\\s*=\\s*[\"']([^\"']*)[\"']"), F.lit(1))
+                                 F.lit(LINK), F.lit(1))
     return F.transform(found, _decoded)
 
 
@@ -80,8 +83,8 @@ def derived(found: DataFrame) -> DataFrame:
     block): of each response itself, its metadata and its conversion."""
     rows = found.withColumns({"_text": plain_text(F.col("payload")), "_links": links(F.col("payload")),
                               "_digest": _sha1(F.col("payload"))})
-    title = _decoded(F.regexp_replace(F.regexp_extract("payload", "(?is)<title[^>]*>(.*?)</title>", 1), "\\s+", " "))
-    description = F.regexp_extract("payload", "(?is)<meta\\s[^>]*name=[\"']description[\"'][^>]*content=[\"']([^\"']*)", 1)
+    title = _decoded(F.regexp_replace(F.regexp_extract("payload", TITLE, 1), "\\s+", " "))
+    description = F.regexp_extract("payload", DESCRIPTION, 1)
     meta = F.to_json(F.struct(
         F.col("target_uri").alias("uri"), F.col("http_status").alias("status"), F.col("http_headers").alias("headers"),
         F.trim(title).alias("title"), description.alias("description"), F.col("_links").alias("links"),
