@@ -14,6 +14,7 @@ from promptsieve.functions.stopwords import ENGLISH
 from promptsieve.operators import tfidf
 from promptsieve.operators.lookup import bounded
 from promptsieve.operators.tfidf import TermSpec
+from promptsieve.session import materialized
 
 MAX_SIM = 0.8
 DIGITS = 6                           # scores are rounded before they meet a threshold
@@ -98,12 +99,16 @@ def max_similarity(candidates: DataFrame, refs: DataFrame, spec: TermSpec | None
         raise ValueError(f"unknown mode {mode!r}")
     spec = spec or similarity_spec()
     small = is_small(candidates) if small is None else small
-    fitted = tfidf.fit(refs, spec)
-    ref_postings = _postings(refs, fitted, spec, "ref", is_placed=True).drop("df")
+    fitted = materialized(tfidf.fit(refs, spec), "fitted")
     cand_postings = _postings(candidates, fitted, spec, "cand")
+    ref_postings = _postings(refs, fitted, spec, "ref", is_placed=True).drop("df")
     if mode == "exact_max":
         scores = _dot(_meet(cand_postings, ref_postings, small, spec.max_features))
     else:
+        # both joins read the references: keep what can meet a candidate, once
+        cand_postings = materialized(cand_postings, "candidates")
+        terms = bounded(cand_postings.select("idx").distinct(), spec.max_features)
+        ref_postings = materialized(ref_postings.join(terms, "idx", "left_semi"), "references")
         pairs = _meet(_prefix(cand_postings, threshold), ref_postings, small,
                       spec.max_features).select("ref", "cand").distinct()
         full = cand_postings.select("cand", "idx", F.col("weight").alias("cand_weight"))
