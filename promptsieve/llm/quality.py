@@ -66,13 +66,13 @@ def line_hash(line: Column) -> Column:
 
 
 def measured(docs: DataFrame) -> DataFrame:
-    """(doc_id, host, counts, lines): ``lines`` holds (h, n_words) of every line with a word."""
-    split = (docs.select("doc_id", F.col("source").alias("host"), F.coalesce("text", F.lit("")).alias("_text"))
+    """(doc_id, text_hash, host, counts, lines): ``lines`` holds (h, n_words) of every line with a word."""
+    split = (docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.col("source").alias("host"), F.coalesce("text", F.lit("")).alias("_text"))
              .withColumns({"_words": F.array_remove(F.split("_text", f"[{SPACE}]+"), ""),
                            "_lines": F.filter(F.split("_text", "\n"), lambda x: x.rlike(f"[^{SPACE}]"))}))
     n_words = F.size("_words").cast("bigint")
     return split.select(
-        "doc_id", "host", n_words.alias("n_words"),
+        "doc_id", "text_hash", "host", n_words.alias("n_words"),
         F.length(F.array_join("_words", "")).cast("bigint").alias("word_chars"),
         (F.size(F.split("_text", f"[{SYMBOLS}]", -1)) - 1).cast("bigint").alias("n_symbols"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("bigint").alias("n_dup_lines"),
@@ -93,9 +93,13 @@ def common_lines(rows: DataFrame, max_documents: int = MAX_DOCUMENTS,
     return above.join(hosts, F.col("host").eqNullSafe(F.col("_host"))).where(F.col("n") > limit).select("host", "h")
 
 
-def judged(docs: DataFrame, max_documents: int = MAX_DOCUMENTS, max_share_percent: int = MAX_SHARE_PERCENT,
-           min_left_percent: int = MIN_LEFT_PERCENT) -> DataFrame:
+def judged(docs: DataFrame, **limits) -> DataFrame:
     """One row per row of ``docs``: the counts, ``base_failed``, ``n_left`` words after line removal, and ``kept``."""
+    return _judged(docs, **limits).drop("text_hash")
+
+
+def _judged(docs: DataFrame, max_documents: int = MAX_DOCUMENTS, max_share_percent: int = MAX_SHARE_PERCENT,
+            min_left_percent: int = MIN_LEFT_PERCENT) -> DataFrame:
     rows = cut(measured(docs))
     common = small(cut(common_lines(rows, max_documents, max_share_percent))
                    .select(F.col("host").alias("_host"), F.col("h").alias("_h")))
@@ -108,11 +112,12 @@ def judged(docs: DataFrame, max_documents: int = MAX_DOCUMENTS, max_share_percen
     n_left = F.col("n_words") - F.coalesce("_removed", F.lit(0))
     depleted = (n_left < MIN_WORDS) | (100 * n_left < min_left_percent * F.col("n_words"))
     return rows.drop("lines").join(removed, "_row", "left").select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"),
+        "doc_id", "text_hash", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"),
         n_left.cast("bigint").alias("n_left"), (~failed & ~depleted).alias("kept"))
 
 
 def filtered(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are kept, with their columns."""
-    marked = judged(docs).where(~F.col("kept")).select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(small(cut(marked)), F.col("doc_id").eqNullSafe(F.col("__id")), "left_anti")
+    marked = _judged(docs).where(~F.col("kept")).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__h"))
+    return docs.join(small(cut(marked.distinct())), F.col("doc_id").eqNullSafe(F.col("__id"))
+                     & (F.xxhash64("text") == F.col("__h")), "left_anti")
