@@ -36,6 +36,7 @@ MAX_ENTRIES = 4_000_000
 CALIBRATION_ROWS = 20_000
 CUT_SCORE = 0.7
 LABEL_ROWS = 2_000_000      # training labels up to which they are broadcast: an id and two bits each
+PIECE_BYTES = 1 << 19       # of words or text whose keys a task holds at once
 _BYTES = np.uint64(8)
 
 
@@ -47,15 +48,17 @@ def byte_keys(data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> tuple[
     """(keys, word): for every byte of the spans and the end of each, the seven bytes before it in its span and itself in
     one number, earliest highest; zeros stand before a span's start."""
     size = stops - starts + 1
-    word = np.repeat(np.arange(len(starts)), size)
-    at = np.arange(len(word)) - np.repeat(np.cumsum(size) - size, size)
-    lowered = np.full(len(data) + 1, 32, dtype=np.uint64)
+    word = np.repeat(np.arange(len(starts), dtype=np.int32), size)
+    ends = np.cumsum(size)
+    at = np.arange(len(word)) - np.repeat(ends - size, size)
+    lowered = np.full(len(data) + 1, 32, dtype=np.uint8)
     lowered[:-1] = np.where((data >= 65) & (data <= 90), data + 32, data)
-    place = starts[word] + at
-    keys = np.where(at == size[word] - 1, np.uint64(32), lowered[place])
+    place = np.repeat(starts, size) + at
+    keys = lowered[place].astype(np.uint64)
+    keys[ends - 1] = 32
     for back in range(1, 8):
-        inside = at >= back
-        keys[inside] |= lowered[place[inside] - back] << np.uint64(8 * back)
+        inside = np.flatnonzero(at >= back)
+        keys[inside] |= lowered[place[inside] - back].astype(np.uint64) << np.uint64(8 * back)
     return keys, word
 
 
@@ -71,7 +74,7 @@ def gram_counts(counts: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             t, o = batch.column("toxic").to_numpy(), batch.column("ordinary").to_numpy()
-            for first, _, data, ends in chunks(batch.column("word")):
+            for first, _, data, ends in chunks(batch.column("word"), PIECE_BYTES):
                 filled = np.flatnonzero(np.diff(ends))
                 keys, word = byte_keys(data, ends[:-1][filled], ends[1:][filled])
                 word = filled[word] + first
@@ -133,13 +136,19 @@ def ratios(grams: DataFrame) -> DataFrame:
 
 
 class Model:
-    """The ratio table as sorted arrays."""
+    """The ratio table as sorted arrays: by key, and by context."""
 
-    def __init__(self, keys: np.ndarray, ratio: np.ndarray, rest: np.ndarray):
+    def __init__(self, keys: np.ndarray, ratio: np.ndarray, contexts: np.ndarray, rest: np.ndarray):
+        self.keys, self.ratio, self.contexts, self.rest = keys, ratio, contexts, rest
+
+    @staticmethod
+    def arrays(table: pa.Table) -> tuple[np.ndarray, ...]:
+        """Of the rows of ``ratios``."""
+        keys = table.column("key").to_numpy().view(np.uint64)
         order = np.argsort(keys)
-        self.keys, self.ratio = keys[order], ratio[order]
-        self.contexts, first = np.unique(self.keys >> _BYTES, return_index=True)
-        self.rest = rest[order][first]
+        keys = keys[order]
+        contexts, first = np.unique(keys >> _BYTES, return_index=True)
+        return keys, table.column("ratio").to_numpy()[order], contexts, table.column("rest").to_numpy()[order][first]
 
     @staticmethod
     def _find(table: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -177,7 +186,7 @@ def summed(docs: DataFrame, shared, *carried: str) -> DataFrame:
     def run(batches):
         model = Model(*shared.value)
         for batch in batches:
-            for first, end, data, ends in chunks(batch.column("text")):
+            for first, end, data, ends in chunks(batch.column("text"), 2 * PIECE_BYTES):
                 n, total = model.sums(data, ends)
                 yield pa.RecordBatch.from_arrays([*[batch.column(c)[first:end] for c in carried], pa.array(n),
                                                   pa.array(total)], names=[*carried, "n_words", "total"])
@@ -215,8 +224,8 @@ def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
     train = docs.select("doc_id", "text").join(small(cut(known), LABEL_ROWS), F.col("doc_id") == F.col("_id"))
     grams = cut(gram_counts(word_counts(train.where("NOT _aside"))))
     table = cut(ratios(fitting(grams))).toArrow()       # at most MAX_ENTRIES rows of 16 bytes
-    shared = spark.sparkContext.broadcast((table.column("key").to_numpy().view(np.uint64),
-                                           table.column("ratio").to_numpy(), table.column("rest").to_numpy()))
+    shared = spark.sparkContext.broadcast(Model.arrays(table))
+    del table
     aside = summed(train.where("_aside"), shared, "doc_id", "toxic")
     sample = (aside.orderBy(F.xxhash64("doc_id"), "total").limit(CALIBRATION_ROWS)
               .select(*[f.alias(f"f{i}") for i, f in enumerate(_features())], "toxic").collect())
