@@ -176,11 +176,14 @@ def _least(n: Column) -> Column:
 
 
 def survivors(docs: DataFrame, named: DataFrame, fragments: int) -> DataFrame:
-    """(key, n, tokens): classes that may link; ``tokens`` are their shared shingles, rarest first."""
+    """(key, n, tokens, weight): classes that may link; ``tokens`` are their shared shingles, rarest first, and ``weight``
+    says how central they are."""
     sizes = named.where("n_shingles > 0").groupBy("key").agg(F.first("n_shingles").alias("n"))
     kept = shared(packed(docs, 3 * fragments), fragments).groupBy("key").agg(
         F.array_sort(F.collect_list(F.struct("df", "h"))).alias("tokens"))
-    return kept.join(sizes, "key").where(F.size("tokens") >= _least(F.col("n"))).select("key", "n", "tokens")
+    weight = F.aggregate("tokens.df", F.lit(0.0), lambda a, x: a + F.log(x.cast("double"))) / F.col("n")
+    return (kept.join(sizes, "key").where(F.size("tokens") >= _least(F.col("n")))
+            .select("key", "n", "tokens", weight.alias("weight")))
 
 
 def linked(pairs: DataFrame, parts: DataFrame) -> DataFrame:
@@ -221,9 +224,8 @@ def _fits(na: Column, nb: Column) -> Column:
 def merged(found: DataFrame) -> DataFrame:
     """(key, label): components of the survivors."""
     prefix = F.slice("tokens", F.lit(1), (F.size("tokens") - _least(F.col("n")) + 1).cast("int"))
-    weight = F.aggregate("tokens.df", F.lit(0.0), lambda a, x: a + F.log(x.cast("double"))) / F.col("n")
     tokens = cut(found.select("key", "n", F.posexplode(prefix).alias("_at", "_t"), F.size("tokens").alias("_k"),
-                              weight.alias("weight")).select(
+                              "weight").select(
         "key", "n", "weight", F.col("_t.h").alias("h"), (F.col("_k") - F.col("_at")).alias("left")))
     hs = lambda p: F.filter("tokens.h", lambda x: F.pmod(x, PARTS) == p)
     parts = found.select("key", F.explode(F.array(*[F.struct(F.lit(p).alias("part"), hs(p).alias("hs"))
