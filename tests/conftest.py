@@ -13,7 +13,7 @@ def texts(spark):
     """n rows of (row_id, text) from a given key on, with several sentences each."""
     def build(n, first=0):
         words = ("harbour", "violin", "meadow", "lantern", "granite", "willow", "copper")
-        part = lambda i, k: " ".join(words[(i * 31 + k * 7 + j * j) % 7] for j in range(5)) + f" {i % 97}{k}"
+        part = lambda i, k: " ".join(f"{words[(i + j) % 7]}{(i * 31 + k * 17 + j * j) % 211}" for j in range(5)) + f" {i % 97}{k}"
         return spark.createDataFrame([(i, ". ".join(part(i, k) for k in range(4)) + ".") for i in range(first, first + n)],
                                      "row_id bigint, text string")
     return build
