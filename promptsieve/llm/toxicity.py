@@ -10,9 +10,10 @@ A word's ratio counts beyond DEAD_ZONE only: that keeps the chance differences o
 text's sum. A document's sum, and its sum per word (the length-normalised ratio), go through a logistic curve.
 
 Counts cover every labelled training row and so grow with the input. Contexts are eight bytes, one BIGINT with the next
-byte, so counting, backing off and comparing are integer aggregations and joins. The tasks hold a table of MAX_ENTRIES
-ratios at most: beyond it the rarest contexts are left to the shared counts, which give them ratio zero. A fifth of the
-training rows is kept from the counts; at most CALIBRATION_ROWS of it fit the curve's three weights.
+byte, so counting, backing off and comparing are integer aggregations and joins. Ratios are made from all counts. The tasks
+hold those of the MAX_ENTRIES most frequent contexts at most; words that need others are collected, each distinct one is
+scored once by joins with the other ratios, and its value is added to the sums of the documents that hold it. A fifth of the
+training rows, and of many rows about CALIBRATION_ROWS, is kept from the counts and fits the curve's three weights.
 
 Edge cases: null and empty texts have no words and score the curve's intercept; a null id is never held out; a document with
 several labels counts as toxic if one says so; null labels are no labels; without both classes in the training rows
@@ -35,6 +36,7 @@ DEAD_ZONE = 2.0
 MAX_ENTRIES = 4_000_000
 CALIBRATION_ROWS = 20_000
 CUT_SCORE = 0.7
+WORD_ROWS = 2_000_000       # words beyond the table up to which their values are broadcast: a hash and a number each
 LABEL_ROWS = 2_000_000      # training labels up to which they are broadcast: an id and two bits each
 PIECE_BYTES = 1 << 19       # of words or text whose keys a task holds at once
 _BYTES = np.uint64(8)
@@ -88,10 +90,11 @@ def gram_counts(counts: DataFrame) -> DataFrame:
         F.sum("t").alias("t"), F.sum("o").alias("o"))
 
 
-def fitting(grams: DataFrame, limit: int = MAX_ENTRIES) -> DataFrame:
-    """``grams`` without the rarest, so that ``limit`` remain: the least power of two of pooled counts that does it."""
-    step = F.floor(F.log2(F.col("t") + F.col("o")))
-    sizes = {r[0]: r[1] for r in grams.groupBy(step.alias("step")).count().collect()}   # at most 64 rows
+def divided(table: DataFrame, limit: int = MAX_ENTRIES) -> tuple[DataFrame, DataFrame | None]:
+    """The most frequent rows of ``ratios``, ``limit`` at most, and the others: cut at the least power of two of pooled
+    counts that does it. Without others, None."""
+    step = F.floor(F.log2("n"))
+    sizes = {r[0]: r[1] for r in table.groupBy(step.alias("step")).count().collect()}   # at most 64 rows
     least = max(sizes, default=0) + 1
     total = 0
     for s in sorted(sizes, reverse=True):
@@ -99,12 +102,12 @@ def fitting(grams: DataFrame, limit: int = MAX_ENTRIES) -> DataFrame:
         if total > limit:
             break
         least = s
-    return grams.where(step >= least)
+    return table.where(step >= least), table.where(step < least) if len(sizes) and least > min(sizes) else None
 
 
 def ratios(grams: DataFrame) -> DataFrame:
-    """(key, ratio, rest): log of toxic over ordinary likelihood of the key's byte after its context, and of any byte that
-    never followed that context."""
+    """(key, ratio, rest, n): log of toxic over ordinary likelihood of the key's byte after its context, and of any byte
+    that never followed that context; ``n`` is the pooled count."""
     masks = {m: (1 << (8 * (m + 1))) - 1 for m in CONTEXTS[1:]}
     levels = [grams.withColumn("n", F.col("t") + F.col("o"))]
     for m in CONTEXTS[1:]:      # continuation counts: distinct longer contexts
@@ -132,7 +135,7 @@ def ratios(grams: DataFrame) -> DataFrame:
               for c in "to"}
     rest = F.log(mass["t"] / (F.col("_tn") + PRIOR)) - F.log(mass["o"] / (F.col("_on") + PRIOR))
     return top.select("key", (F.log(likely["t"]) - F.log(likely["o"])).cast("float").alias("ratio"),
-                      rest.cast("float").alias("rest"))
+                      rest.cast("float").alias("rest"), (F.col("t") + F.col("o")).alias("n"))
 
 
 class Model:
@@ -156,29 +159,44 @@ class Model:
         at[at == len(table)] = 0
         return at, table[at] == wanted if len(table) else np.zeros(len(wanted), dtype=bool)
 
-    def word_ratios(self, data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
-        """Per span, the sum over its bytes beyond the dead zone."""
-        if not len(starts) or not len(self.keys):
-            return np.zeros(len(starts))
+    def key_values(self, data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(keys, word, value, seen): of every byte of the spans; ``value`` of a key that isn't ``seen`` in the table is that
+        of its context, NaN if that isn't in the table either."""
         keys, word = byte_keys(data, starts, stops)
+        value = np.full(len(keys), np.nan, dtype=np.float32)
+        if not len(self.keys):
+            return keys, word, value, np.zeros(len(keys), dtype=bool)
         at, seen = self._find(self.keys, keys)
-        value = np.where(seen, self.ratio[at], np.float32(0))
+        value[seen] = self.ratio[at[seen]]
         new = np.flatnonzero(~seen)
-        at, seen = self._find(self.contexts, keys[new] >> _BYTES)
-        value[new[seen]] = self.rest[at[seen]]
-        total = np.bincount(word, weights=value, minlength=len(starts))
-        return np.sign(total) * np.maximum(np.abs(total) - DEAD_ZONE, 0)
+        at, known = self._find(self.contexts, keys[new] >> _BYTES)
+        value[new[known]] = self.rest[at[known]]
+        return keys, word, value, seen
 
-    def sums(self, data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(words, ratio sum) per text; a word that repeats in the piece is looked up once."""
+    def word_ratios(self, data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Per span, the sum over its bytes beyond the dead zone, and whether all of them are in the table."""
+        if not len(starts):
+            return np.zeros(0), np.zeros(0, dtype=bool)
+        _, word, value, seen = self.key_values(data, starts, stops)
+        total = np.bincount(word, weights=np.nan_to_num(value), minlength=len(starts))
+        whole = np.bincount(word[~seen], minlength=len(starts)) == 0
+        return np.sign(total) * np.maximum(np.abs(total) - DEAD_ZONE, 0), whole
+
+    def sums(self, data: np.ndarray, ends: np.ndarray, is_whole: bool = True) -> tuple[np.ndarray, ...]:
+        """(words, ratio sum, open, n_open) per text; a word that repeats in the piece is looked up once. Unless the table
+        ``is_whole``, words with a byte beyond it don't count: ``open`` lists their hashes, text after text."""
         starts, stops, bounds = word_spans(data, ends)
         n = np.diff(bounds)
+        none = np.zeros(0, dtype=np.uint64)
         if not len(starts):
-            return n, np.zeros(len(n))
-        _, first, inverse = np.unique(word_hashes(data, starts, stops), return_index=True, return_inverse=True)
-        each = self.word_ratios(data, starts[first], stops[first])[inverse]
+            return n, np.zeros(len(n)), none, np.zeros(len(n), dtype=np.int64)
+        h, first, inverse = np.unique(word_hashes(data, starts, stops), return_index=True, return_inverse=True)
+        each, whole = self.word_ratios(data, starts[first], stops[first])
+        opened = none if is_whole else np.flatnonzero(~whole[inverse])
+        each = (each if is_whole else np.where(whole, each, 0.0))[inverse]
         total = np.concatenate([[0.0], np.cumsum(np.rint(each * 4096))])    # whole numbers: sums don't depend on pieces
-        return n, (total[bounds[1:]] - total[bounds[:-1]]) / 4096
+        n_open = np.diff(np.searchsorted(opened, bounds))
+        return n, (total[bounds[1:]] - total[bounds[:-1]]) / 4096, none if is_whole else h[inverse[opened]], n_open
 
 
 def summed(docs: DataFrame, shared, *carried: str) -> DataFrame:
@@ -187,7 +205,7 @@ def summed(docs: DataFrame, shared, *carried: str) -> DataFrame:
         model = Model(*shared.value)
         for batch in batches:
             for first, end, data, ends in chunks(batch.column("text"), 2 * PIECE_BYTES):
-                n, total = model.sums(data, ends)
+                n, total, _, _ = model.sums(data, ends)
                 yield pa.RecordBatch.from_arrays([*[batch.column(c)[first:end] for c in carried], pa.array(n),
                                                   pa.array(total)], names=[*carried, "n_words", "total"])
     kinds = ", ".join(f"{c} bigint" for c in carried)
@@ -195,6 +213,71 @@ def summed(docs: DataFrame, shared, *carried: str) -> DataFrame:
         run, f"{kinds}, n_words bigint, total double")
 
 
+def _open_words(docs: DataFrame, shared) -> DataFrame:
+    """(h, key, value): of each distinct word with a byte beyond the table, its keys beyond it with their context's value,
+    null if that is beyond it too, and with a null key the sum of the others."""
+    def words(batches):
+        model = Model(*shared.value)
+        for batch in batches:
+            for _, _, data, ends in chunks(batch.column("text"), 2 * PIECE_BYTES):
+                starts, stops, _ = word_spans(data, ends)
+                h, first = np.unique(word_hashes(data, starts, stops), return_index=True)
+                whole = model.word_ratios(data, starts[first], stops[first])[1]
+                h, first = h[~whole], first[~whole]
+                texts = [data[a:b].tobytes() for a, b in zip(starts[first].tolist(), stops[first].tolist())]
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(texts, pa.binary())], names=["h", "word"])
+
+    def keys(batches):
+        model = Model(*shared.value)
+        for batch in batches:
+            h = batch.column("h").to_numpy()
+            for first, _, data, ends in chunks(batch.column("word").view(pa.string()), PIECE_BYTES):
+                key, word, value, seen = model.key_values(data, ends[:-1], ends[1:])
+                known = np.bincount(word[seen], weights=value[seen], minlength=len(ends) - 1)
+                late = np.flatnonzero(~seen)
+                mine, value = h[first:first + len(known)], value[late].astype(np.float64)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate([mine, mine[word[late]]])),
+                     pa.array(np.concatenate([np.zeros(len(known), np.int64), key[late].view(np.int64)]),
+                              mask=np.arange(len(known) + len(late)) < len(known)),
+                     pa.array(np.concatenate([known, value]), from_pandas=True)], names=["h", "key", "value"])
+    distinct = docs.select("text").mapInArrow(words, "h bigint, word binary").groupBy("h").agg(
+        F.min("word").alias("word"))
+    return distinct.mapInArrow(keys, "h bigint, key bigint, value double")
+
+
+def summed_beyond(docs: DataFrame, shared, others: DataFrame, *carried: str) -> DataFrame:
+    """``summed`` where the ratios that aren't ``shared`` are the rows of ``others``."""
+    def run(batches):
+        model = Model(*shared.value)
+        for batch in batches:
+            for first, end, data, ends in chunks(batch.column("text"), 2 * PIECE_BYTES):
+                n, total, h, n_open = model.sums(data, ends, is_whole=False)
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n_open)]).astype(np.int32)),
+                                                 pa.array(h.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([*[batch.column(c)[first:end] for c in carried], pa.array(n),
+                                                  pa.array(total), lists], names=[*carried, "n_words", "total", "_open"])
+    kinds = ", ".join(f"{c} bigint" for c in carried)
+    rows = cut(docs.select(*[F.col(c).cast("bigint") for c in carried], "text").mapInArrow(
+        run, f"{kinds}, n_words bigint, total double, _open array<bigint>")).withColumn(
+        "_row", F.monotonically_increasing_id())
+    keys = cut(_open_words(docs, shared))
+    contexts = others.groupBy(F.shiftrightunsigned("key", 8).alias("_c")).agg(F.first("rest").alias("_rest"))
+    late = (keys.where("key IS NOT NULL").join(others.select("key", "ratio"), "key", "left")
+            .withColumn("value", F.coalesce(F.col("ratio").cast("double"), "value")))
+    missing = late.where("value IS NULL").withColumn("_c", F.shiftrightunsigned("key", 8)).join(contexts, "_c")
+    values = (keys.where("key IS NULL").select("h", "value").unionByName(late.where("value IS NOT NULL").select("h", "value"))
+              .unionByName(missing.select("h", F.col("_rest").cast("double").alias("value"))))
+    total = F.sum("value")
+    words = values.groupBy("h").agg((F.signum(total) * F.greatest(F.abs(total) - DEAD_ZONE, F.lit(0.0))).alias("_value"))
+    words = small(cut(words.select(F.col("h").alias("_h"), F.rint(F.col("_value") * 4096).alias("_value"))
+                      .where("_value != 0")), WORD_ROWS)
+    extra = (rows.select("_row", F.explode("_open").alias("h")).join(words, F.col("h") == F.col("_h"))
+             .groupBy("_row").agg((F.sum("_value") / 4096).alias("_extra")))
+    return rows.join(extra, "_row", "left").select(
+        *carried, "n_words", (F.col("total") + F.coalesce("_extra", F.lit(0.0))).alias("total"))
+
+
 def _features() -> list[Column]:
     gain = F.greatest(F.col("total"), F.lit(0.0))
     return [F.log1p(gain), F.log1p(100 * gain / F.greatest("n_words", F.lit(1)))]
@@ -215,18 +298,25 @@ def curve(rows: list) -> tuple[float, ...]:
     return tuple(float(v) for v in w)
 
 
-def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, held_out, score, predicted) per row of ``docs``; only labels of rows that aren't held out are read."""
+def scored(docs: DataFrame, labels: DataFrame, limit: int = MAX_ENTRIES) -> DataFrame:
+    """(doc_id, held_out, score, predicted) per row of ``docs``; only labels of rows that aren't held out are read. The tasks
+    hold ``limit`` ratios; scores don't depend on it."""
     spark = docs.sparkSession
-    known = (labels.where(F.col("toxic").isNotNull() & (fold(F.col("doc_id")) % 3 != 1)).groupBy("doc_id")
-             .agg(F.max("toxic").cast("int").alias("toxic"))
-             .select(F.col("doc_id").alias("_id"), "toxic", (F.floor(fold(F.col("doc_id")) / 3) % 5 == 0).alias("_aside")))
-    train = docs.select("doc_id", "text").join(small(cut(known), LABEL_ROWS), F.col("doc_id") == F.col("_id"))
+    known = cut(labels.where(F.col("toxic").isNotNull() & (fold(F.col("doc_id")) % 3 != 1)).groupBy("doc_id")
+                .agg(F.max("toxic").cast("int").alias("toxic")))
+    parts = max(5, known.count() // CALIBRATION_ROWS)
+    known = known.select(F.col("doc_id").alias("_id"), "toxic",
+                         (F.floor(fold(F.col("doc_id")) / 3) % parts == 0).alias("_aside"))
+    train = docs.select("doc_id", "text").join(small(known, LABEL_ROWS), F.col("doc_id") == F.col("_id"))
     grams = cut(gram_counts(word_counts(train.where("NOT _aside"))))
-    table = cut(ratios(fitting(grams))).toArrow()       # at most MAX_ENTRIES rows of 16 bytes
+    most, others = divided(cut(ratios(grams)), limit)
+    table = most.drop("n").toArrow()     # at most ``limit`` rows of 16 bytes
     shared = spark.sparkContext.broadcast(Model.arrays(table))
     del table
-    aside = summed(train.where("_aside"), shared, "doc_id", "toxic")
+
+    def sums(df: DataFrame, *carried: str) -> DataFrame:
+        return summed(df, shared, *carried) if others is None else summed_beyond(df, shared, others, *carried)
+    aside = sums(train.where("_aside"), "doc_id", "toxic")
     sample = (aside.orderBy(F.xxhash64("doc_id"), "total").limit(CALIBRATION_ROWS)
               .select(*[f.alias(f"f{i}") for i, f in enumerate(_features())], "toxic").collect())
     b, *weights = curve(sample)
@@ -234,6 +324,6 @@ def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
     for w, f in zip(weights, _features()):
         z = z + w * f
     score = 1 / (1 + F.exp(-z))
-    return (summed(docs, shared, "doc_id").withColumn("score", score)
+    return (sums(docs, "doc_id").withColumn("score", score)
             .select("doc_id", (fold(F.col("doc_id")) % 3 == 1).alias("held_out"), "score",
                     (F.col("score") >= CUT_SCORE).cast("int").alias("predicted")))

@@ -207,6 +207,14 @@ def test_toxicity_without_classes(spark, odd):
     assert toxicity.scored(odd.limit(0), some).count() == 0
 
 
+def test_toxicity_scores_do_not_depend_on_the_table_held(spark, docs):
+    labels = spark.read.parquet(f"{SF_DIR}/labels.parquet")
+    want = {r.doc_id: r.score for r in toxicity.scored(docs, labels).collect()}
+    for limit in (2_000, 0):
+        got = {r.doc_id: r.score for r in toxicity.scored(docs, labels, limit=limit).collect()}
+        assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-3 for i in want)
+
+
 def test_byte_keys():
     data = np.frombuffer(b"Abcdefghij xy", dtype=np.uint8)
     keys, word = toxicity.byte_keys(data, np.array([0, 11]), np.array([10, 13]))
