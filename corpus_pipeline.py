@@ -14,7 +14,7 @@ from promptsieve.session import scratch_path
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base rules or the line frequencies reject go."""
+    """Documents that the base rules or the line frequencies reject go, and the common lines of the others."""
     return quality.filtered(docs)
 
 

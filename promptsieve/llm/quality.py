@@ -95,7 +95,7 @@ def common_lines(rows: DataFrame, max_documents: int = MAX_DOCUMENTS,
 
 def judged(docs: DataFrame, **limits) -> DataFrame:
     """One row per row of ``docs``: the counts, ``base_failed``, ``n_left`` words after line removal, and ``kept``."""
-    return _judged(docs, **limits).drop("text_hash")
+    return _judged(docs, **limits).drop("text_hash", "host", "removed")
 
 
 def _judged(docs: DataFrame, max_documents: int = MAX_DOCUMENTS, max_share_percent: int = MAX_SHARE_PERCENT,
@@ -107,17 +107,29 @@ def _judged(docs: DataFrame, max_documents: int = MAX_DOCUMENTS, max_share_perce
     rows = rows.withColumn("_row", F.monotonically_increasing_id())
     removed = (rows.select("_row", "host", F.explode("lines").alias("_line"))
                .join(common, F.col("host").eqNullSafe(F.col("_host")) & (F.col("_line.h") == F.col("_h")))
-               .groupBy("_row").agg(F.sum("_line.n").alias("_removed")))
+               .groupBy("_row").agg(F.sum("_line.n").alias("_removed"), F.collect_set("_h").alias("removed")))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     n_left = F.col("n_words") - F.coalesce("_removed", F.lit(0))
     depleted = (n_left < MIN_WORDS) | (100 * n_left < min_left_percent * F.col("n_words"))
     return rows.drop("lines").join(removed, "_row", "left").select(
         "doc_id", "text_hash", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"),
-        n_left.cast("bigint").alias("n_left"), (~failed & ~depleted).alias("kept"))
+        n_left.cast("bigint").alias("n_left"), (~failed & ~depleted).alias("kept"), "host", "removed")
+
+
+def without_lines(text: Column, removed: Column) -> Column:
+    """``text`` without the lines whose hash is in ``removed``; the others stay as they are and in order."""
+    gone = lambda x: x.rlike(f"[^{SPACE}]") & F.array_contains(removed, line_hash(x))
+    return F.array_join(F.filter(F.split(text, "\n"), lambda x: ~gone(x)), "\n")
 
 
 def filtered(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are kept, with their columns."""
-    marked = _judged(docs).where(~F.col("kept")).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__h"))
-    return docs.join(small(cut(marked.distinct())), F.col("doc_id").eqNullSafe(F.col("__id"))
-                     & (F.xxhash64("text") == F.col("__h")), "left_anti")
+    """The rows of ``docs`` that are kept, with their columns; ``text`` is without the host's common lines, so its length
+    may differ from what another column says."""
+    marked = _judged(docs).where(~F.col("kept") | F.col("removed").isNotNull()).select(
+        F.col("doc_id").alias("__id"), F.col("text_hash").alias("__h"), F.col("host").alias("__host"),
+        F.col("kept").alias("__kept"), F.array_sort("removed").alias("__removed"))
+    rows = docs.join(small(cut(marked.distinct())), F.col("doc_id").eqNullSafe(F.col("__id"))
+                     & (F.xxhash64("text") == F.col("__h")) & F.col("source").eqNullSafe(F.col("__host")), "left")
+    text = F.when(F.col("__removed").isNotNull(), without_lines(F.col("text"), F.col("__removed"))).otherwise(F.col("text"))
+    return rows.where(F.coalesce("__kept", F.lit(True))).select(
+        *[text.alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns])

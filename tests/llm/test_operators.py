@@ -250,6 +250,16 @@ def test_common_lines_reject_depleted_documents_only(make):
     assert all(kept[200 + i] for i in range(50))        # copies don't make their own lines common
 
 
+def test_filtered_texts_are_without_common_lines(make):
+    boiler = "this line stands in very many documents and says nothing at all"
+    own = {i: "\n".join(" ".join(f"own{i}l{j}w{k}" for k in range(15)) for j in range(2)) for i in range(60)}
+    rows = [(i, own[i].replace("\n", f"\n\n {boiler.upper()}  \n") + "\n" + boiler, "h") for i in range(60)]
+    rows += [(0, rows[0][1], "other"), (100, boiler + "\nx y", "h"), (101, None, "h")]
+    got = [(r.doc_id, r.source, r.text) for r in quality.filtered(make(rows)).collect()]
+    want = [(i, "h", own[i].replace("\n", "\n\n")) for i in range(60)] + [(0, "other", rows[0][1])]
+    assert Counter(got) == Counter(want)
+
+
 def test_mix_meets_targets(make):
     rng = random.Random(2)
     rows = [(i, " ".join(["w"] * rng.randrange(1, 200)), rng.choice(["a", "b", "c", "c", "c", "c"])) for i in range(900)]
