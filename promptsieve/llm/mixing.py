@@ -65,12 +65,12 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP
 
 
 def _crossing(rows: DataFrame, column: str, start: str) -> DataFrame:
-    """(source, column, start): of each source the bin in which its sum passes ``_need``; ``start`` is the sum before."""
+    """(source, column, start): of each source the bin in which its sum reaches ``_need``; ``start`` is the sum before."""
     w = Window.partitionBy("source").orderBy(column).rowsBetween(Window.unboundedPreceding, 0)
     bins = rows.groupBy("source", column).agg(F.sum("size").alias("_n"), F.first("_need").alias("_need"),
                                               F.first("_from").alias("_from"))
     return (bins.withColumn("_to", F.sum("_n").over(w) + F.col("_from"))
-            .where((F.col("_to") > F.col("_need")) & (F.col("_to") - F.col("_n") < F.col("_need")))
+            .where((F.col("_to") >= F.col("_need")) & (F.col("_to") - F.col("_n") < F.col("_need")))
             .select("source", column, (F.col("_to") - F.col("_n")).alias(start)))
 
 

@@ -272,6 +272,14 @@ def test_mix_meets_targets(make):
     assert Counter(got) == Counter(mixing.mix(make(rows[::-1]).repartition(7)).collect())
 
 
+def test_mix_of_sources_with_one_size(make):
+    ten = " ".join(["w"] * 10)
+    for counts in ((2, 1), (1, 1), (3, 6), (4, 4, 4), (7, 2, 12), (20, 20, 20)):
+        df = make([(100 * s + i, ten, "abc"[s]) for s, n in enumerate(counts) for i in range(n)])
+        columns, want = sql_rows("op7_source_mixing", df.select("doc_id", "text", "source"))
+        assert Counter(tuple(r[c] for c in columns) for r in mixing.mix(df).collect()) == want
+
+
 # ---- secrets
 
 ASSIGN = re.compile(r'''((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)''')
