@@ -2,8 +2,9 @@
 
 A rule is a regular expression with a label, a priority and a score. Rules are written per license family from a few
 templates (identifier tag, grant sentence, name, address) plus sentences of the licenses' own texts. A text is tried with a
-family's rules only if it holds the family's keyword, and with any at all only if it holds a general keyword. A detection that
-lies inside another of higher priority, or of equal priority and greater length, is suppressed.
+rule only if it holds one of the rule's keywords, and with any at all only if it passes a general gate; both are derived from
+the rules' patterns, so that they change no detection. A detection that lies inside another of higher priority, or of equal
+priority and greater length, is suppressed.
 
 Only DataFrame functions are used. Texts without a keyword are scanned once and not kept; the others' detections are
 resolved by one window per document, so many detections in one text stay n log n.
@@ -14,6 +15,8 @@ are scanned each; an empty table gives an empty table; extra columns are ignored
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,104 +30,126 @@ ANY_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 # Base phrases and their labels.
 BASE = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 
-KEYWORDS = ("licen", "copyright", "spdx", "copyleft", "permission", "redistribut", "public domain", "warrant", "creative")
-
-# Families: label, keyword, name as a pattern, whether versions belong to the label, address.
+# Families: label, name as a pattern, whether versions belong to the label, address.
 FAMILIES = (
-    ("mit", "mit", "mit|expat", False, "opensource.org/licenses/mit"),
-    ("apache", "apache", "apache(?: software)?", True, "apache.org/licenses"),
-    ("gpl", "general public", "(?:gnu )?(?:general public|gpl)", True, "gnu.org/licenses/gpl"),
-    ("gpl", "gpl", "gnu gpl|gpl", True, "gnu.org/copyleft/gpl"),
-    ("lgpl", "lesser", "(?:gnu )?(?:lesser|library) general public", True, "gnu.org/licenses/lgpl"),
-    ("lgpl", "lgpl", "(?:gnu )?lgpl", True, "gnu.org/copyleft/lesser"),
-    ("agpl", "affero", "(?:gnu )?affero general public", True, "gnu.org/licenses/agpl"),
-    ("agpl", "agpl", "(?:gnu )?agpl", True, "spdx.org/licenses/agpl"),
-    ("gfdl", "free documentation", "(?:gnu )?free documentation", True, "gnu.org/licenses/fdl"),
-    ("bsd", "bsd", "(?:new |modified |simplified |revised )?bsd(?:[- ][0-4][- ]clause)?|[0-4][- ]clause bsd", False,
+    ("mit", "mit|expat", False, "opensource.org/licenses/mit"),
+    ("apache", "apache(?: software)?", True, "apache.org/licenses"),
+    ("gpl", "(?:gnu )?(?:general public|gpl)", True, "gnu.org/licenses/gpl"),
+    ("gpl", "gnu gpl|gpl", True, "gnu.org/copyleft/gpl"),
+    ("lgpl", "(?:gnu )?(?:lesser|library) general public", True, "gnu.org/licenses/lgpl"),
+    ("lgpl", "(?:gnu )?lgpl", True, "gnu.org/copyleft/lesser"),
+    ("agpl", "(?:gnu )?affero general public", True, "gnu.org/licenses/agpl"),
+    ("agpl", "(?:gnu )?agpl", True, "spdx.org/licenses/agpl"),
+    ("gfdl", "(?:gnu )?free documentation", True, "gnu.org/licenses/fdl"),
+    ("bsd", "(?:new |modified |simplified |revised )?bsd(?:[- ][0-4][- ]clause)?|[0-4][- ]clause bsd", False,
      "opensource.org/licenses/bsd"),
-    ("mpl", "mozilla", "mozilla public", True, "mozilla.org/mpl"),
-    ("mpl", "mpl", "mpl", True, "spdx.org/licenses/mpl"),
-    ("epl", "eclipse", "eclipse public", True, "eclipse.org/legal/epl"),
-    ("edl", "eclipse", "eclipse distribution", True, "eclipse.org/org/documents/edl"),
-    ("cddl", "common development", "common development and distribution", True, "opensource.org/licenses/cddl"),
-    ("cpl", "common public", "common public", True, "opensource.org/licenses/cpl"),
-    ("isc", "isc", "isc", False, "opensource.org/licenses/isc"),
-    ("zlib", "zlib", "zlib(?:/libpng)?", False, "zlib.net/zlib_license"),
-    ("unlicense", "unlicense", "unlicense", False, "unlicense.org"),
-    ("cc0", "cc0", "cc0", True, "creativecommons.org/publicdomain/zero"),
-    ("cc-by", "creative commons", "creative commons attribution", True, "creativecommons.org/licenses/by/"),
-    ("cc-by-sa", "creative commons", "creative commons attribution[- ]share[- ]?alike", True,
+    ("mpl", "mozilla public", True, "mozilla.org/mpl"),
+    ("mpl", "mpl", True, "spdx.org/licenses/mpl"),
+    ("epl", "eclipse public", True, "eclipse.org/legal/epl"),
+    ("edl", "eclipse distribution", True, "eclipse.org/org/documents/edl"),
+    ("cddl", "common development and distribution", True, "opensource.org/licenses/cddl"),
+    ("cpl", "common public", True, "opensource.org/licenses/cpl"),
+    ("isc", "isc", False, "opensource.org/licenses/isc"),
+    ("zlib", "zlib(?:/libpng)?", False, "zlib.net/zlib_license"),
+    ("unlicense", "unlicense", False, "unlicense.org"),
+    ("cc0", "cc0", True, "creativecommons.org/publicdomain/zero"),
+    ("cc-by", "creative commons attribution", True, "creativecommons.org/licenses/by/"),
+    ("cc-by-sa", "creative commons attribution[- ]share[- ]?alike", True,
      "creativecommons.org/licenses/by-sa/"),
-    ("cc-by-nc", "creative commons", "creative commons attribution[- ]non[- ]?commercial", True,
+    ("cc-by-nc", "creative commons attribution[- ]non[- ]?commercial", True,
      "creativecommons.org/licenses/by-nc/"),
-    ("cc-by-nd", "creative commons", "creative commons attribution[- ]no[- ]?deriv(?:ative)?s?(?: works)?", True,
+    ("cc-by-nd", "creative commons attribution[- ]no[- ]?deriv(?:ative)?s?(?: works)?", True,
      "creativecommons.org/licenses/by-nd/"),
-    ("cc-by-nc-sa", "creative commons", "creative commons attribution[- ]non[- ]?commercial[- ]share[- ]?alike", True,
+    ("cc-by-nc-sa", "creative commons attribution[- ]non[- ]?commercial[- ]share[- ]?alike", True,
      "creativecommons.org/licenses/by-nc-sa/"),
-    ("artistic", "artistic", "(?:perl )?artistic", True, "opensource.org/licenses/artistic"),
-    ("boost", "boost", "boost software", True, "boost.org/license"),
-    ("wtfpl", "wtfpl", "wtfpl", True, "wtfpl.net"),
-    ("psf", "python", "python(?: software foundation)?|psf", True, "docs.python.org/license"),
-    ("openssl", "openssl", "openssl", False, "openssl.org/source/license"),
-    ("eupl", "european union", "european union public", True, "eupl.eu"),
-    ("ofl", "open font", "(?:sil )?open font", True, "scripts.sil.org/ofl"),
-    ("ms-pl", "microsoft", "microsoft public", False, "opensource.org/licenses/ms-pl"),
-    ("ms-rl", "microsoft", "microsoft reciprocal", False, "opensource.org/licenses/ms-rl"),
-    ("x11", "x11", "x11", False, "spdx.org/licenses/x11"),
-    ("postgresql", "postgresql", "postgresql", False, "postgresql.org/about/licence"),
-    ("ncsa", "ncsa", "(?:university of illinois/)?ncsa(?: open source)?", False, "opensource.org/licenses/ncsa"),
-    ("vim", "vim", "vim", False, "spdx.org/licenses/vim"),
-    ("ruby", "ruby", "ruby", False, "ruby-lang.org/en/about/license"),
-    ("php", "php", "php", True, "php.net/license"),
-    ("osl", "open software", "open software", True, "opensource.org/licenses/osl"),
-    ("afl", "academic free", "academic free", True, "opensource.org/licenses/afl"),
-    ("ecl", "educational community", "educational community", True, "opensource.org/licenses/ecl"),
-    ("busl", "business source", "business source", True, "mariadb.com/bsl"),
-    ("sspl", "server side", "server side public", True, "mongodb.com/licensing/server-side-public-license"),
-    ("elastic", "elastic", "elastic", True, "elastic.co/licensing/elastic-license"),
-    ("odbl", "open database", "(?:odc )?open database", True, "opendatacommons.org/licenses/odbl"),
-    ("odc-by", "open data commons", "open data commons attribution", True, "opendatacommons.org/licenses/by"),
+    ("artistic", "(?:perl )?artistic", True, "opensource.org/licenses/artistic"),
+    ("boost", "boost software", True, "boost.org/license"),
+    ("wtfpl", "wtfpl", True, "wtfpl.net"),
+    ("psf", "python(?: software foundation)?|psf", True, "docs.python.org/license"),
+    ("openssl", "openssl", False, "openssl.org/source/license"),
+    ("eupl", "european union public", True, "eupl.eu"),
+    ("ofl", "(?:sil )?open font", True, "scripts.sil.org/ofl"),
+    ("ms-pl", "microsoft public", False, "opensource.org/licenses/ms-pl"),
+    ("ms-rl", "microsoft reciprocal", False, "opensource.org/licenses/ms-rl"),
+    ("x11", "x11", False, "spdx.org/licenses/x11"),
+    ("postgresql", "postgresql", False, "postgresql.org/about/licence"),
+    ("ncsa", "(?:university of illinois/)?ncsa(?: open source)?", False, "opensource.org/licenses/ncsa"),
+    ("vim", "vim", False, "spdx.org/licenses/vim"),
+    ("ruby", "ruby", False, "ruby-lang.org/en/about/license"),
+    ("php", "php", True, "php.net/license"),
+    ("osl", "open software", True, "opensource.org/licenses/osl"),
+    ("afl", "academic free", True, "opensource.org/licenses/afl"),
+    ("ecl", "educational community", True, "opensource.org/licenses/ecl"),
+    ("busl", "business source", True, "mariadb.com/bsl"),
+    ("sspl", "server side public", True, "mongodb.com/licensing/server-side-public-license"),
+    ("elastic", "elastic", True, "elastic.co/licensing/elastic-license"),
+    ("odbl", "(?:odc )?open database", True, "opendatacommons.org/licenses/odbl"),
+    ("odc-by", "open data commons attribution", True, "opendatacommons.org/licenses/by"),
 )
 _VERSION = r"(?:,?[ \n]*(?:version|v\.?)?[ \n]*([0-9](?:\.[0-9])?)(?:\.0)?(?![0-9.]?[0-9]))?"
+GRANT = "(?:licensed|released|distributed|available|published|provided|covered)(?: to you)?[ \\n]+(?:under|by)[ \\n]+"
 TEMPLATES = (   # priority, score, pattern over (label, name, address)
     (100, 1.0, "spdx-license-identifier:[ ]*{label}[a-z0-9.+-]*"),
-    (80, 0.95, "(?:licensed|released|distributed|available|published|provided|covered)(?: to you)?[ \\n]+"
-               "(?:under|by)[ \\n]+(?:the[ \\n]+)?(?:terms[ \\n]+of[ \\n]+)?(?:the[ \\n]+)?"
+    (80, 0.95, GRANT + "(?:the[ \\n]+)?(?:terms[ \\n]+of[ \\n]+)?(?:the[ \\n]+)?"
                "(?:{name})(?:[ \\n]+licen[cs]e)?{version}"),
     (60, 0.8, "(?:{name})[ \\n]+licen[cs]e{version}"),
     (60, 0.8, "licen[cs]e[ ]*[:=][ ]*[\"']?(?:{name}){version}"),
     (40, 0.7, "(?:https?://)?(?:www\\.)?{address}[a-z0-9./_-]*"),
 )
-TEXTS = (       # priority 90: sentences of the licenses themselves; label, keyword, pattern
-    ("mit", "permission", "permission is hereby granted, free of charge, to any person obtaining a copy"),
-    ("bsd", "redistribut", "redistribution and use in source and binary forms, with or without modification"),
-    ("apache", "licen", "you may not use this file except in compliance with the license"),
-    ("gpl", "redistribut", "free software[;:,] you can redistribute it and/or modify it under the terms of the gnu general"),
-    ("lgpl", "redistribut", "you can redistribute it and/or modify it under the terms of the gnu (?:lesser|library) general"),
-    ("agpl", "redistribut", "you can redistribute it and/or modify it under the terms of the gnu affero general"),
-    ("mpl", "licen", "this source code form is subject to the terms of the mozilla public license"),
-    ("isc", "permission", "permission to use, copy, modify, and(?:/or)? distribute this software for any purpose with"),
-    ("zlib", "warrant", "provided 'as-is', without any express or implied warranty"),
-    ("unlicense", "public domain", "free and unencumbered software released into the public domain"),
-    ("cc0", "public domain", "dedicated to the public domain|public domain dedication"),
-    ("boost", "permission", "to use, reproduce, display, distribute, execute, and transmit the software"),
-    ("wtfpl", "licen", "do what the fuck you want to public license"),
-    ("epl", "licen", "accompanying materials are made available under the terms of the eclipse public"),
-    ("postgresql", "permission", "permission to use, copy, modify, and distribute this software and its documentation for any"),
-    ("proprietary", "copyright", "all rights reserved"),
+TEXTS = (       # priority 90: sentences of the licenses themselves; label, pattern
+    ("mit", "permission is hereby granted, free of charge, to any person obtaining a copy"),
+    ("bsd", "redistribution and use in source and binary forms, with or without modification"),
+    ("apache", "you may not use this file except in compliance with the license"),
+    ("gpl", "free software[;:,] you can redistribute it and/or modify it under the terms of the gnu general"),
+    ("lgpl", "you can redistribute it and/or modify it under the terms of the gnu (?:lesser|library) general"),
+    ("agpl", "you can redistribute it and/or modify it under the terms of the gnu affero general"),
+    ("mpl", "this source code form is subject to the terms of the mozilla public license"),
+    ("isc", "permission to use, copy, modify, and(?:/or)? distribute this software for any purpose with"),
+    ("zlib", "provided 'as-is', without any express or implied warranty"),
+    ("unlicense", "free and unencumbered software released into the public domain"),
+    ("cc0", "dedicated to the public domain|public domain dedication"),
+    ("boost", "to use, reproduce, display, distribute, execute, and transmit the software"),
+    ("wtfpl", "do what the fuck you want to public license"),
+    ("epl", "accompanying materials are made available under the terms of the eclipse public"),
+    ("postgresql", "permission to use, copy, modify, and distribute this software and its documentation for any"),
+    ("proprietary", "all rights reserved"),
 )
 
 
-def rules() -> list[tuple[str, str, int, float, bool, str]]:
-    """(label, keyword, priority, score, is_versioned, pattern), several per family."""
+def literals(pattern: str) -> list[str]:
+    """Strings of which every match of ``pattern`` holds one: the longest plain run of each alternative."""
+    group = re.search(r"\(\?:([^()]*)\)(\??)", pattern)
+    if group:
+        inner = ["]["] if group[2] else group[1].split("|")     # "][" parts runs like a class
+        return sorted({x for i in inner for x in literals(pattern[:group.start()] + i + pattern[group.end():])})
+    runs = [re.split(r"\]\[|\[[^\]]*\][?*+]?|.\?", alternative) for alternative in pattern.split("|")]
+    return sorted({max(r, key=len).replace("\\.", ".") for r in runs})
+
+
+def general_gate(low: Column) -> Column:
+    """Whether a text in lower case may match a rule: a grant's words, or a literal of any other rule."""
+    words = {"licen"}       # of the templates with a name and "license"
+    for _, keywords, priority, *_ in rules():
+        if priority in (100, 90, 40):
+            words |= {"spdx-license-identifier:"} if priority == 100 else set(keywords)
+    passed = low.rlike(GRANT)
+    for word in sorted(w for w in words if not any(x != w and x in w for x in words)):
+        passed = F.contains(low, F.lit(word)) | passed
+    return passed
+
+
+def rules() -> list[tuple[str, list[str], int, float, bool, str]]:
+    """(label, keywords, priority, score, is_versioned, pattern), several per family."""
     found = []
-    for label, keyword, name, versioned, address in FAMILIES:
+    for label, name, versioned, address in FAMILIES:
         for priority, score, pattern in TEMPLATES:
             body = pattern.replace("{label}", label).replace("{name}", name).replace(
                 "{version}", _VERSION).replace("{address}", address.replace(".", r"\."))
-            found.append((label, keyword if priority < 100 else "spdx", priority, score, versioned,
-                          f"(?<!{WORD}){body}(?!{WORD})"))
-    found += [(label, keyword, 90, 0.9, False, body.replace(" ", "[ \\n]+")) for label, keyword, body in TEXTS]
+            keywords = {100: ["spdx-license-identifier:"], 40: [address]}.get(priority) or literals(name)
+            found.append((label, keywords, priority, score, versioned, f"(?<!{WORD}){body}(?!{WORD})"))
+    for label, body in TEXTS:
+        pattern = body.replace(" ", "[ \\n]+")
+        found.append((label, literals(re.sub(r"\[[;:,]+\]", "][", pattern)), 90, 0.9, False, pattern))
     return found
 
 
@@ -140,9 +165,10 @@ def _words(text: Column) -> Column:
 
 def detections(gated: DataFrame) -> DataFrame:
     """(_row, label, score) of the rules' detections that no other suppresses; ``gated`` has (_row, _low)."""
-    listed = F.array(*[F.struct(*[F.lit(v).alias(c) for v, c in zip(
-        rule, ("label", "keyword", "priority", "score", "versioned", "pattern"))]) for rule in rules()])
-    tried = gated.withColumn("_r", F.explode(F.filter(listed, lambda r: F.contains(F.col("_low"), r["keyword"]))))
+    listed = F.array(*[F.struct(*[(F.array(*[F.lit(x) for x in v]) if c == "keywords" else F.lit(v)).alias(c) for v, c in zip(
+        rule, ("label", "keywords", "priority", "score", "versioned", "pattern"))]) for rule in rules()])
+    tried = gated.withColumn("_r", F.explode(F.filter(
+        listed, lambda r: F.exists(r["keywords"], lambda k: F.contains(F.col("_low"), k)))))
     spans = tried.where(F.rlike("_low", F.col("_r.pattern"))).select(
         "_row", "_r.label", "_r.priority", "_r.score", "_r.versioned",
         F.explode(_occurrences_of(F.col("_low"), F.col("_r.pattern"))).alias("_s"))
@@ -181,10 +207,7 @@ def _occurrences_of(text: Column, pattern: Column) -> Column:
 def scan(docs: DataFrame) -> DataFrame:
     """(doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score) per row of ``docs``."""
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("_text")).withColumn("_low", F.lower("_text"))
-    is_gated = F.lit(False)
-    for word in KEYWORDS:
-        is_gated = is_gated | F.contains(F.col("_low"), F.lit(word))
-    rows = rows.withColumn("_gated", F.when(is_gated, F.col("_low")))
+    rows = rows.withColumn("_gated", F.when(general_gate(F.col("_low")), F.col("_low")))
     rows = cut(rows.select("doc_id", _words(F.col("_text")).alias("n_words"), F.col("_gated").alias("_low"),
                            F.when(F.contains("_gated", F.lit("license")), _base(F.col("_gated"))).alias("_places"))
                ).withColumn("_row", F.monotonically_increasing_id())

@@ -396,6 +396,27 @@ def test_rules_and_suppression(make, odd):
     assert licenses.scan(odd).count() == odd.count() and licenses.scan(odd.limit(0)).count() == 0
 
 
+def test_gates_change_no_detection(make):
+    """Every rule's own kind of text, against all patterns without gates."""
+    made = ["at https://creativecommons.org/licenses/by/4.0/ x", "eupl.eu", "see mariadb.com/bsl now", "Expat License",
+            "GNU Library General Public License 2.0", "PSF License", "released under the MIT", "gnu.org/licenses/gpl-3.0"]
+    for label, name, _, address in licenses.FAMILIES:
+        plain = re.sub(r"\(\?:[^()]*\)\?", "", name).replace("[- ]?", " ").replace("[- ]", " ").replace("s?", "").replace("[0-4]", "3")
+        for n in re.sub(r"\(\?:([^()|]*)[^()]*\)", r"\1", plain).split("|"):
+            made += [f"covered by\n{n}.", f"a {n} licence", f"licence: {n}"]
+        made += [f"x {address} y", f"SPDX-License-Identifier: {label}"]
+    made += [re.sub(r"\(\?:([^()|]*)[^()]*\)\??", r"\1", t).replace("[;:,]", ";") for _, b in licenses.TEXTS
+             for t in (b.split("|") if "(" not in b else [b])]
+    compiled = [(re.compile(p), k) for _, k, _, _, _, p in licenses.rules()]
+    fires = {i: [k for p, k in compiled if p.search(t.lower())] for i, t in enumerate(made)}
+    assert all(any(w in made[i].lower() for w in k) for i, found in fires.items() for k in found)
+    assert all(fires.values()), [made[i] for i in fires if not fires[i]]
+    got = {r.doc_id: r for r in licenses.scan(make(list(enumerate(made)))).collect()}
+    assert all(got[i].labels for i in fires), [made[i] for i in fires if not got[i].labels]
+    assert "cc-by" in got[0].labels
+    assert got[4].labels == "gpl,lgpl-2.0" and "gpl-3.0" in got[7].labels
+
+
 # ---- decontamination
 
 def test_leaks_have_recall_and_no_false_match(spark, make):
