@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from promptsieve.llm import decontaminate, licenses, mixing, ngram_join, pseudonyms, quality, secrets, token_counts, toxicity, warc
+from promptsieve.llm import (decontaminate, licenses, mixing, ngram_join, packing, phrases, pseudonyms, quality, secrets,
+                             token_counts, toxicity, warc, whitening)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -72,6 +73,21 @@ def op10_decontamination(spark, sf_dir):
     return decontaminate.leaks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+@query
+def op11_best_fit_packing(spark, sf_dir):
+    return packing.pack(documents(spark, sf_dir))
+
+
+@query
+def op12_embedding_whitening(spark, sf_dir):
+    return whitening.whitened(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+@query
+def op13_phrase_collocations(spark, sf_dir):
+    return phrases.collocations(documents(spark, sf_dir))
+
+
 def oracle_sql() -> dict[str, str]:
     from promptsieve.llm import sql
 

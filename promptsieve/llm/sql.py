@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from promptsieve.llm import mixing, quality, warc
+from promptsieve.llm import mixing, phrases, quality, warc
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -51,6 +51,28 @@ MIX = rf"""WITH sized AS (SELECT doc_id, source, len(regexp_extract_all(coalesce
     SELECT doc_id, size, source_size, target, size * (whole + (middle <= need)::INT) AS taken FROM run"""
 
 
+PHRASES = rf"""WITH pieces AS (SELECT row_number() OVER () AS p, lang, w FROM (SELECT lang,
+        regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM (SELECT coalesce(lang, '{phrases.NO_LANG}') AS lang,
+        unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[.,;:!?\x0A-\x0D]')) AS piece FROM documents)) WHERE len(w) > 0),
+    places AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM pieces),
+    f AS (SELECT lang, array_to_string(g, ' ') AS phrase, len(g) AS m, count(*)::BIGINT AS a FROM (
+        SELECT lang, list_slice(w, i, i + m - 1) AS g FROM places, range(1, {phrases.MAX_WORDS + 1}) t(m)
+        WHERE i + m - 1 <= len(w)) GROUP BY lang, g HAVING count(*) >= {phrases.MIN_COUNT}),
+    totals AS (SELECT lang, sum(len(w))::BIGINT AS n FROM pieces GROUP BY lang),
+    cuts AS (SELECT lang, phrase, m, a, k, string_split(phrase, ' ') AS w FROM f, range(1, {phrases.MAX_WORDS}) t(k)
+        WHERE k < m),
+    valued AS (SELECT c.*, x.a AS l, y.a AS r, n, (1000::HUGEINT * c.a * n // (x.a::HUGEINT * y.a))::BIGINT AS score FROM cuts c
+        JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(list_slice(c.w, 1, k), ' ')
+        JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(list_slice(c.w, k + 1, c.m), ' ')
+        JOIN totals ON totals.lang = c.lang),
+    weakest AS (SELECT * FROM valued QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+    inner_parts AS (SELECT lang, array_to_string(list_slice(string_split(phrase, ' '), i, i + s - 1), ' ') AS phrase,
+        max(a) AS longer FROM f, range(1, {phrases.MAX_WORDS}) t(s), range(1, {phrases.MAX_WORDS + 1}) u(i)
+        WHERE s < m AND i + s - 1 <= m GROUP BY ALL)
+    SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+    FROM weakest LEFT JOIN inner_parts p USING (lang, phrase) WHERE coalesce(100 * longer < 100 * a, true)
+    QUALIFY rank <= {phrases.TOP}"""
 
 
 def _lit(s: str) -> str:
@@ -95,4 +117,5 @@ def _warc() -> str:
 
 
 def statements() -> dict[str, str]:
-    return {"op3_warc_derivatives": _warc(), "op5_quality_rules": QUALITY, "op7_source_mixing": MIX}
+    return {"op3_warc_derivatives": _warc(), "op5_quality_rules": QUALITY, "op7_source_mixing": MIX,
+            "op13_phrase_collocations": PHRASES}

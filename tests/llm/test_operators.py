@@ -470,7 +470,7 @@ def test_leaks_on_odd_rows(spark, odd):
 # ---- registration and pipeline
 
 def test_registered_queries():
-    assert {q.split("_")[0] for q in QUERIES} == {f"op{n}" for n in range(1, 11)}
+    assert {q.split("_")[0] for q in QUERIES} == {f"op{n}" for n in range(1, 14)}
     assert set(oracle_sql()) <= set(QUERIES)
 
 
