@@ -20,6 +20,9 @@ each; an empty table gives an empty table; texts of any length are cut at the ca
 
 from __future__ import annotations
 
+import itertools
+import json
+import re
 import zlib
 from fractions import Fraction
 
@@ -36,6 +39,7 @@ CAPACITY = 4096
 END = 1                         # the id after a document
 PARTITION_PIECES = 1 << 17      # pieces that a task packs
 ROUNDS = 6
+CACHE_WORDS = 400_000           # whose ids a Python worker keeps
 STEPS = 12                      # functions that round a weight to a multiple of 1/k, for k up to this
 _PIECE = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 _PLACED = _PIECE + ", sequence_id bigint, offset bigint"
@@ -44,31 +48,81 @@ _PLACED = _PIECE + ", sequence_id bigint, offset bigint"
 def default_tokenizer() -> str:
     """The public vocabulary's JSON file; pass another path for another tokenizer."""
     import public_tokenizers
-    return public_tokenizers.path("word_bpe_49k.json")
-
-
-_LOADED: dict[int, object] = {}
-
-
-def _tokenizer(definition: str):
-    """The tokenizer of a definition, made once per Python worker."""
-    from tokenizers import Tokenizer
-    key = hash(definition)
-    if key not in _LOADED:
+    return public_tokenizers.path(WORD_TOKENIZER)
+
+
+# How the vocabulary's tokenizer cuts a word of printable ASCII, in lower case.
+_PRINTABLE = re.compile(r"[!-~]+")
+_PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
+WORD_TOKENIZER = "word_bpe_49k.json"
+
+
+class Encoder:
+    """Ids of words. The last CACHE_WORDS distinct words and parts of words are kept; ids don't depend on it.
+
+    ``plain`` says that the tokenizer lowers and cuts words like WORD_TOKENIZER's, so the parts of a word of printable ASCII
+    go to its BPE model directly. All other words, and all words of other tokenizers, go through the whole tokenizer."""
+
+    def __init__(self, definition: str):
+        from tokenizers import Tokenizer
+        self.tokenizer = Tokenizer.from_str(definition)
+        self.model, self.special = self.tokenizer.model, [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        parts = json.loads(definition)
+        normalizer, cutter = parts.get("normalizer") or {}, parts.get("pre_tokenizer") or {}
+        kinds = [x["type"] for x in normalizer.get("normalizers", [])], [x["type"] for x in cutter.get("pretokenizers", [])]
+        pattern = next((x["pattern"].get("Regex") for x in cutter.get("pretokenizers", []) if x["type"] == "Split"), None)
+        self.plain = (kinds == (["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"]) and parts["model"]["type"] == "BPE"
+                      and pattern == r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+        self.words: dict[str, list[int]] = {}
+        self.parts: dict[str, list[int]] = {}
+
+    def _part(self, part: str) -> list[int]:
+        ids = self.parts.get(part)
+        if ids is None:
+            ids = self.parts[part] = [t.id for t in self.model.tokenize(part)]
+        return ids
+
+    def each(self, words: list[str]) -> list[list[int]]:
+        known, others = self.words, []
+        if len(known) + len(self.parts) > CACHE_WORDS:
+            known.clear()
+            self.parts.clear()
+        out = [known.get(w) for w in words]
+        for i, ids in enumerate(out):
+            if ids is None:
+                word = words[i]
+                if self.plain and _PRINTABLE.fullmatch(word) and not any(s in word for s in self.special):
+                    found = _PARTS.findall(word.lower())
+                    ids = self._part(found[0]) if len(found) == 1 else [k for x in found for k in self._part(x)]
+                    out[i] = known[word] = ids
+                else:
+                    others.append(i)
+        coded = self.tokenizer.encode_batch_fast([words[i] for i in others], add_special_tokens=False)
+        for i, x in zip(others, coded):
+            out[i] = known[words[i]] = x.ids
+        return out
+
+
+_LOADED: dict[str, Encoder] = {}
+
+
+def encoder(definition: str) -> Encoder:
+    """The encoder of a tokenizer's definition, made once per Python worker."""
+    if definition not in _LOADED:
         _LOADED.clear()
-        _LOADED[key] = Tokenizer.from_str(definition)
-    return _LOADED[key]
+        _LOADED[definition] = Encoder(definition)
+    return _LOADED[definition]
 
 
-def encoded(tokenizer, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def encoded(words_to_ids: Encoder, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(ids, bounds): the texts' token ids. The tokenizer drops white space and doesn't look across it, so every distinct
     word of the batch is encoded once."""
     words = pc.ascii_split_whitespace(texts.fill_null(""))
     coded = words.flatten().dictionary_encode()
-    each = [x.ids for x in tokenizer.encode_batch_fast(coded.dictionary.to_pylist(), add_special_tokens=False)]
+    each = words_to_ids.each(coded.dictionary.to_pylist())
     size = np.fromiter(map(len, each), np.int64, len(each))
     first = np.cumsum(size) - size
-    flat = np.fromiter((i for x in each for i in x), np.uint32, int(size.sum()))
+    flat = np.fromiter(itertools.chain.from_iterable(each), np.uint32, int(size.sum()))
     word = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
     n = size[word]
     ends = np.concatenate([[0], np.cumsum(n)])
@@ -84,7 +138,7 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACI
         shared = docs.sparkSession.sparkContext.broadcast(f.read())
 
     def run(batches):
-        tok = _tokenizer(shared.value)
+        tok = encoder(shared.value)
         for batch in batches:
             text = batch.column("text")
             for first, end, _, _ in chunks(text):
