@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import itertools
 import json
+import os
 import re
 import zlib
 from fractions import Fraction
@@ -34,11 +35,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from promptsieve.llm.common import chunks, cut
+from promptsieve.llm.token_counts import byte_characters
 
 CAPACITY = 4096
 END = 1                         # the id after a document
 PARTITION_PIECES = 1 << 17      # pieces that a task packs
 ROUNDS = 6
+HELD_BYTES = 8 << 20            # text that is tokenised at once; a longer text goes alone
 CACHE_WORDS = 400_000           # whose ids a Python worker keeps
 STEPS = 12                      # functions that round a weight to a multiple of 1/k, for k up to this
 _PIECE = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
@@ -51,9 +54,11 @@ def default_tokenizer() -> str:
     return public_tokenizers.path(WORD_TOKENIZER)
 
 
-# How the vocabulary's tokenizer cuts a word of printable ASCII, in lower case.
-_PRINTABLE = re.compile(r"[!-~]+")
-_PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
+# How the vocabulary's tokenizer cuts a word of printable ASCII and Latin-1 letters, in lower case.
+_LETTERS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
+_PRINTABLE = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
+_PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
+_BYTES = {b: c for c, b in byte_characters().items()}
 WORD_TOKENIZER = "word_bpe_49k.json"
 
 
@@ -61,9 +66,11 @@ class Encoder:
     """Ids of words. The last CACHE_WORDS distinct words and parts of words are kept; ids don't depend on it.
 
     ``plain`` says that the tokenizer lowers and cuts words like WORD_TOKENIZER's, so the parts of a word of printable ASCII
-    go to its BPE model directly. All other words, and all words of other tokenizers, go through the whole tokenizer."""
+    and Latin-1 letters, which normalisation only lowers, go to its BPE model directly. All other words, and all words of
+    other tokenizers, go through the whole tokenizer."""
 
     def __init__(self, definition: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"      # Spark's tasks use the cores
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_str(definition)
         self.model, self.special = self.tokenizer.model, [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
@@ -79,9 +86,18 @@ class Encoder:
     def _part(self, part: str) -> list[int]:
         ids = self.parts.get(part)
         if ids is None:
-            ids = self.parts[part] = [t.id for t in self.model.tokenize(part)]
+            written = part if part.isascii() else part.encode().decode("latin-1").translate(_BYTES)
+            ids = self.parts[part] = [t.id for t in self.model.tokenize(written)]
         return ids
 
+    def _plain(self, word: str) -> list[int] | None:
+        """Ids by the word's parts, if it is plain and without a special token."""
+        if _LETTERS.fullmatch(word):
+            return self._part(word.lower())
+        if not _PRINTABLE.fullmatch(word) or any(s in word for s in self.special):
+            return None
+        return [k for x in _PARTS.findall(word.lower()) for k in self._part(x)]
+
     def each(self, words: list[str]) -> list[list[int]]:
         known, others = self.words, []
         if len(known) + len(self.parts) > CACHE_WORDS:
@@ -90,13 +106,11 @@ class Encoder:
         out = [known.get(w) for w in words]
         for i, ids in enumerate(out):
             if ids is None:
-                word = words[i]
-                if self.plain and _PRINTABLE.fullmatch(word) and not any(s in word for s in self.special):
-                    found = _PARTS.findall(word.lower())
-                    ids = self._part(found[0]) if len(found) == 1 else [k for x in found for k in self._part(x)]
-                    out[i] = known[word] = ids
-                else:
+                ids = self._plain(words[i]) if self.plain else None
+                if ids is None:
                     others.append(i)
+                else:
+                    out[i] = known[words[i]] = ids
         coded = self.tokenizer.encode_batch_fast([words[i] for i in others], add_special_tokens=False)
         for i, x in zip(others, coded):
             out[i] = known[words[i]] = x.ids
@@ -126,7 +140,9 @@ def encoded(words_to_ids: Encoder, texts: pa.Array) -> tuple[np.ndarray, np.ndar
     word = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
     n = size[word]
     ends = np.concatenate([[0], np.cumsum(n)])
-    ids = flat[np.repeat(first[word] - ends[:-1], n) + np.arange(ends[-1])]
+    at = np.repeat((first[word] - ends[:-1]).astype(np.int32), n)   # a batch of text has fewer than 2^31 ids
+    at += np.arange(ends[-1], dtype=np.int32)
+    ids = flat[at]
     counts = pc.list_value_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
     return ids, ends[np.concatenate([[0], np.cumsum(counts)])]
 
@@ -141,7 +157,7 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACI
         tok = encoder(shared.value)
         for batch in batches:
             text = batch.column("text")
-            for first, end, _, _ in chunks(text):
+            for first, end, _, _ in chunks(text, HELD_BYTES):
                 ids, bounds = encoded(tok, text[first:end])
                 rows = []
                 for i, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist())):

@@ -55,7 +55,8 @@ def test_words_give_the_ids_of_the_whole_text(tokenizer):
     signs = ["a", "Ab", "ß", "Σ", "é", "é", "́", " ", "  ", "\t", "\n", "\x0b", "\x0c", "\x1c", "\x1f", "\x85", "\xa0",
              " ", " ", "　", "​", "'s", "'", "12", "३", "<|endoftext|>", "<|startoftext|>", "...", "😀", "한", "하"]
     texts = ["".join(rng.choices(signs, k=rng.randrange(0, 30))) for _ in range(3000)]
-    texts += ["don't I'LL 'sup we're.'s x'd'D '' 1234 a1b2 <|endoftext|>x <|EndOfText|> ~\x7f\x01 _-_ (Word),"]
+    texts += ["don't I'LL 'sup we're.'s x'd'D '' 1234 a1b2 <|endoftext|>x <|EndOfText|> ~\x7f\x01 _-_ (Word),",
+              "".join(map(chr, range(0x21, 0x250))), *map(chr, range(0x21, 0x250)), "ÀÉÎÕÜßÿ Œuvre L'ÉTÉ d'où ×÷ é́x École"]
     with open(packing.default_tokenizer()) as f:
         encoder = packing.Encoder(f.read())
     assert encoder.plain
