@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from promptsieve.session import shared_dir
+from promptsieve.session import materialized, shared_dir
 
 SPACE = r"\x20\x09-\x0D"        # what separates words
 BROADCAST_ROWS = 100_000        # rows of a few numbers each up to which a join side is broadcast
@@ -30,6 +30,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Like ``cut``, as Parquet. Rounds that join their own results need this: a checkpoint keeps its plan's estimated size,
+    estimates multiply at every join, and after some rounds the numbers take longer than the work."""
+    return materialized(df, "stored")
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """``df``, stored by ``cut``, to be broadcast if it has at most ``rows`` rows; a larger one is joined by shuffle."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

@@ -8,8 +8,9 @@ A text is the set of its five-word shingles. Texts with equal sets are one class
 2. The rest is ordered by (frequency, hash). Classes that link share a shingle of their prefixes.
 3. Candidates are tried in rounds: first every class against one pivot per prefix shingle, then, after links have merged
    classes to components, only pairs of different components. The first pivot is the most central class, whose shingles are
-   held by most others, as the text that others are copies of. A group of thousands of near copies so costs a few pairs per
-   member, and passages that many documents share stay out of the prefixes. The last round leaves no pair out.
+   held by most others, as the text that others are copies of. What is left of a group of near copies is joined by what its
+   members lack and what they have beside the group's common shingles, so a group of thousands costs a few pairs per
+   member; passages that many documents share stay out of the prefixes. The last round leaves no pair out.
 4. A pair's overlap is counted fragment by fragment and summed per pair; the exact counts decide.
 
 Edge cases: null texts and texts without a word have no shingle, link with nothing and are their own component; texts of one
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from promptsieve.llm.common import chunks, cut, mixed, small, word_hashes, word_spans
+from promptsieve.llm.common import chunks, mixed, small, stored, word_hashes, word_spans
 
 WORDS = 5
 PERCENT = 80
@@ -33,6 +34,8 @@ PACK_SHINGLES = 1 << 19     # shingles a map task holds before it sends them, pa
 HASH_BYTES = 6              # of a shingle's hash that are sent; the fragment adds what it knows of the rest
 PARTS = 4                   # fragments in which overlaps of candidate pairs are counted
 PIVOT_ROUNDS = 3
+COMPLEMENT_ROUNDS = 2
+FRAGMENT_SHINGLES = 1 << 21 # shingles of a fragment, at which more fragments than shuffle partitions are cut
 _C = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -201,13 +204,15 @@ def components(labels: DataFrame, links: DataFrame) -> DataFrame:
     named = labels.select(F.col("key").alias("a"), F.col("label").alias("la"))
     other = labels.select(F.col("key").alias("b"), F.col("label").alias("lb"))
     edges = links.join(named, "a").join(other, "b").where("la <> lb").select("la", "lb")
-    edges = cut(edges.unionByName(edges.select(F.col("lb").alias("la"), F.col("la").alias("lb"))).distinct())
-    roots = cut(edges.groupBy("la").agg(F.least(F.col("la"), F.min("lb")).alias("root")))
+    edges = stored(edges.unionByName(edges.select(F.col("lb").alias("la"), F.col("la").alias("lb"))).distinct())
+    if not edges.limit(1).count():
+        return labels
+    roots = stored(edges.groupBy("la").agg(F.least(F.col("la"), F.min("lb")).alias("root")))
     while True:
         of = roots.select(F.col("la").alias("lb"), F.col("root").alias("_r"))
         near = edges.join(of, "lb").groupBy("la").agg(F.min("_r").alias("_near"))
         up = roots.select(F.col("la").alias("root"), F.col("root").alias("_up"))
-        moved = cut(roots.join(near, "la").join(up, "root", "left").select(
+        moved = stored(roots.join(near, "la").join(up, "root", "left").select(
             "la", F.least("root", "_near", F.coalesce("_up", "root")).alias("_new"), "root"))
         changed = moved.where("_new <> root").limit(1).count()
         roots = moved.select("la", F.col("_new").alias("root"))
@@ -224,13 +229,13 @@ def _fits(na: Column, nb: Column) -> Column:
 def merged(found: DataFrame) -> DataFrame:
     """(key, label): components of the survivors."""
     prefix = F.slice("tokens", F.lit(1), (F.size("tokens") - _least(F.col("n")) + 1).cast("int"))
-    tokens = cut(found.select("key", "n", F.posexplode(prefix).alias("_at", "_t"), F.size("tokens").alias("_k"),
+    tokens = stored(found.select("key", "n", F.posexplode(prefix).alias("_at", "_t"), F.size("tokens").alias("_k"),
                               "weight").select(
-        "key", "n", "weight", F.col("_t.h").alias("h"), (F.col("_k") - F.col("_at")).alias("left")))
+        "key", "n", "weight", F.col("_k").alias("k"), F.col("_t.h").alias("h"), (F.col("_k") - F.col("_at")).alias("left")))
     hs = lambda p: F.filter("tokens.h", lambda x: F.pmod(x, PARTS) == p)
     parts = found.select("key", F.explode(F.array(*[F.struct(F.lit(p).alias("part"), hs(p).alias("hs"))
                                                     for p in range(PARTS)])).alias("_p")).select("key", "_p.*")
-    parts = cut(parts)
+    parts = stored(parts)
     labels = found.select("key", F.col("key").alias("label"))
     for turn in range(PIVOT_ROUNDS):
         rows = tokens.join(labels, "key") if turn else tokens.withColumn("label", F.col("key"))
@@ -242,24 +247,102 @@ def merged(found: DataFrame) -> DataFrame:
                  .where(_fits(F.col("n"), F.col("_p.n")))
                  .select(F.col("_p.key").alias("a"), F.col("key").alias("b"), F.col("_p.n").alias("na"),
                          F.col("n").alias("nb")).distinct())
-        labels = cut(components(labels, cut(linked(pairs, parts))))
-    rows = tokens.join(labels, "key")
-    mixed_tokens = rows.groupBy("h").agg(F.count_distinct("label").alias("_m")).where("_m > 1").select("h")
-    rows = cut(rows.join(mixed_tokens, "h"))
+        labels = stored(components(labels, stored(linked(pairs, parts))))
+    labels, rest = complements(_mixed(tokens, labels, "h"), parts, labels)
+    rows = _mixed(rest, labels, "h")
     left, right = (rows.select("h", *[F.col(c).alias(s + c) for c in ("key", "n", "label", "left")]) for s in "lr")
     needed = F.ceil((F.col("ln") + F.col("rn")) * PERCENT / (100 + PERCENT))
     pairs = (left.join(right, "h").where((F.col("llabel") != F.col("rlabel")) & (F.col("lkey") < F.col("rkey")))
-             .where(_fits(F.col("ln"), F.col("rn")) & (F.least("lleft", "rleft") >= needed))
-             .select(F.col("lkey").alias("a"), F.col("rkey").alias("b"), F.col("ln").alias("na"),
-                     F.col("rn").alias("nb")).distinct())
-    return components(labels, cut(linked(pairs, parts)))
+             .where(_fits(F.col("ln"), F.col("rn")) & (F.least("lleft", "rleft") >= needed)))
+    return components(labels, stored(linked(_pair(pairs, "l", "r"), parts)))
+
+
+def _pair(pairs: DataFrame, left: str, right: str) -> DataFrame:
+    return pairs.select(F.col(left + "key").alias("a"), F.col(right + "key").alias("b"), F.col(left + "n").alias("na"),
+                        F.col(right + "n").alias("nb")).distinct()
+
+
+def _mixed(rows: DataFrame, labels: DataFrame, *by: str) -> DataFrame:
+    """``rows`` with their labels, of the groups that hold more than one label."""
+    rows = rows.join(labels, "key")
+    several = rows.groupBy(*by).agg((F.min("label") < F.max("label")).alias("_m")).where("_m").select(*by)
+    return stored(rows.join(several, list(by)))
+
+
+def complements(rows: DataFrame, parts: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(labels, rest): the links of near copies, found by what they lack and what they have beside it.
+
+    Near copies share most of their shingles, so prefixes say little about which of them link. All classes of a prefix
+    shingle get one pivot; the shingles that most classes near the pivot hold are its core V. With T = class minus V and V
+    minus class, two classes differ by at most the sum of their |T|, and by |T_A| + |T_B| - 2 |T_A and T_B| exactly. They
+    link if they differ by at most a ninth of their sizes' sum (at 80 %; written with g = |T| - size / 9). So
+
+    * classes whose g sum to 0 or less link by count alone: the class with the least g links with all that link with any;
+    * others must share (g_A + g_B) / 2 elements of T, which are rare, as most near copies agree with V. They are joined
+      by these, rarest first, each class with one representative per element, then all that are left;
+    * a class with |T| above 7/8 of its size links with none whose |T| is at most half of its size.
+
+    Classes near V (|T| at most half of their size) are done; ``rest`` has the others."""
+    pivots = rows.groupBy("h").agg(F.max(F.struct("weight", "key", "n")).alias("_p")).select(
+        "h", F.col("_p.key").alias("pivot"), F.col("_p.n").alias("_np"))
+    rows = stored(rows.drop("label").join(pivots, "h"))
+    balls = stored(rows.groupBy("pivot", "key").agg(*[F.first(c).alias(c) for c in ("n", "k", "_np")]))
+    theirs = parts.select(F.col("key").alias("pivot"), "part", F.col("hs").alias("_hs"))
+    close = (balls.join(parts, "key").join(theirs, ["pivot", "part"]).groupBy("pivot", "key")
+             .agg(F.sum(F.size(F.array_intersect("hs", "_hs"))).alias("_o"), F.first(F.col("n") + F.col("_np")).alias("_n"))
+             .where("3 * _o >= _n").select("pivot", "key"))
+    close = stored(close)
+    members = close.groupBy("pivot").agg(F.count("*").alias("_m"))
+    held = close.join(parts, "key").select("pivot", "part", F.explode("hs").alias("_h")).groupBy("pivot", "part", "_h").count()
+    core = held.join(members, "pivot").where("2 * count > _m").groupBy("pivot", "part").agg(F.collect_list("_h").alias("_v"))
+    v = F.coalesce("_v", F.array().cast("array<bigint>"))
+    apart = F.concat(F.array_except("hs", v), F.array_except(v, "hs"))
+    around = (balls.join(parts, "key").join(stored(core), ["pivot", "part"], "left").groupBy("pivot", "key")
+              .agg(F.first("n").alias("n"), F.first("k").alias("k"), F.flatten(F.collect_list(apart)).alias("d"))
+              .withColumn("t", F.size("d") + F.col("n") - F.col("k")).where("8 * t <= 7 * n")
+              .select("pivot", "key", "n", "d", (9 * F.col("t") - F.col("n")).alias("g"), (2 * F.col("t") <= F.col("n")).alias("near")))
+    around = stored(around)
+    least = stored(around.groupBy("pivot").agg(F.min(F.struct("g", "key")).alias("_l")))
+    alone = around.join(least, "pivot").where("g + _l.g <= 0 AND key <> _l.key").select(F.col("_l.key").alias("a"), F.col("key").alias("b"))
+    labels = stored(components(labels, alone))
+
+    single = around.select("pivot", "key", "n", "g", "near", F.explode("d").alias("e"))
+    shared_by = single.groupBy("pivot", "e").agg(F.count("*").alias("_c")).where("_c > 1")
+    lists = (single.join(shared_by, ["pivot", "e"]).groupBy("pivot", "key", "n", "g", "near")
+             .agg(F.array_sort(F.collect_list(F.struct("_c", "e"))).alias("_s")).join(least, "pivot"))
+    shares = lambda g: F.greatest(F.lit(1), F.ceil(g / 18))
+    elements = (lists.select("pivot", "key", "n", "g", "near", F.col("_l.g").alias("_g"), F.size("_s").alias("_k"),
+                             F.posexplode("_s").alias("_at", "_e"))
+                .select("pivot", F.col("_e.e").alias("e"), "key", "n", "g", "near", "_g", (F.col("_k") - F.col("_at")).alias("left"))
+                .where(F.col("left") >= shares(F.col("g") + F.col("_g"))).drop("_g"))
+    elements = stored(elements)
+
+    def candidates(left: DataFrame, right: DataFrame) -> DataFrame:
+        needed = shares(F.col("lg") + F.col("rg"))
+        return left.join(right, ["pivot", "e"]).where(
+            (F.col("llabel") != F.col("rlabel")) & (F.col("lnear") | F.col("rnear")) & _fits(F.col("ln"), F.col("rn"))
+            & (F.least("lleft", "rleft") >= needed))
+    columns = ("key", "n", "g", "near", "left", "label")
+    for _ in range(COMPLEMENT_ROUNDS):
+        found = _mixed(elements, labels, "pivot", "e")
+        one = found.groupBy("pivot", "e").agg(F.min(F.struct("g", *[c for c in columns if c != "g"])).alias("_r"))
+        one = one.select("pivot", "e", *[F.col(f"_r.{c}").alias("l" + c) for c in columns])
+        others = found.select("pivot", "e", *[F.col(c).alias("r" + c) for c in columns])
+        labels = stored(components(labels, stored(linked(_pair(candidates(one, others), "l", "r"), parts))))
+    found = _mixed(elements, labels, "pivot", "e")
+    left, right = (found.select("pivot", "e", *[F.col(c).alias(s + c) for c in columns]) for s in "lr")
+    pairs = candidates(left, right).where("lkey < rkey")
+    labels = stored(components(labels, stored(linked(_pair(pairs, "l", "r"), parts))))
+    done = around.where("near").select("pivot", "key")
+    return labels, stored(rows.join(done, ["pivot", "key"], "left_anti").select("h", "key", "n", "left"))
 
 
 def join(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id, class_key) per row of ``docs``; equal ``class_key``: equal sets."""
-    fragments = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    named = cut(classes(docs))
-    found = cut(survivors(docs, named, fragments))
+    named = stored(classes(docs))
+    total = named.agg(F.sum("n_shingles")).first()[0] or 0
+    fragments = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // FRAGMENT_SHINGLES))
+    found = stored(survivors(docs, named, fragments))
     labels = merged(found)
     ids = named.where("n_shingles > 0").groupBy("key").agg(F.min("doc_id").alias("_id")).join(labels, "key", "left")
     ids = ids.withColumn("label", F.coalesce("label", "key"))
@@ -273,10 +356,10 @@ def join(docs: DataFrame) -> DataFrame:
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` without those whose component has a smaller id; of rows with the smallest id, one stays."""
-    groups = cut(join(docs))
+    groups = stored(join(docs))
     gone = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("__id")).distinct()
-    kept = docs.join(small(cut(gone)), F.col("doc_id").eqNullSafe(F.col("__id")), "left_anti")
-    again = cut(groups.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("_n")).where("_n > 1"))
+    kept = docs.join(small(stored(gone)), F.col("doc_id").eqNullSafe(F.col("__id")), "left_anti")
+    again = stored(groups.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("_n")).where("_n > 1"))
     again = small(again.select(F.col("doc_id").alias("__id")))
     single = kept.join(again, F.col("doc_id") == F.col("__id"), "left_anti")
     first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))

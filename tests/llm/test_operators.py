@@ -87,6 +87,42 @@ def test_join_of_near_copies_chains_and_passages(make):
     assert joined(make(rows)) == brute_components(rows)
 
 
+def near_copies(n, rng, length=100, edits=(1, 2, 3), vocabulary=None):
+    base = [f"n{k}" for k in range(length)]
+    texts = []
+    for i in range(n):
+        words = list(base)
+        for at in rng.sample(range(length), rng.choice(edits)):
+            words[at] = rng.choice(vocabulary) if vocabulary else f"e{i}x{at}"
+        texts.append(" ".join(words))
+    return texts
+
+
+def test_join_of_edited_copies_makes_few_pairs(make, monkeypatch):
+    made, plain = [], ngram_join.linked
+
+    def counting(pairs, parts):
+        pairs = ngram_join.stored(pairs)
+        made.append(pairs.count())
+        return plain(pairs, parts)
+    monkeypatch.setattr(ngram_join, "linked", counting)
+    for n in (200, 400):
+        made.clear()
+        rows = list(enumerate(near_copies(n, random.Random(n))))
+        assert joined(make(rows)) == brute_components(rows)
+        assert sum(made) <= 30 * n, (n, made)
+
+
+def test_join_of_copies_with_shared_edits(make):
+    rng = random.Random(12)
+    rows = [*enumerate(near_copies(150, rng, 60, (0, 1, 2, 3, 4), ["red", "blue", "green"]))]
+    rows += [(1000 + i, t + " " + " ".join(f"tail{k}" for k in range(rng.randrange(0, 20))))
+             for i, t in enumerate(near_copies(80, rng, 60, (1, 2), ["red", "blue"]))]
+    rows += [(2000 + i, " ".join(t.split()[rng.randrange(0, 25):])) for i, t in enumerate(near_copies(80, rng, 90, (0, 1, 2), ["x", "y"]))]
+    rows += [(3000 + i, t) for i, t in enumerate(near_copies(60, rng, 14, (0, 1, 2), ["x", "y"]))]
+    assert joined(make(rows)) == brute_components(rows)
+
+
 def test_join_on_odd_rows(odd):
     rows = [(r.doc_id, r.text) for r in odd.collect()]
     assert joined(odd) == brute_components(rows)
