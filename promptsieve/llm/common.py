@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from promptsieve.session import materialized, shared_dir
@@ -41,6 +41,15 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def with_side(docs: DataFrame, side: DataFrame, how: str, *on: Column) -> DataFrame:
+    """``docs`` joined with ``side`` (doc_id, text_hash, ...), which names rows by their ids and texts, as rows may share an
+    id. The frames are aliased ``docs`` and ``side``, so columns of any name may be in ``docs``."""
+    same = F.col("docs.doc_id").eqNullSafe(F.col("side.doc_id")) & (F.xxhash64(F.col("docs.text")) == F.col("side.text_hash"))
+    for more in on:
+        same &= more
+    return docs.alias("docs").join(side.alias("side"), same, how)
+
+
 def mixed(h: np.ndarray) -> np.ndarray:
     """A bijection on 64 bits that spreads every bit."""
     h = (h ^ (h >> np.uint64(32))) * _C2

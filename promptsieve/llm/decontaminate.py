@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from promptsieve.llm.common import chunks, cut, mixed, small, word_hashes, word_spans
+from promptsieve.llm.common import chunks, cut, mixed, small, with_side, word_hashes, word_spans
 
 REPEATS = 4
 STEPS = 12              # of the walk
@@ -171,23 +171,27 @@ def _block(docs: DataFrame, ids: list, texts: list) -> DataFrame:
     def run(batches):
         index = Index(*shared.value)
         for batch in batches:
-            doc_ids = batch.column("doc_id")
+            named = batch.column("doc_id"), batch.column("text_hash")
             for first, _, data, ends in chunks(batch.column("text")):
                 found = sorted(_matches(index, data, ends).items())
                 if found:
                     yield pa.RecordBatch.from_arrays(
-                        [doc_ids.take(pa.array([first + d for (d, _), _ in found])),
+                        [*(c.take(pa.array([first + d for (d, _), _ in found])) for c in named),
                          pa.array([index.ids[i] for (_, i), _ in found], pa.int64()),
                          pa.array([e for _, (e, _) in found], pa.int64()),
                          pa.array([w for _, (_, w) in found], pa.int64())],
-                        names=["doc_id", "item_id", "edits", "from_word"])
-    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(
-        run, "doc_id bigint, item_id bigint, edits bigint, from_word bigint")
+                        names=["doc_id", "text_hash", "item_id", "edits", "from_word"])
+    return docs.select(F.col("doc_id").cast("bigint"), "text", F.xxhash64("text").alias("text_hash")).mapInArrow(
+        run, "doc_id bigint, text_hash bigint, item_id bigint, edits bigint, from_word bigint")
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, block_items: int = BLOCK_ITEMS) -> DataFrame:
     """(doc_id, item_id, edits, from_word): every item that a document contains, with the least edits and the first word
     of the window that has them."""
+    return _leaks(docs, benchmark, block_items).drop("text_hash")
+
+
+def _leaks(docs: DataFrame, benchmark: DataFrame, block_items: int = BLOCK_ITEMS) -> DataFrame:
     items = benchmark.select(F.col("item_id").cast("bigint"), "text").where("text IS NOT NULL")
     n = items.count()
     blocks = max(1, -(-2 * n // block_items)) if n > block_items else 1
@@ -202,5 +206,5 @@ def leaks(docs: DataFrame, benchmark: DataFrame, block_items: int = BLOCK_ITEMS)
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` that contain no item."""
-    hit = cut(leaks(docs, benchmark).select(F.col("doc_id").alias("__id")).distinct())
-    return docs.join(small(hit), F.col("doc_id").eqNullSafe(F.col("__id")), "left_anti")
+    hit = cut(_leaks(docs, benchmark).select("doc_id", "text_hash").distinct())
+    return with_side(docs, small(hit), "left_anti").select(*[F.col(f"docs.`{c}`") for c in docs.columns])

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from promptsieve.llm.common import chunks, mixed, small, stored, word_hashes, word_spans
+from promptsieve.llm.common import chunks, mixed, small, stored, with_side, word_hashes, word_spans
 
 WORDS = 5
 PERCENT = 80
@@ -83,15 +83,15 @@ def _sets_of(batch: pa.RecordBatch):
 
 
 def classes(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, key)."""
+    """(doc_id, text_hash, n_shingles, key)."""
     def run(batches):
         for batch in batches:
             for first, end, hashes, at in _sets_of(batch):
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id")[first:end], pa.array(np.diff(at)), pa.array(class_keys(hashes, at))],
-                    names=["doc_id", "n_shingles", "key"])
-    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(
-        run, "doc_id bigint, n_shingles bigint, key bigint")
+                    [batch.column("doc_id")[first:end], batch.column("text_hash")[first:end], pa.array(np.diff(at)),
+                     pa.array(class_keys(hashes, at))], names=["doc_id", "text_hash", "n_shingles", "key"])
+    return docs.select(F.col("doc_id").cast("bigint"), F.xxhash64("text").alias("text_hash"), "text").mapInArrow(
+        run, "doc_id bigint, text_hash bigint, n_shingles bigint, key bigint")
 
 
 def packed(docs: DataFrame, fragments: int) -> DataFrame:
@@ -339,6 +339,11 @@ def complements(rows: DataFrame, parts: DataFrame, labels: DataFrame) -> tuple[D
 
 def join(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id, class_key) per row of ``docs``; equal ``class_key``: equal sets."""
+    return _joined(docs).drop("text_hash", "group")
+
+
+def _joined(docs: DataFrame) -> DataFrame:
+    """``join`` with the text's hash and the ``group`` of linked classes."""
     named = stored(classes(docs))
     total = named.agg(F.sum("n_shingles")).first()[0] or 0
     fragments = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // FRAGMENT_SHINGLES))
@@ -347,21 +352,26 @@ def join(docs: DataFrame) -> DataFrame:
     ids = named.where("n_shingles > 0").groupBy("key").agg(F.min("doc_id").alias("_id")).join(labels, "key", "left")
     ids = ids.withColumn("label", F.coalesce("label", "key"))
     least = ids.groupBy("label").agg(F.min("_id").alias("_component"))
-    of_class = ids.join(least, "label").select(F.col("key").alias("_key"), "_component")
+    of_class = ids.join(least, "label").select(F.col("key").alias("_key"), "_component", "label")
     full = F.when(F.col("n_shingles") > 0, F.col("key"))
     return named.withColumn("key", full).join(of_class, F.col("key") == F.col("_key"), "left").select(
         "doc_id", "n_shingles", F.coalesce("_component", "doc_id").alias("component_id"),
-        F.col("key").alias("class_key"))
+        F.col("key").alias("class_key"), "text_hash", F.col("label").alias("group"))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` without those whose component has a smaller id; of rows with the smallest id, one stays."""
-    groups = stored(join(docs))
-    gone = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("__id")).distinct()
-    kept = docs.join(small(stored(gone)), F.col("doc_id").eqNullSafe(F.col("__id")), "left_anti")
-    again = stored(groups.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("_n")).where("_n > 1"))
-    again = small(again.select(F.col("doc_id").alias("__id")))
-    single = kept.join(again, F.col("doc_id") == F.col("__id"), "left_anti")
-    first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
-    repeated = kept.join(again, F.col("doc_id") == F.col("__id"), "left_semi")
-    return single.unionByName(repeated.withColumn("__first", first).where("__first = 1").drop("__first"))
+    """The rows of ``docs``, of each group of linked texts only the row with the smallest id (ties: by the text's hash; a null
+    id only if the group has no other). Rows without a word stay."""
+    rows = stored(_joined(docs).where(F.col("group").isNotNull()).groupBy("group", "doc_id", "text_hash").agg(
+        F.count("*").alias("_n")))
+    first = rows.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("_null"), "doc_id", "text_hash")).alias("_f"))
+    kept = F.col("doc_id").eqNullSafe(F.col("_f.doc_id")) & (F.col("text_hash") == F.col("_f.text_hash"))
+    marked = stored(rows.join(first, "group").select("doc_id", "text_hash", "_n", kept.alias("_kept")))
+    columns = [F.col(f"docs.`{c}`") for c in docs.columns]
+    left = with_side(docs, small(marked.where("NOT _kept")), "left_anti")
+    again = small(marked.where("_kept AND _n > 1"))
+    single = with_side(left.select(*columns), again, "left_anti").select(*columns)
+    place = F.row_number().over(Window.partitionBy("docs.doc_id", "side.text_hash").orderBy("docs.doc_id"))
+    # a row of each that repeats: the columns are packed, so that none can clash with the place
+    repeated = with_side(left.select(*columns), again, "inner").select(F.struct(*columns).alias("row"), place.alias("place"))
+    return single.unionByName(repeated.where("place = 1").select("row.*"))

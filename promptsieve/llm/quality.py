@@ -4,8 +4,8 @@ Per document, inside the row: counts of words, word characters, symbols, repeate
 Across documents: normalised lines are hashed, the distinct documents that hold a line are counted per host, and lines
 above the host's limit are removed. A document that keeps too few of its words is depleted and rejected.
 
-A document stands for its copies: the smallest line hash names it, so exact copies count once and near copies rarely more
-than a few times. Otherwise a group of copies would push its own lines over the limit and lose all its members.
+A document stands for its copies: the set of its lines names it, so copies with the same lines count once however many they
+are, and different documents count each.
 
 Edge cases: a null or empty text has no words and fails the base rules; a null source is a host of its own; rows that
 repeat an id are judged each by its own text; an empty table gives an empty table; extra columns are ignored.
@@ -16,14 +16,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from promptsieve.llm.common import SPACE, cut, small
+from promptsieve.llm.common import SPACE, cut, small, with_side
 
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
 WINDOW = 5
 MAX_DOCUMENTS = 20      # documents of a host that may share a line ...
-MAX_SHARE_PERCENT = 2   # ... or this share of the host's documents, whichever is more
+MAX_SHARE_PERCENT = 2   # ... or this share of the host's documents, whichever is more,
+MAX_LIMIT = 1000        # but never more than so many
 MIN_LEFT_PERCENT = 10   # of its words that a document must keep
 
 
@@ -85,10 +86,11 @@ def common_lines(rows: DataFrame, max_documents: int = MAX_DOCUMENTS,
                  max_share_percent: int = MAX_SHARE_PERCENT) -> DataFrame:
     """(host, h): lines that more documents of the host hold than its limit. Counts are summed map-side first."""
     held = rows.select("host", F.array_distinct(F.col("lines.h")).alias("_h"))
-    held = held.select("host", F.array_min("_h").alias("_doc"), F.explode("_h").alias("h"))
+    held = held.select("host", F.xxhash64(F.array_sort("_h")).alias("_doc"), F.explode("_h").alias("h"))
     lines = held.groupBy("host", "h").agg(F.countDistinct("_doc").alias("n"))
     hosts = rows.groupBy("host").agg(F.count("*").alias("_n")).withColumnRenamed("host", "_host")
-    limit = F.greatest(F.lit(max_documents), F.floor(F.col("_n") * max_share_percent / 100))
+    share = F.least(F.lit(MAX_LIMIT), F.floor(F.col("_n") * max_share_percent / 100))
+    limit = F.greatest(F.lit(max_documents), share)
     above = lines.where(F.col("n") > max_documents)
     return above.join(hosts, F.col("host").eqNullSafe(F.col("_host"))).where(F.col("n") > limit).select("host", "h")
 
@@ -126,10 +128,9 @@ def filtered(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are kept, with their columns; ``text`` is without the host's common lines, so its length
     may differ from what another column says."""
     marked = _judged(docs).where(~F.col("kept") | F.col("removed").isNotNull()).select(
-        F.col("doc_id").alias("__id"), F.col("text_hash").alias("__h"), F.col("host").alias("__host"),
-        F.col("kept").alias("__kept"), F.array_sort("removed").alias("__removed"))
-    rows = docs.join(small(cut(marked.distinct())), F.col("doc_id").eqNullSafe(F.col("__id"))
-                     & (F.xxhash64("text") == F.col("__h")) & F.col("source").eqNullSafe(F.col("__host")), "left")
-    text = F.when(F.col("__removed").isNotNull(), without_lines(F.col("text"), F.col("__removed"))).otherwise(F.col("text"))
-    return rows.where(F.coalesce("__kept", F.lit(True))).select(
-        *[text.alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns])
+        "doc_id", "text_hash", "host", "kept", F.array_sort("removed").alias("removed")).distinct()
+    rows = with_side(docs, small(cut(marked)), "left", F.col("docs.source").eqNullSafe(F.col("side.host")))
+    old, removed = F.col("docs.text"), F.col("side.removed")
+    text = F.when(removed.isNotNull(), without_lines(old, removed)).otherwise(old)
+    return rows.where(F.coalesce("side.kept", F.lit(True))).select(
+        *[text.alias(c) if c == "text" else F.col(f"docs.`{c}`") for c in docs.columns])

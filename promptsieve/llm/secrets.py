@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from promptsieve.llm.common import cut, small
+from promptsieve.llm.common import cut, small, with_side
 
 # The base patterns, their kinds in order and their least lengths.
 ASSIGN = r"""((?i)password|passwd|secret|token|api_?key)(?-i)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -183,17 +183,15 @@ def digest(docs: DataFrame) -> DataFrame:
 
 def redacted(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` with a mark in place of every span; overlapping spans get one mark."""
-    spans = scan(docs).where(F.size("_spans") > 0).select(F.col("doc_id").alias("__id"), F.col("_h").alias("__g"),
-                                                          F.col("_spans").alias("__spans")).distinct()
-    text = F.col("text")
+    spans = scan(docs).where(F.size("_spans") > 0).select("doc_id", F.col("_h").alias("text_hash"), "_spans").distinct()
+    text = F.col("docs.text")
 
     def step(acc: Column, x: Column) -> Column:
         gap = F.substring(text, acc["at"] + 1, F.greatest(x["start"] - acc["at"], F.lit(0)))
         new = F.when(x["start"] >= acc["at"], F.concat(acc["out"], gap, F.lit(MARK))).otherwise(acc["out"])
         return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), new.alias("out"))
-    clean = F.aggregate("__spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step,
+    clean = F.aggregate("side._spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step,
                         lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    joined = docs.join(small(cut(spans)), F.col("doc_id").eqNullSafe(F.col("__id"))
-                       & (F.xxhash64("text") == F.col("__g")), "left")
-    return joined.withColumn("text", F.when(F.col("__id").isNull() & F.col("__g").isNull(), text).otherwise(clean)).select(
-        *docs.columns)
+    new = F.when(F.col("side.text_hash").isNull(), text).otherwise(clean)
+    return with_side(docs, small(cut(spans)), "left").select(
+        *[new.alias(c) if c == "text" else F.col(f"docs.`{c}`") for c in docs.columns])

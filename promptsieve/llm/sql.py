@@ -16,11 +16,12 @@ QUALITY = rf"""WITH base AS (SELECT rowid AS r, doc_id, source, coalesce(text, '
     reps AS (SELECT r, count(DISTINCT i + k) AS n FROM twice, range({quality.WINDOW}) t(k) GROUP BY r),
     lines AS (SELECT r, source, ('0x' || substr(md5(lower(trim(regexp_replace(x, '[\x20\x09-\x0D]+', ' ', 'g')))), 1, 15))::BIGINT AS h,
         len(regexp_extract_all(x, '{WORD}')) AS n FROM (SELECT r, source, unnest(l) AS x FROM base)),
-    named AS (SELECT *, min(h) OVER (PARTITION BY r) AS d FROM lines),
+    named AS (SELECT source, h, d FROM lines JOIN (SELECT r, list_sort(list(DISTINCT h)) AS d FROM lines GROUP BY r) USING (r)),
     hosts AS (SELECT source, count(*) AS n FROM base GROUP BY source),
     common AS (SELECT c.source, c.h FROM (SELECT source, h, count(DISTINCT d) AS n FROM named GROUP BY source, h) c
         JOIN hosts ON hosts.source IS NOT DISTINCT FROM c.source
-        WHERE c.n > greatest({quality.MAX_DOCUMENTS}, floor(hosts.n * {quality.MAX_SHARE_PERCENT} / 100))),
+        WHERE c.n > greatest({quality.MAX_DOCUMENTS},
+            least({quality.MAX_LIMIT}, floor(hosts.n * {quality.MAX_SHARE_PERCENT} / 100)))),
     gone AS (SELECT r, sum(n) AS n FROM lines JOIN common ON common.source IS NOT DISTINCT FROM lines.source
         AND common.h = lines.h GROUP BY r),
     facts AS (SELECT doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,

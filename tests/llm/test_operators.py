@@ -12,6 +12,7 @@ import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from promptsieve.llm import (decontaminate, licenses, mixing, ngram_join, pseudonyms, quality, secrets, sql, token_counts,
@@ -532,3 +533,42 @@ def test_pipeline_stages_equal_their_decisions(spark, docs, texts):
             assert not any(base_of(r.text) for r in rows)
         df = spark.createDataFrame(rows, out.schema)
     assert Counter(corpus_pipeline.run(spark, SF_DIR).collect()) == Counter(rows)
+
+
+# ---- rows, not ids
+
+CLASH = ("__id", "__h", "__g", "__spans", "__first", "__kept", "__host", "__removed", "pseudonyms", "text_hash", "group", "side",
+         "docs", "row", "place", "_n", "_kept", "removed")
+
+
+def test_stages_tell_rows_with_one_id_apart(spark, make):
+    prose = lambda k, n=40: " ".join(f"{k}word{i}" for i in range(n))
+    rows = [(1, prose("a")), (2, prose("a") + " end"), (2, prose("b")), (3, prose("c")), (3, prose("d")), (None, prose("e")),
+            (None, prose("e")), (None, prose("f")), (5, prose("g")), (5, prose("g")), (6, prose("b") + " more"), (7, None), (7, "")]
+    df = make(rows).withColumns({c: F.lit("x") for c in CLASH})
+    bench = spark.createDataFrame([(1, prose("d"))], "item_id bigint, text string")
+    kept = [(r.doc_id, r.text) for r in ngram_join.one_of_each(df).collect()]
+    assert Counter(kept) == Counter([rows[0], *rows[2:6], rows[7], rows[8], rows[11], rows[12]])
+    kept = [(r.doc_id, r.text) for r in decontaminate.clean(df, bench).collect()]
+    assert Counter(kept) == Counter(rows) - Counter([rows[4]])
+
+
+def test_pipeline_stages_on_clashing_columns_and_empty_tables(spark, odd):
+    df = odd.withColumns({c: F.lit("x") for c in CLASH})
+    for docs_ in (df, df.limit(0)):
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, docs_, SF_DIR)
+            if name != "source_mixing":
+                assert out.columns == docs_.columns
+            assert out.count() <= docs_.count()
+
+
+def test_documents_of_shared_lines_are_counted_each(make):
+    rng = random.Random(21)
+    for _ in range(3):
+        shared = [f"shared line {rng.random()} of many words here" for _ in range(9)]
+        rows = [(i, "\n".join([*shared, f"own{i}"])) for i in range(100)]
+        rows += [(1000 + i, "\n".join(f"copied line {k} of words" for k in range(9))) for i in range(300)]
+        got = {r.doc_id: r for r in quality.judged(make(rows)).collect()}
+        assert not any(got[i].kept for i in range(100)) and all(got[i].n_left == 1 for i in range(100))
+        assert all(got[1000 + i].kept for i in range(300))
