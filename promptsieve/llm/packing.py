@@ -42,7 +42,7 @@ END = 1                         # the id after a document
 PARTITION_PIECES = 1 << 17      # pieces that a task packs
 ROUNDS = 6
 HELD_BYTES = 8 << 20            # text that is tokenised at once; a longer text goes alone
-CACHE_WORDS = 400_000           # whose ids a Python worker keeps
+CACHE_WORDS = 700_000           # whose ids a Python worker keeps
 STEPS = 12                      # functions that round a weight to a multiple of 1/k, for k up to this
 _PIECE = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 _PLACED = _PIECE + ", sequence_id bigint, offset bigint"
@@ -80,14 +80,13 @@ class Encoder:
         pattern = next((x["pattern"].get("Regex") for x in cutter.get("pretokenizers", []) if x["type"] == "Split"), None)
         self.plain = (kinds == (["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"]) and parts["model"]["type"] == "BPE"
                       and pattern == r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-        self.words: dict[str, list[int]] = {}
-        self.parts: dict[str, list[int]] = {}
+        self.known: dict[str, list[int]] = {}       # a part has the ids of the word that it would be alone
 
     def _part(self, part: str) -> list[int]:
-        ids = self.parts.get(part)
+        ids = self.known.get(part)
         if ids is None:
             written = part if part.isascii() else part.encode().decode("latin-1").translate(_BYTES)
-            ids = self.parts[part] = [t.id for t in self.model.tokenize(written)]
+            ids = self.known[part] = [t.id for t in self.model.tokenize(written)]
         return ids
 
     def _plain(self, word: str) -> list[int] | None:
@@ -99,18 +98,18 @@ class Encoder:
         return [k for x in _PARTS.findall(word.lower()) for k in self._part(x)]
 
     def each(self, words: list[str]) -> list[list[int]]:
-        known, others = self.words, []
-        if len(known) + len(self.parts) > CACHE_WORDS:
+        known, others = self.known, []
+        if len(known) > CACHE_WORDS:
             known.clear()
-            self.parts.clear()
-        out = [known.get(w) for w in words]
+        out = list(map(known.get, words))
         for i, ids in enumerate(out):
             if ids is None:
-                ids = self._plain(words[i]) if self.plain else None
+                word = words[i]
+                ids = self._plain(word) if self.plain else None
                 if ids is None:
                     others.append(i)
                 else:
-                    out[i] = known[words[i]] = ids
+                    out[i] = known[word] = ids
         coded = self.tokenizer.encode_batch_fast([words[i] for i in others], add_special_tokens=False)
         for i, x in zip(others, coded):
             out[i] = known[words[i]] = x.ids
