@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from promptsieve.llm.secrets import occurrences
 
-KEY = "pseudonyms"      # replace it by a secret of your own
+KEY = "pseudonyms"      # for trials only; give ``pseudonymised`` a secret of your own
 ROUNDS = 8
 DATE_WALKS = 12         # one in 55 steps leaves the calendar, so twelve in a row do so once in 1e20 dates
 
@@ -91,35 +91,35 @@ def _tens(digits: Column) -> Column:
     return F.transform(digits, lambda _: F.lit(10).cast("bigint"))
 
 
-def _card(value: Column) -> Column:
+def _card(value: Column, key: str) -> Column:
     def build(d: Column) -> Column:
         body = F.slice(d, 2, F.size(d) - 2)      # the first digit names the network, the last checks
-        new = F.concat(F.slice(d, 1, 1), feistel(body, _tens(body), "card"))
+        new = F.concat(F.slice(d, 1, 1), feistel(body, _tens(body), "card", key))
         check = _let(F.concat(new, F.array(F.lit(0).cast("bigint"))), lambda x: F.pmod(10 - luhn_sum(x) % 10, 10))
         valid = (luhn_sum(d) % 10 == 0) & F.exists(d, lambda x: x > 0)
         return F.when(valid, _refilled(value, F.concat(new, F.array(check))))
     return _let(_digits(value), build)
 
 
-def _ssn(value: Column) -> Column:
+def _ssn(value: Column, key: str) -> Column:
     area, group, serial = (F.substring(value, a, n).cast("bigint") for a, n in ((1, 3), (5, 2), (8, 4)))
     valid = area.between(1, 899) & (area != 666) & (group > 0) & (serial > 0)
     index = area - 1 - (area > 666).cast("bigint")
     radices = F.array(*[F.lit(r).cast("bigint") for r in (898, 99, 9999)])
     padded = lambda x, n: F.lpad(x.cast("string"), n, "0")
-    return F.when(valid, _let(feistel(F.array(index, group - 1, serial - 1), radices, "ssn"), lambda s: F.concat_ws(
+    return F.when(valid, _let(feistel(F.array(index, group - 1, serial - 1), radices, "ssn", key), lambda s: F.concat_ws(
         "-", padded(F.get(s, 0) + 1 + (F.get(s, 0) >= 665).cast("bigint"), 3), padded(F.get(s, 1) + 1, 2),
         padded(F.get(s, 2) + 1, 4))))
 
 
-def _ip(value: Column) -> Column:
+def _ip(value: Column, key: str) -> Column:
     octets = F.transform(F.split(value, "\\."), lambda x: x.cast("bigint"))
     radices = F.transform(octets, lambda _: F.lit(256).cast("bigint"))
     valid = ~F.exists(octets, lambda x: x > 255)
-    return F.when(valid, F.array_join(feistel(octets, radices, "ip").cast("array<string>"), "."))
+    return F.when(valid, F.array_join(feistel(octets, radices, "ip", key).cast("array<string>"), "."))
 
 
-def _phone(value: Column) -> Column:
+def _phone(value: Column, key: str) -> Column:
     """All digits but a country code and leading zeros of groups' first digits are permuted."""
     code = F.regexp_extract(value, r"^\+[1-9][0-9]{0,2}(?=[ .(-])", 0)
     rest = F.substring(value, F.length(code) + 1, F.length(value))
@@ -136,12 +136,12 @@ def _phone(value: Column) -> Column:
         base = F.transform(d, lambda x, i: F.when((x < 2) & ((i == 0) | (i == 3)), x)
                            .otherwise(F.when((i == 0) | (i == 3), 2).otherwise(0)).cast("bigint"))
         start = F.zip_with(moving, fixed, lambda x, f: F.when(f, 0).otherwise(x).cast("bigint"))
-        out = F.zip_with(feistel(start, radices, "phone"), base, lambda x, y: x + y)
+        out = F.zip_with(feistel(start, radices, "phone", key), base, lambda x, y: x + y)
         return F.when(n_all.between(8, 15), F.concat(code, _refilled(rest, out)))
     return _let(_digits(rest), build)
 
 
-def _date(value: Column) -> Column:
+def _date(value: Column, key: str) -> Column:
     iso = value.rlike("^[0-9]{4}-")
     at = lambda a, b, n: F.when(iso, F.substring(value, a, n)).otherwise(F.substring(value, b, n)).cast("bigint")
     year, month, day = at(1, 7, 4), at(6, 4, 2), at(9, 1, 2)
@@ -153,7 +153,7 @@ def _date(value: Column) -> Column:
     state = F.struct(F.lit(False).alias("done"), symbols.alias("s"))
 
     def walk(acc: Column, _: Column) -> Column:
-        return F.when(acc["done"], acc).otherwise(_let(feistel(acc["s"], radices, "date"), lambda s: F.struct(
+        return F.when(acc["done"], acc).otherwise(_let(feistel(acc["s"], radices, "date", key), lambda s: F.struct(
             F.coalesce(exists(s), F.lit(False)).alias("done"), s.alias("s"))))
 
     def written(s: Column) -> Column:
@@ -164,7 +164,7 @@ def _date(value: Column) -> Column:
     return F.when(valid, _let(F.aggregate(F.sequence(F.lit(1), F.lit(DATE_WALKS)), state, walk, lambda a: a["s"]), written))
 
 
-def _email(value: Column) -> Column:
+def _email(value: Column, key: str) -> Column:
     """Letters and digits of the local part keep their class and case; the domain stays."""
     local = F.regexp_extract(value, "^[^@]+", 0)
     chars = F.filter(F.split(local, ""), lambda c: c != "")
@@ -172,7 +172,7 @@ def _email(value: Column) -> Column:
         F.ascii(c)).cast("bigint")
     radix = lambda c: F.when(c.rlike("[0-9]"), 10).when(c.rlike("[A-Za-z]"), 26).otherwise(1).cast("bigint")
     symbols = F.transform(chars, lambda c: F.ascii(c).cast("bigint") - first(c))
-    moved = feistel(symbols, F.transform(chars, radix), "email")
+    moved = feistel(symbols, F.transform(chars, radix), "email", key)
     new = F.array_join(F.zip_with(moved, chars, lambda s, c: F.char(s + first(c))), "")
     return F.concat(new, F.substring(value, F.length(local) + 1, F.length(value)))
 
@@ -180,13 +180,13 @@ def _email(value: Column) -> Column:
 _MAKE = {"email": _email, "date": _date, "ssn": _ssn, "card": _card, "ip": _ip, "phone": _phone}
 
 
-def found(text: Column) -> Column:
+def found(text: Column, key: str = KEY) -> Column:
     """Array of (start, end, value, kind, new) of the valid values of a text, in order."""
     def judged(x: Column) -> Column:
         kind, new = F.lit(None).cast("string"), F.lit(None).cast("string")
         for k in reversed(KINDS):
             is_kind = x["value"].rlike("^(?:" + PATTERNS[k] + ")$")
-            kind, new = F.when(is_kind, k).otherwise(kind), F.when(is_kind, _MAKE[k](x["value"])).otherwise(new)
+            kind, new = F.when(is_kind, k).otherwise(kind), F.when(is_kind, _MAKE[k](x["value"], key)).otherwise(new)
         return F.struct(x["start"].alias("start"), x["end"].alias("end"), x["value"].alias("value"), kind.alias("kind"),
                         new.alias("new"))
     return F.filter(F.transform(occurrences(text, _ANY), judged), lambda x: x["new"].isNotNull())
@@ -201,10 +201,11 @@ def replaced(text: Column, spans: Column) -> Column:
     return F.concat(F.array_join(pieces, ""), F.substring(text, F.element_at(spans, -1)["end"] + 1, F.length(text)))
 
 
-def pseudonymised(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` with new text and ``pseudonyms``, an array of (start, end, value, kind, new)."""
+def pseudonymised(docs: DataFrame, key: str = KEY) -> DataFrame:
+    """The rows of ``docs`` with new text and ``pseudonyms``, an array of (start, end, value, kind, new). ``key`` should be a
+    secret: whoever knows it can turn pseudonyms back."""
     none = F.array().cast("array<struct<start:int,end:int,value:string,kind:string,new:string>>")
-    spans = F.when(F.col("text").rlike(_LIKELY), found(F.col("text"))).otherwise(none)
+    spans = F.when(F.col("text").rlike(_LIKELY), found(F.col("text"), key)).otherwise(none)
     rows = docs.drop("pseudonyms").withColumn("pseudonyms", F.coalesce(spans, none))
     return rows.withColumn("text", F.when(F.size("pseudonyms") > 0, replaced(F.col("text"), F.col("pseudonyms")))
                            .otherwise(F.col("text")))

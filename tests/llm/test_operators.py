@@ -572,3 +572,14 @@ def test_documents_of_shared_lines_are_counted_each(make):
         got = {r.doc_id: r for r in quality.judged(make(rows)).collect()}
         assert not any(got[i].kept for i in range(100)) and all(got[i].n_left == 1 for i in range(100))
         assert all(got[1000 + i].kept for i in range(300))
+
+
+def test_pseudonyms_depend_on_the_key(make):
+    text = "a.person@example.org 2001-02-03 123-45-6789 4111 1111 1111 1111, 10.20.30.40; 212-555-1234"
+    df = make([(1, text), (2, text)])
+    one, other = ([r.text for r in pseudonyms.pseudonymised(df, k).collect()] for k in ("k1", "k2"))
+    plain = [r.text for r in pseudonyms.pseudonymised(df).collect()]
+    assert one[0] == one[1] and other[0] == other[1] and plain[0] == plain[1]
+    assert len({text, one[0], other[0], plain[0]}) == 4
+    for a, b in zip(one[0].split(), other[0].split()):
+        assert a != b or not any(c.isdigit() for c in a)
