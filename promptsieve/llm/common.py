@@ -91,11 +91,16 @@ def word_spans(data: np.ndarray, ends: np.ndarray, is_word: np.ndarray = _IS_WOR
     return starts, stops, np.searchsorted(starts, ends)
 
 
+def lowered(data: np.ndarray) -> np.ndarray:
+    """Bytes with A-Z in lower case."""
+    return np.take(_LOWER, data)
+
+
 def word_hashes(data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
     """64-bit hash of every span, read eight bytes at a time; A-Z count as lower case."""
-    lowered = np.zeros(len(data) + 8, dtype=np.uint8)
-    np.take(_LOWER, data, out=lowered[:-8])
-    windows = np.ndarray(len(data) + 1, dtype=np.uint64, buffer=lowered, strides=(1,))
+    lower = np.zeros(len(data) + 8, dtype=np.uint8)
+    np.take(_LOWER, data, out=lower[:-8])
+    windows = np.ndarray(len(data) + 1, dtype=np.uint64, buffer=lower, strides=(1,))
     length = stops - starts
     h = mixed(length.astype(np.uint64) * _C1 ^ (windows[starts] & _MASKS[np.minimum(length, 8)]))
     rest, done = np.flatnonzero(length > 8), 8

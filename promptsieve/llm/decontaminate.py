@@ -1,113 +1,245 @@
 """Benchmark decontamination by CGK embedding and bit-sampling LSH.
 
 The CGK random walk copies a word to the output at every step and advances by a random bit of that word, so that sequences
-within a small edit distance stay in step and their outputs agree at most places: edit distance becomes Hamming distance.
-Bit sampling then hashes a few output places; REPEATS walks with other bits and places are made. Benchmark items are indexed
-at every word, every word of every document opens a window, and a window that agrees with an item in MIN_HITS keys on
-about the same alignment is verified: the item must occur in the item-sized window within MAX_EDITS_PERCENT of its
-characters, insertions, deletions and substitutions counted exactly.
+within a small edit distance stay in step and their outputs agree at many places: edit distance becomes Hamming distance.
+Walks open at every word of every item and of every document. Bit sampling hashes the first output word with one later one;
+WALKS walks with other bits, each sampled at every step that has moved on, are the repeats. With a fifth of the characters
+edited two words in three differ and long walks lose step, so the sampled places are near, and agreements are counted over
+the item-sized window instead, three times where the walk opens at a word longer than SHORT_WORD bytes, as short words agree
+by chance. A window with enough of them for the item's length on about the same alignment is a candidate. Its parts that
+share enough of the item's runs of GRAM characters are verified: the item must occur there within MAX_EDITS_PERCENT of its
+characters, insertions, deletions and substitutions counted exactly. Matches are exact; the recall of the search before is
+measured against the exact distance in the tests.
+
+Items of fewer than MIN_ITEM_WORDS words hold too few places to count. They are searched exactly, as the same words in a row.
 
 The index of at most BLOCK_ITEMS items is held by the tasks; a larger benchmark goes through in blocks of that size.
-Documents are only mapped: no shuffle, and memory is bounded by one piece of text.
+Documents are only mapped: no shuffle, and memory is bounded by PIECE_WORDS words and one block.
 
 Words are runs of letters and digits in lower case (A-Z; anything beyond ASCII counts as a letter); item and window are
 compared as words joined by single spaces.
 
-Edge cases: items of fewer than MIN_ITEM_WORDS words match nothing, like null and empty texts; null ids are carried; rows
-that repeat an id or a text each give their own matches; an empty benchmark or empty documents give no match; extra columns
-are ignored.
+Edge cases: items without a word match nothing, like null and empty texts; null ids are carried; rows that repeat an id or
+a text each give their own matches; an empty benchmark or empty documents give no match; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+from functools import cached_property
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from promptsieve.llm.common import chunks, cut, mixed, small, with_side, word_hashes, word_spans
+from promptsieve.llm.common import chunks, cut, lowered, mixed, small, with_side, word_hashes, word_spans
 
-REPEATS = 4
-STEPS = 12              # of the walk
-SAMPLES = 4             # output places in a key
-MIN_HITS = 4
-MIN_ITEM_WORDS = 8
-TAIL_WORDS = 4          # words an indexed suffix must have
+WALKS = 3               # each reads 16 bits of a word's hash
+STEPS = 6               # of a walk
+HITS_PERCENT = 14       # agreements asked of a window, of the item's words
+LONG_HITS = 3           # what a long word's agreement counts
+SHORT_WORD = 3
+SHARED_PERCENT = 13     # runs of characters asked of a part, of the item's
+MIN_ITEM_WORDS = 8      # shorter items are searched exactly
 MAX_EDITS_PERCENT = 20
 BLOCK_ITEMS = 20_000
-_TABLE_BITS = 22
+PIECE_WORDS = 1 << 16   # words that are searched at once
+GRAM = 7
+GRAM_BITS = 13
+NO_GRAM = 1 << GRAM_BITS
+FRESH = 256
+GAP = 32                # places between parts of a window
+FLAT = 1 << 22          # runs of characters that are compared at once
 _C = np.uint64(0x9E3779B97F4A7C15)
+_STEP = np.arange(STEPS, dtype=np.uint64) * _C
 
 _IS_WORD = np.zeros(256, dtype=bool)
 _IS_WORD[48:58] = _IS_WORD[65:91] = _IS_WORD[97:123] = _IS_WORD[128:] = True
 
 
-def _places(seed: int = 7) -> np.ndarray:
-    """Sampled places per repeat, ascending; the first word always counts."""
-    rng = np.random.default_rng(seed)
-    return np.array([[0, *sorted(rng.choice(np.arange(2, STEPS), SAMPLES - 1, replace=False))] for _ in range(REPEATS)])
-
-
-PLACES = _places()
-
-
-def walk_keys(h: np.ndarray, repeat: int, n: int) -> np.ndarray:
-    """Keys of the windows that open at the first ``n`` words; ``h`` has STEPS more."""
-    places = PLACES[repeat].tolist()
-    at, key = np.arange(n), np.full(n, repeat, dtype=np.uint64)
-    coins = (h >> np.uint64(repeat * 16)).astype(np.uint16)
-    for step in range(places[-1] + 1):
-        if step in places:
-            key = (key ^ h[at]) * _C
-            key ^= key >> np.uint64(29)
-        at += (coins[at] >> np.uint16(step)) & np.uint16(1)
-    return mixed(key)
+def walk_keys(h: np.ndarray):
+    """(opening words, keys) per walk and step: the first output word hashed with the one after the step, of the walks that
+    moved in this step and are still inside ``h``."""
+    second = mixed(h ^ _C)
+    for walk in range(WALKS):
+        coins = (h >> np.uint64(walk * 16)).astype(np.uint16)
+        first = mixed(h + np.uint64(walk))
+        opens = at = np.arange(len(h))
+        for step in range(STEPS):
+            moved = ((coins[at] >> np.uint16(step)) & np.uint16(1)).astype(bool)
+            at = at + moved
+            inside = at < len(h)
+            if not inside.all():
+                opens, at, moved = opens[inside], at[inside], moved[inside]
+            who, word = opens[moved], at[moved]
+            yield who, first[who] + _STEP[step] ^ second[word]
+
+
+def row_hashes(h: np.ndarray, n: int) -> np.ndarray:
+    """Hash of the ``n`` words from each place on."""
+    out = np.full(max(0, len(h) - n + 1), n, dtype=np.uint64)
+    for k in range(n):
+        out = mixed(out * _C ^ h[k:k + len(out)])
+    return out
+
+
+class Words:
+    """Words of some texts: text k has words bounds[k] to bounds[k + 1]."""
+
+    def __init__(self, data: np.ndarray, ends: np.ndarray):
+        self.data = data
+        self.begins, self.ends, self.bounds = word_spans(data, ends, _IS_WORD)
+        self.hashes = word_hashes(data, self.begins, self.ends)
+
+    @cached_property
+    def joined(self) -> tuple[str, np.ndarray, np.ndarray]:
+        inside = _IS_WORD[self.data]
+        kept = inside.copy()
+        kept[1:] |= inside[:-1]     # one separator after a word
+        place = np.zeros(len(self.data) + 1, dtype=np.int64)
+        np.cumsum(kept & (self.data & 0xC0 != 0x80), out=place[1:])
+        text = np.where(inside, lowered(self.data), np.uint8(32))[kept].tobytes().decode("utf-8", "replace")
+        return text, place[self.begins], place[self.ends]
+
+    def places(self, low, high) -> tuple:
+        """Where words ``low`` to ``high`` begin and end among the code points of the words joined by single spaces."""
+        return self.joined[1][low], self.joined[2][high - 1]
+
+    def part(self, low: int, high: int) -> str:
+        a, b = self.places(low, high)
+        return self.joined[0][a:b]
+
+    @cached_property
+    def grams(self) -> np.ndarray:
+        """Hashes of the runs; NO_GRAM where the run stood within the FRESH places before, as in a word said over and over."""
+        g = gram_hashes(self.joined[0])
+        order = np.argsort(g.astype(np.uint16), kind="stable")
+        again = (g[order[1:]] == g[order[:-1]]) & (np.diff(order) <= FRESH)
+        g[order[1:][again]] = NO_GRAM
+        return g
+
+
+def gram_hashes(text: str) -> np.ndarray:
+    """GRAM_BITS of a hash of the GRAM code points from each place on."""
+    c = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32)
+    h = np.zeros(max(0, len(c) - GRAM + 1), dtype=np.uint32)
+    for k in range(GRAM):
+        h = (h ^ c[k:k + len(h)]) * np.uint32(0x9E3779B1)
+        h ^= h >> np.uint32(15)
+    return (h * np.uint32(0xC2B2AE3D)) >> np.uint32(32 - GRAM_BITS)
 
 
 class Index:
-    """Keys of a block of items at every word, and the items' texts."""
+    """A block of items: keys of the walks at every word, sets of character runs, and short items by the hash of their words."""
 
     def __init__(self, ids: list, texts: list):
-        self.ids, self.texts, self.lengths, keys, entries = [], [], [], [], []
+        self.ids, self.texts, n_words, keys, entries, sets = [], [], [], [], [], []
+        short: dict[int, dict[int, list[int]]] = {}
         for first, _, data, ends in chunks(pa.array(texts, pa.string())):
-            starts, stops, bounds = word_spans(data, ends, _IS_WORD)
-            h = word_hashes(data, starts, stops)
-            for i, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist())):
-                if b - a < MIN_ITEM_WORDS:
+            words = Words(data, ends)
+            for i, (a, b) in enumerate(zip(words.bounds[:-1].tolist(), words.bounds[1:].tolist())):
+                if a == b:
                     continue
-                item, n = len(self.ids), b - a - TAIL_WORDS + 1
+                item, h = len(self.ids), words.hashes[a:b]
                 self.ids.append(ids[first + i])
-                self.lengths.append(b - a)
-                self.texts.append(_joined(data, starts[a:b], stops[a:b]))
-                end = mixed(np.arange(1, STEPS + 1, dtype=np.uint64) + np.uint64(item * STEPS))
-                padded = np.concatenate([h[a:b], end])
-                for r in range(REPEATS):
-                    keys.append(walk_keys(padded, r, n))
-                    entries.append(np.stack([np.full(n, item), np.arange(n)], axis=1))
+                self.texts.append(words.part(a, b))
+                n_words.append(b - a)
+                bits = np.zeros(NO_GRAM + 8, dtype=bool)
+                if b - a < MIN_ITEM_WORDS:
+                    short.setdefault(b - a, {}).setdefault(int(row_hashes(h, b - a)[0]), []).append(item)
+                else:
+                    bits[gram_hashes(self.texts[-1])] = True
+                    for opens, k in walk_keys(h):
+                        keys.append(k)
+                        long = words.ends[a + opens] - words.begins[a + opens] > SHORT_WORD
+                        entries.append(np.stack([np.full(len(k), item), opens, long], axis=1))
+                sets.append(np.packbits(bits, bitorder="little"))
+        self.short = {n: (np.array(sorted(by), dtype=np.uint64), [by[k] for k in sorted(by)]) for n, by in short.items()}
+        self.n_words = np.array(n_words, dtype=np.int64)
+        self.slack = self.n_words // 4 + 2      # words by which edits may shift the alignment
+        self.needed = -(-self.n_words * HITS_PERCENT // 100)
+        self.chars = np.array([len(t) for t in self.texts], dtype=np.int64)
+        self.most = self.chars * MAX_EDITS_PERCENT // 100
+        self.sets = np.stack(sets) if sets else np.zeros((0, NO_GRAM // 8 + 1), dtype=np.uint8)
         self.keys = np.concatenate(keys) if keys else np.zeros(0, dtype=np.uint64)
-        self.entries = np.concatenate(entries) if entries else np.zeros((0, 2), dtype=np.int64)
+        self.entries = np.concatenate(entries) if entries else np.zeros((0, 3), dtype=np.int64)
         order = np.argsort(self.keys, kind="stable")
         self.keys, self.entries = self.keys[order], self.entries[order]
-        self.table = np.zeros(1 << _TABLE_BITS, dtype=bool)
-        self.table[self.keys >> np.uint64(64 - _TABLE_BITS)] = True
+        self.shift = np.uint64(64 - min(26, max(16, len(self.keys).bit_length() + 4)))
+        self.table = np.zeros(1 << (64 - int(self.shift)), dtype=bool)
+        self.table[self.keys >> self.shift] = True
 
     def hits(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(window's word, entry) of all equal keys."""
-        padded = np.concatenate([h, np.zeros(STEPS, dtype=np.uint64)])
-        words, entries = [], []
-        for r in range(REPEATS):
-            keys = walk_keys(padded, r, len(h))
-            at = np.flatnonzero(self.table[keys >> np.uint64(64 - _TABLE_BITS)])
-            low = np.searchsorted(self.keys, keys[at], side="left")
-            n = np.searchsorted(self.keys, keys[at], side="right") - low
-            words.append(np.repeat(at, n))
+        """(window's word, (item, the item's word, whether it is long)) of all equal keys."""
+        found, entries = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+        for at, keys in walk_keys(h):
+            maybe = np.flatnonzero(self.table[keys >> self.shift])
+            at, keys = at[maybe], keys[maybe]
+            low = np.searchsorted(self.keys, keys, side="left")
+            n = np.searchsorted(self.keys, keys, side="right") - low
+            found.append(np.repeat(at, n))
             entries.append(np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum()))
-        return np.concatenate(words), np.concatenate(entries)
-
-
-def _joined(data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> bytes:
-    """The words' bytes in lower case with single spaces."""
-    return b" ".join(data[a:b].tobytes() for a, b in zip(starts.tolist(), stops.tolist())).lower()
+        return np.concatenate(found), self.entries[np.concatenate(entries)]
+
+    def windows(self, words: Words, low: int, high: int) -> np.ndarray:
+        """(item, first word, end word) of the windows within words ``low`` to ``high`` that have enough agreements."""
+        at, entry = self.hits(words.hashes[low:high])
+        if not len(at):
+            return np.zeros((0, 3), dtype=np.int64)
+        text = np.searchsorted(words.bounds, at + low, side="right") - 1
+        first_text, most = int(text.min()), int(self.n_words.max())
+        span, items = high - low + 2 * most, len(self.ids)
+        # one number per hit: text, item, the word where the item would open, which may lie before the text, and long or not
+        order = ((text - first_text) * items + entry[:, 0]) * span + at - entry[:, 1] + most
+        order = np.sort(order * 2 + entry[:, 2])
+        sums = np.zeros(len(order) + 1, dtype=np.int64)
+        np.cumsum(1 + (LONG_HITS - 1) * (order & 1), out=sums[1:])
+        order >>= 1
+        item = order // span % items
+        near = sums[np.searchsorted(order, order + self.slack[item], side="right")] - sums[:-1]
+        order = order[near >= self.needed[item]]
+        group, opens = order // span, order % span - most + low
+        item, text = group % items, group // items + first_text
+        slack = self.slack[item]
+        new = np.ones(len(order), dtype=bool)
+        new[1:] = (group[1:] != group[:-1]) | (opens[1:] - opens[:-1] > 2 * slack[1:])
+        a = np.flatnonzero(new)
+        b = np.append(a[1:], len(order))[:len(a)] - 1
+        item, slack, text = item[a], slack[a], text[a]
+        starts = np.maximum(opens[a] - slack, words.bounds[text])
+        stops = np.minimum(opens[b] + 2 * slack + self.n_words[item], words.bounds[text + 1])
+        return np.stack([item, starts, stops], axis=1)[stops > starts]
+
+    def parts(self, words: Words, windows: np.ndarray):
+        """(item, begin, end) of the windows' parts, by code point, where a stretch as long as the item may become shares
+        enough runs of characters. Any such stretch lies in one part."""
+        item = windows[:, 0]
+        a, b = words.places(windows[:, 1], windows[:, 2])
+        n = np.maximum(b - a - GRAM + 1, 0)
+        cuts = np.flatnonzero(np.diff((np.cumsum(n) - n) // FLAT)) + 1
+        for rows in np.split(np.arange(len(item)), cuts):
+            rows = rows[n[rows] > 0]
+            if not len(rows):
+                continue
+            size, mine = n[rows], item[rows]
+            begins = np.cumsum(size) - size
+            here = np.arange(size.sum())
+            moved = a[rows] - begins
+            g = words.grams[here + np.repeat(moved, size)]
+            shared = np.zeros(len(here) + 1, dtype=np.int32)
+            np.cumsum((self.sets[np.repeat(mine, size), g >> np.uint32(3)] >> (g & np.uint32(7))) & 1, out=shared[1:])
+            width = (self.chars + self.most)[mine] - GRAM + 1
+            need = -(-SHARED_PERCENT * (self.chars[mine] - GRAM + 1) // 100)
+            stop = np.minimum(here + np.repeat(width, size), np.repeat(begins + size, size))
+            good = np.flatnonzero(shared[stop] - shared[:-1] >= np.repeat(need, size))
+            row = np.searchsorted(begins, good, side="right") - 1
+            new = np.ones(len(good), dtype=bool)
+            new[1:] = (row[1:] != row[:-1]) | (good[1:] - good[:-1] > GAP)
+            first = np.flatnonzero(new)
+            last = np.append(first[1:], len(good))[:len(first)] - 1
+            row = row[first]
+            yield from zip(mine[row].tolist(), (good[first] + moved[row]).tolist(),
+                           np.minimum(good[last] + moved[row] + width[row] + GRAM - 1, b[rows][row]).tolist())
 
 
 def best_edits(item: str, text: str, most: int) -> int:
@@ -135,33 +267,33 @@ def best_edits(item: str, text: str, most: int) -> int:
     return best
 
 
-def _matches(index: Index, data: np.ndarray, ends: np.ndarray):
-    """(text, item, edits, first word of the window) of every verified window; per text and item the best."""
-    starts, stops, bounds = word_spans(data, ends, _IS_WORD)
-    h = word_hashes(data, starts, stops)
-    word, entry = index.hits(h)
-    if not len(word):
-        return {}
-    doc = np.searchsorted(bounds, word, side="right") - 1
-    item, offset = index.entries[entry, 0], index.entries[entry, 1]
-    opens = word - offset
-    order = np.lexsort((opens, item, doc))
-    doc, item, opens = doc[order], item[order], opens[order]
-    slack = np.array(index.lengths)[item] // 4 + 2
-    new = np.ones(len(doc), dtype=bool)
-    new[1:] = (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (opens[1:] - opens[:-1] > slack[1:])
-    at = np.flatnonzero(new)
-    n = np.diff(np.append(at, len(doc)))
-    found: dict[tuple[int, int], tuple[int, int]] = {}
-    for a, k in zip(at[n >= MIN_HITS].tolist(), n[n >= MIN_HITS].tolist()):
-        d, i = int(doc[a]), int(item[a])
-        low = max(int(opens[a]) - int(slack[a]), int(bounds[d]))
-        high = min(int(opens[a + k - 1]) + index.lengths[i] + int(slack[a]), int(bounds[d + 1]))
-        wanted = index.texts[i].decode("utf-8", "replace")
-        most = len(wanted) * MAX_EDITS_PERCENT // 100
-        edits = best_edits(wanted, _joined(data, starts[low:high], stops[low:high]).decode("utf-8", "replace"), most)
-        if edits <= most:
-            found[d, i] = min(found.get((d, i), (edits, low - int(bounds[d]))), (edits, low - int(bounds[d])))
+def _matches(index: Index, data: np.ndarray, ends: np.ndarray) -> dict[tuple[int, int], tuple[int, int]]:
+    """(text, item) -> (edits, first word of the window) of every verified window; per text and item the best."""
+    words, found = Words(data, ends), {}
+    bounds, n = words.bounds, len(words.hashes)
+    for k, (keys, items) in index.short.items():
+        at = np.flatnonzero(np.isin(hashes := row_hashes(words.hashes, k), keys))
+        text, key = np.searchsorted(bounds, at, side="right") - 1, np.searchsorted(keys, hashes[at])
+        whole = at + k <= bounds[text + 1]
+        at, text, key = at[whole], text[whole], key[whole]
+        for j in np.unique(text * len(keys) + key, return_index=True)[1].tolist():
+            for item in items[key[j]]:
+                if words.part(at[j], at[j] + k) == index.texts[item]:
+                    found[int(text[j]), item] = (0, int(at[j] - bounds[text[j]]))
+    margin = int((index.n_words + 2 * index.slack).max()) if len(index.keys) else 0
+    for low in range(0, n if margin else 0, PIECE_WORDS):
+        # a piece reaches so far beyond its end that every match lies in one piece
+        windows = index.windows(words, low, min(n, low + PIECE_WORDS + margin))
+        if not len(windows):
+            continue
+        for item, a, b in index.parts(words, windows):
+            most = int(index.most[item])
+            edits = best_edits(index.texts[item], words.joined[0][a:b], most)
+            if edits <= most:
+                word = int(np.searchsorted(words.joined[2], a, side="right"))
+                text = int(np.searchsorted(bounds, word, side="right")) - 1
+                new = edits, word - int(bounds[text])
+                found[text, item] = min(found.get((text, item), new), new)
     return found
 
 
