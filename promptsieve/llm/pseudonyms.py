@@ -5,14 +5,20 @@ permuted by a keyed Feistel network inside their format. The permutation depends
 equal values get equal pseudonyms in every document, and different values different ones. Separators, prefixes and check
 digits stay valid: card numbers pass the Luhn test, dates stay dates, addresses stay addresses.
 
-Only DataFrame functions are used. Texts without a candidate pass unchanged after one search. The pass over a text is
-n log n or better in its length, and nothing is shuffled.
+Only DataFrame functions are used. Texts without a candidate pass unchanged after one search. Nothing is shuffled.
 
-Kinds in order of precedence: email (letters and digits of the local part), date (1900 to 2099, ISO or day first), ssn, card,
-ip, phone. A value that fails its validation stays.
+Kinds in order of precedence: email (letters and digits of the local part), date (1900 to 2099; ISO, day first, or month
+first where no day first date is meant), ssn, card, ip, phone. Every kind is searched on its own in what the kinds before it
+left over, so a value that fails its validation stays and hides nothing:
+
+* A card is any stretch of whole digit groups with 13 to 19 digits that passes the Luhn test, leftmost first, then longest.
+* A phone number is a chain of groups with one separator other than blanks, else a whole run of groups, else three groups of
+  3, 3 and 4 digits, else what follows a plus sign, the longest of up to 15 digits. It has 8 to 15 digits.
+* A date with a month beyond twelve in second place is month first, and becomes such a date; it is linked with its like only.
 
 Edge cases: null texts stay null and count nothing; empty texts stay empty; rows that repeat an id or a text get the same
-pseudonyms; an empty table gives an empty table; extra columns are kept by ``pseudonymised``, also if their names clash.
+pseudonyms; an empty table gives an empty table; extra columns are kept by ``pseudonymised``, also if their names clash: the
+new column takes underscores until its name is free.
 """
 
 from __future__ import annotations
@@ -25,20 +31,28 @@ from promptsieve.llm.secrets import occurrences
 KEY = "pseudonyms"      # for trials only; give ``pseudonymised`` a secret of your own
 ROUNDS = 8
 DATE_WALKS = 12         # one in 55 steps leaves the calendar, so twelve in a row do so once in 1e20 dates
+LATE_WALKS = 48         # two in five steps leave the days beyond the twelfth
+CARD_DIGITS = 13, 19
 
 # How the kinds are written.
 _EDGE, _END = r"(?<![0-9A-Za-z])", r"(?![0-9A-Za-z])"
-PATTERNS = {
-    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
-    "date": _EDGE + r"(?:(?:19|20)[0-9]{2}-[0-9]{2}-[0-9]{2}|[0-9]{2}[./][0-9]{2}[./](?:19|20)[0-9]{2})" + _END,
-    "ssn": _EDGE + r"[0-9]{3}-[0-9]{2}-[0-9]{4}" + _END,
-    "card": _EDGE + r"(?:[0-9][ -]?){12,18}[0-9]" + _END,
-    "ip": r"(?<![0-9A-Za-z.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9A-Za-z]|\.[0-9])",
-    "phone": r"(?<![0-9A-Za-z+])(?:\+[1-9][0-9]{0,2}[ .-]?)?\(?[0-9]{2,4}\)?[ .-][0-9]{2,4}[ .-][0-9]{2,4}"
-             r"(?:[ .-][0-9]{2,4})*" + _END,
-}
-KINDS = tuple(PATTERNS)
-_ANY = "|".join(PATTERNS.values())
+_CODE, _GROUP = r"(?:\+[1-9][0-9]{0,2}[ .-]?)?", r"[0-9]{2,4}"
+_FRESH = r"(?<![0-9A-Za-z+])"
+PASSES = (
+    ("email", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+){0,125}\.[A-Za-z]{2,}"),
+    ("date", _EDGE + r"(?:19|20)[0-9]{2}-[0-9]{2}-[0-9]{2}" + _END),
+    ("date", _EDGE + r"[0-9]{2}[./][0-9]{2}[./](?:19|20)[0-9]{2}" + _END),
+    ("ssn", _EDGE + r"[0-9]{3}-[0-9]{2}-[0-9]{4}" + _END),
+    ("card", _EDGE + r"[0-9][0-9 -]{11,}[0-9]" + _END),
+    ("ip", r"(?<![0-9A-Za-z.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9A-Za-z]|\.[0-9])"),
+    ("phone", _FRESH + _CODE + rf"(?:{_GROUP}-{_GROUP}(?:-{_GROUP}){{1,5}}|{_GROUP}\.{_GROUP}(?:\.{_GROUP}){{1,5}})" + _END),
+    ("phone", _FRESH + r"(?<!(?<![0-9A-Za-z])[0-9]{2,4}[ .-])" + _CODE
+     + rf"\(?{_GROUP}\)?[ .-]{_GROUP}[ .-]{_GROUP}(?:[ .-]{_GROUP}){{0,4}}" + _END + rf"(?![ .-]{_GROUP}{_END})"),
+    ("phone", _FRESH + _CODE + r"\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}" + _END),
+    ("phone", _FRESH + r"\+[1-9](?:[ .-]?[0-9]){7,14}" + _END),
+)
+KINDS = tuple(dict.fromkeys(kind for kind, _ in PASSES))
+_SPANS = "array<struct<start:int,end:int,value:string,kind:string,new:string>>"
 _LIKELY = r"@|[0-9][0-9 ().+/-]{5,}[0-9]"
 
 
@@ -46,14 +60,14 @@ def _let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), 0)
 
 
-def feistel(symbols: Column, radices: Column, kind: str, key: str = KEY, rounds: int = ROUNDS) -> Column:
+def feistel(symbols: Column, radices: Column, kind: str | Column, key: str = KEY, rounds: int = ROUNDS) -> Column:
     """``symbols``, each below its radix, permuted: halves take turns adding a digest of the other half, by symbol."""
     half = F.ceil(F.size(symbols) / 2).cast("int")
 
     def turn(state: Column, r: Column) -> Column:
         odd = r % 2 == 1
         fixed = F.when(odd, F.slice(state, 1, half)).otherwise(F.slice(state, half + 1, F.size(state) - half))
-        seed = F.concat_ws(":", F.lit(key), F.lit(kind), r, F.size(state), F.array_join(fixed.cast("array<string>"), "."))
+        seed = F.concat_ws(":", F.lit(key), kind if isinstance(kind, Column) else F.lit(kind), r, F.size(state), F.array_join(fixed.cast("array<string>"), "."))
 
         def moved(x: Column, i: Column) -> Column:
             pad = F.conv(F.substring(F.md5(F.concat_ws(":", seed, i)), 1, 12), 16, 10).cast("bigint")
@@ -144,7 +158,10 @@ def _phone(value: Column, key: str) -> Column:
 def _date(value: Column, key: str) -> Column:
     iso = value.rlike("^[0-9]{4}-")
     at = lambda a, b, n: F.when(iso, F.substring(value, a, n)).otherwise(F.substring(value, b, n)).cast("bigint")
-    year, month, day = at(1, 7, 4), at(6, 4, 2), at(9, 1, 2)
+    year, second = at(1, 7, 4), at(6, 4, 2)
+    swapped = ~iso & (second > 12)
+    month = F.when(swapped, at(9, 1, 2)).otherwise(second)
+    day = F.when(swapped, second).otherwise(at(9, 1, 2))
     shown = lambda s: F.format_string("%04d-%02d-%02d", F.get(s, 0) + 1900, F.get(s, 1) + 1, F.get(s, 2) + 1)
     exists = lambda s: F.try_to_date(shown(s), "yyyy-MM-dd").isNotNull()
     radices = F.array(*[F.lit(r).cast("bigint") for r in (200, 12, 31)])
@@ -153,15 +170,20 @@ def _date(value: Column, key: str) -> Column:
     state = F.struct(F.lit(False).alias("done"), symbols.alias("s"))
 
     def walk(acc: Column, _: Column) -> Column:
-        return F.when(acc["done"], acc).otherwise(_let(feistel(acc["s"], radices, "date", key), lambda s: F.struct(
-            F.coalesce(exists(s), F.lit(False)).alias("done"), s.alias("s"))))
+        def moved(s: Column) -> Column:
+            done = exists(s) & (~swapped | (F.get(s, 2) >= 12))
+            return F.struct(F.coalesce(done, F.lit(False)).alias("done"), s.alias("s"))
+        kind = F.when(swapped, "late date").otherwise("date")
+        return F.when(acc["done"], acc).otherwise(_let(feistel(acc["s"], radices, kind, key), moved))
 
     def written(s: Column) -> Column:
         sep = F.substring(value, 3, 1), F.substring(value, 6, 1)
-        first = F.format_string("%02d", F.get(s, 2) + 1), F.format_string("%02d", F.get(s, 1) + 1)
-        late = F.concat(first[0], sep[0], first[1], sep[1], F.format_string("%04d", F.get(s, 0) + 1900))
+        days, months = F.format_string("%02d", F.get(s, 2) + 1), F.format_string("%02d", F.get(s, 1) + 1)
+        first, then = F.when(swapped, months).otherwise(days), F.when(swapped, days).otherwise(months)
+        late = F.concat(first, sep[0], then, sep[1], F.format_string("%04d", F.get(s, 0) + 1900))
         return F.when(iso, shown(s)).otherwise(late)
-    return F.when(valid, _let(F.aggregate(F.sequence(F.lit(1), F.lit(DATE_WALKS)), state, walk, lambda a: a["s"]), written))
+    walks = F.sequence(F.lit(1), F.when(swapped, LATE_WALKS).otherwise(DATE_WALKS))
+    return F.when(valid, _let(F.aggregate(walks, state, walk, lambda a: a["s"]), written))
 
 
 def _email(value: Column, key: str) -> Column:
@@ -180,35 +202,86 @@ def _email(value: Column, key: str) -> Column:
 _MAKE = {"email": _email, "date": _date, "ssn": _ssn, "card": _card, "ip": _ip, "phone": _phone}
 
 
-def found(text: Column, key: str = KEY) -> Column:
-    """Array of (start, end, value, kind, new) of the valid values of a text, in order."""
-    def judged(x: Column) -> Column:
-        kind, new = F.lit(None).cast("string"), F.lit(None).cast("string")
-        for k in reversed(KINDS):
-            is_kind = x["value"].rlike("^(?:" + PATTERNS[k] + ")$")
-            kind, new = F.when(is_kind, k).otherwise(kind), F.when(is_kind, _MAKE[k](x["value"], key)).otherwise(new)
-        return F.struct(x["start"].alias("start"), x["end"].alias("end"), x["value"].alias("value"), kind.alias("kind"),
-                        new.alias("new"))
-    return F.filter(F.transform(occurrences(text, _ANY), judged), lambda x: x["new"].isNotNull())
-
-
-def replaced(text: Column, spans: Column) -> Column:
+def _span(start: Column, value: Column, kind: str, new: Column) -> Column:
+    return F.struct(start.alias("start"), (start + F.length(value)).alias("end"), value.alias("value"),
+                    F.lit(kind).alias("kind"), new.alias("new"))
+
+
+def _card_groups(run: Column) -> Column:
+    """The run with its digit groups and, per group, how many groups from it on make a card: the most that do, or null."""
+    groups = run["groups"]
+    least, most = CARD_DIGITS
+
+    def longest(group: Column, i: Column) -> Column:
+        def is_card(n: Column) -> Column:
+            digits = F.array_join(F.slice(groups, i + 1, n), "")
+            return (F.length(digits).between(least, most) & ~F.array_contains(F.slice(groups, i + 1, n), "")
+                    & digits.rlike("[1-9]") & F.call_function("luhn_check", digits))
+        return F.get(F.filter(F.sequence(F.least(F.lit(most), F.size(groups) - i), F.lit(1), F.lit(-1)), is_card), 0)
+    return F.struct(run["start"].alias("start"), run["value"].alias("value"), groups.alias("groups"),
+                    F.transform(groups, longest).alias("n"))
+
+
+def _cards(run: Column) -> Column:
+    """(start, value) of the cards of a run that don't overlap, from left to right."""
+    empty = F.array().cast("array<struct<start:int,value:string>>")
+    state = F.struct(F.lit(0).alias("i"), F.lit(0).alias("at"), F.lit(0).alias("free"), empty.alias("out"))
+
+    def step(s: Column, x: Column) -> Column:
+        taken = x["n"].isNotNull() & (s["at"] >= s["free"])
+        size = F.length(F.array_join(F.slice(run["groups"], s["i"] + 1, x["n"]), " "))
+        card = F.struct((run["start"] + s["at"]).alias("start"), F.substr(run["value"], s["at"] + 1, size).alias("value"))
+        return F.struct((s["i"] + 1).alias("i"), (s["at"] + F.length(x["groups"]) + 1).alias("at"),
+                        F.when(taken, s["at"] + size).otherwise(s["free"]).alias("free"),
+                        F.when(taken, F.concat(s["out"], F.array(card))).otherwise(s["out"]).alias("out"))
+    return F.aggregate(F.arrays_zip(run["groups"].alias("groups"), run["n"].alias("n")), state, step, lambda s: s["out"])
+
+
+def _with_spans(rows: DataFrame, key: str, left: str, spans: str) -> DataFrame:
+    """``rows`` with arrays of the valid values of every pass, ``spans`` and a number each. ``left`` holds the text, of
+    which a pass hides what it finds from the next. Every step is a projection of its own, so none is evaluated twice."""
+    none = F.array().cast(_SPANS)
+    for k, (kind, pattern) in enumerate(PASSES):
+        found = f"{spans}{k}"
+        rows = rows.withColumn(found, F.when(F.col(left).rlike(pattern), occurrences(F.col(left), pattern)))
+        if kind == "card":
+            rows = rows.withColumn(found, F.transform(found, lambda x: F.struct(
+                x["start"].alias("start"), x["value"].alias("value"), F.split(x["value"], "[ -]").alias("groups"))))
+            rows = rows.withColumn(found, F.transform(found, _card_groups))
+            rows = rows.withColumn(found, F.flatten(F.transform(found, _cards)))
+        judged = F.transform(found, lambda x: _span(x["start"], x["value"], kind, _MAKE[kind](x["value"], key)))  # noqa: B023
+        valid = F.filter(judged, lambda x: x["new"].isNotNull()).cast(_SPANS)
+        rows = rows.withColumn(found, F.coalesce(valid, none))
+        if k + 1 < len(PASSES):
+            hidden = replaced(F.col(left), F.col(found), lambda x: F.repeat(F.lit("x"), x["end"] - x["start"]))
+            rows = rows.withColumn(left, F.when(F.size(found) > 0, hidden).otherwise(F.col(left)))
+    return rows
+
+
+def replaced(text: Column, spans: Column, by=lambda x: x["new"]) -> Column:
     """``text`` with the spans' values replaced; pieces between them are joined once."""
     gap = lambda x, i: F.substring(
         text, F.when(i > 0, F.get(spans, i - 1)["end"]).otherwise(0) + 1,
         x["start"] - F.when(i > 0, F.get(spans, i - 1)["end"]).otherwise(0))
-    pieces = F.transform(spans, lambda x, i: F.concat(gap(x, i), x["new"]))
+    pieces = F.transform(spans, lambda x, i: F.concat(gap(x, i), by(x)))
     return F.concat(F.array_join(pieces, ""), F.substring(text, F.element_at(spans, -1)["end"] + 1, F.length(text)))
 
 
-def pseudonymised(docs: DataFrame, key: str = KEY) -> DataFrame:
-    """The rows of ``docs`` with new text and ``pseudonyms``, an array of (start, end, value, kind, new). ``key`` should be a
+def pseudonymised(docs: DataFrame, key: str = KEY, column: str = "pseudonyms") -> DataFrame:
+    """The rows of ``docs`` with new text and ``column``, an array of (start, end, value, kind, new). ``key`` should be a
     secret: whoever knows it can turn pseudonyms back."""
-    none = F.array().cast("array<struct<start:int,end:int,value:string,kind:string,new:string>>")
-    spans = F.when(F.col("text").rlike(_LIKELY), found(F.col("text"), key)).otherwise(none)
-    rows = docs.drop("pseudonyms").withColumn("pseudonyms", F.coalesce(spans, none))
-    return rows.withColumn("text", F.when(F.size("pseudonyms") > 0, replaced(F.col("text"), F.col("pseudonyms")))
-                           .otherwise(F.col("text")))
+    taken = {c.lower() for c in docs.columns}
+    while column.lower() in taken:
+        column += "_"
+    mine = "_"
+    while any(c.startswith(mine) for c in taken | {column.lower()}):
+        mine += "_"
+    rows = docs.withColumn(f"{mine}left", F.when(F.col("text").rlike(_LIKELY), F.col("text")))
+    rows = _with_spans(rows, key, f"{mine}left", f"{mine}spans")
+    spans = F.array_sort(F.concat(*[F.col(f"{mine}spans{k}") for k in range(len(PASSES))]))
+    rows = rows.select(*[F.col(f"`{c}`") for c in docs.columns], spans.alias(column))
+    spans = F.col(f"`{column}`")
+    return rows.withColumn("text", F.when(F.size(spans) > 0, replaced(F.col("text"), spans)).otherwise(F.col("text")))
 
 
 def digest(docs: DataFrame) -> DataFrame:
