@@ -13,7 +13,8 @@ left over, so a value that fails its validation stays and hides nothing:
 
 * A card is any stretch of whole digit groups with 13 to 19 digits that passes the Luhn test, leftmost first, then longest.
 * A phone number is a chain of groups with one separator other than blanks, else a whole run of groups, else three groups of
-  3, 3 and 4 digits, else what follows a plus sign, the longest of up to 15 digits. It has 8 to 15 digits.
+  3, 3 and 4 digits, else what follows a plus sign, the longest of up to 15 digits. It has 8 to 15 digits
+  and not the shape of a date, ssn or address.
 * A date with a month beyond twelve in second place is month first, and becomes such a date; it is linked with its like only.
 
 Edge cases: null texts stay null and count nothing; empty texts stay empty; rows that repeat an id or a text get the same
@@ -51,6 +52,8 @@ PASSES = (
     ("phone", _FRESH + _CODE + r"\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}" + _END),
     ("phone", _FRESH + r"\+[1-9](?:[ .-]?[0-9]){7,14}" + _END),
 )
+# Shapes of the other kinds, which are no phone numbers when their values aren't valid either.
+_NO_PHONE = r"^(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{3}-[0-9]{2}-[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4}|[0-9]{1,3}(?:\.[0-9]{1,3}){3})$"
 KINDS = tuple(dict.fromkeys(kind for kind, _ in PASSES))
 _SPANS = "array<struct<start:int,end:int,value:string,kind:string,new:string>>"
 _LIKELY = r"@|[0-9][0-9 ().+/-]{5,}[0-9]"
@@ -151,7 +154,7 @@ def _phone(value: Column, key: str) -> Column:
                            .otherwise(F.when((i == 0) | (i == 3), 2).otherwise(0)).cast("bigint"))
         start = F.zip_with(moving, fixed, lambda x, f: F.when(f, 0).otherwise(x).cast("bigint"))
         out = F.zip_with(feistel(start, radices, "phone", key), base, lambda x, y: x + y)
-        return F.when(n_all.between(8, 15), F.concat(code, _refilled(rest, out)))
+        return F.when(n_all.between(8, 15) & ~value.rlike(_NO_PHONE), F.concat(code, _refilled(rest, out)))
     return _let(_digits(rest), build)
 
 

@@ -388,6 +388,86 @@ def test_pseudonyms_keep_formats_and_links(spark, make):
     assert pseudonyms.pseudonymised(df).columns[:3] == df.columns[:3]
 
 
+def find_plainly(text):
+    """(start, end, kind) by trying all stretches, kind after kind, in what is left."""
+    out = []
+
+    def take(kind, shape, valid, longest=True, edge=r"[0-9A-Za-z]", after=r"[0-9A-Za-z]"):
+        nonlocal text
+        start = 0
+        while start < len(text):
+            ends = [e for e in range(start + 1, min(len(text), start + 60) + 1)
+                    if re.fullmatch(shape, text[start:e]) and valid(text[start:e])
+                    and not (start and re.match(edge, text[start - 1])) and not re.match(after, text[e:])]
+            if ends:
+                out.append((start, ends[-1], kind))
+                text = text[:start] + "x" * (ends[-1] - start) + text[ends[-1]:]
+                start = ends[-1]
+            else:
+                start += 1
+
+    def real(y, m, d):
+        try:
+            return 1900 <= date(int(y), int(m), int(d)).year < 2100
+        except ValueError:
+            return False
+    digits = lambda v: [int(c) for c in v if c.isdigit()]
+    other = r"\d{4}-\d\d-\d\d|\d{3}-\d\d-\d{4}|\d\d\.\d\d\.\d{4}|\d{1,3}(\.\d{1,3}){3}"
+    number = lambda v: 8 <= len(digits(v)) <= 15 and not re.fullmatch(other, v)
+    take("email", r"[a-z0-9.]+@[a-z0-9]+\.com", lambda v: True, edge=r"[A-Za-z0-9._%+-]", after="[a-z]")
+    take("date", r"(19|20)\d\d-\d\d-\d\d", lambda v: real(*v.split("-")))
+    take("date", r"\d\d[./]\d\d[./](19|20)\d\d", lambda v: real(v[6:], v[3:5], v[:2]) or real(v[6:], v[:2], v[3:5]))
+    take("ssn", r"\d{3}-\d\d-\d{4}", lambda v: 0 < int(v[:3]) < 900 and v[:3] != "666" and v[4:6] != "00" and v[7:] != "0000")
+    take("card", r"\d+([ -]\d+)*", lambda v: 13 <= len(digits(v)) <= 19 and luhn(digits(v)) and any(digits(v)))
+    take("ip", r"\d{1,3}(\.\d{1,3}){3}", lambda v: all(int(x) < 256 for x in v.split(".")), edge=r"[0-9A-Za-z.]",
+         after=r"[0-9A-Za-z]|\.\d")
+    take("phone", r"\d{2,4}(-\d{2,4}){2,6}|\d{2,4}(\.\d{2,4}){2,6}", number, edge=r"[0-9A-Za-z+]")
+    return sorted(out), text
+
+
+def test_pseudonyms_find_what_trying_all_stretches_finds(make):
+    rng = random.Random(21)
+    n = lambda k: "".join(rng.choices("0123456789", k=k))
+
+    def card():
+        body = n(15)
+        c = next(c for c in "0123456789" if luhn([int(x) for x in body + c]))
+        return rng.choice([body + c, " ".join((body + c)[i:i + 4] for i in (0, 4, 8, 12))])
+    parts = [card, card, lambda: n(rng.randrange(1, 5)), lambda: f"{n(3)}-{n(2)}-{n(4)}", lambda: f"212-555-{n(4)}",
+             lambda: f"{rng.randrange(1890, 2110)}-{rng.randrange(15):02d}-{rng.randrange(33):02d}",
+             lambda: f"{rng.randrange(33):02d}/{rng.randrange(33):02d}/{rng.randrange(1890, 2110)}",
+             lambda: ".".join([str(rng.randrange(256)), "1", "2", str(rng.randrange(300))]), lambda: f"a{n(2)}.b@mail{n(1)}.com", lambda: "word"]
+    rows = [(i, "".join(rng.choice(parts)() + rng.choice([" ", " ", ", ", "; ", "/"]) for _ in range(rng.randrange(1, 9))))
+            for i in range(300)]
+    got = {r.doc_id: r.pseudonyms for r in pseudonyms.pseudonymised(make(rows)).collect()}
+    for i, text in rows:
+        want, left = find_plainly(text)
+        mine = [(x.start, x.end, x.kind) for x in got[i]]
+        assert [x for x in mine if x in want] == want, text
+        assert all(k == "phone" and re.fullmatch(r"[0-9 ().+-]+", left[a:b]) for a, b, k in mine if (a, b, k) not in want), text
+        assert all(text[x.start:x.end] == x.value != x.new or x.kind == "phone" for x in got[i])
+
+
+def test_pseudonyms_are_not_hidden_by_failed_matches(make):
+    df = make([(1, "212-555-1234 212-555-9876"), (2, "order 12 4111 1111 1111 1111"), (3, "12/25/1999 and 25/12/1999"),
+               (4, "1999-13-12/12/2003"), (5, "(212) 555-1234 (212) 555-9876 212 555 1234 212 555 9876"),
+               (6, " ".join(["12"] * 10_000)), (7, "a@" + "b." * 10_000 + "x")])
+    got = {r.doc_id: r.pseudonyms for r in pseudonyms.pseudonymised(df).collect()}
+    assert [x.value for x in got[1]] == ["212-555-1234", "212-555-9876"] and got[1][0].new != "212-555-1234"
+    assert [x.value for x in got[2]] == ["4111 1111 1111 1111"]
+    assert [x.value for x in got[3]] == ["12/25/1999", "25/12/1999"] and int(got[3][0].new[3:5]) > 12
+    assert date(int(got[3][0].new[6:]), int(got[3][0].new[:2]), int(got[3][0].new[3:5]))
+    assert [x.value for x in got[4]] == ["12/12/2003"]
+    assert [x.value for x in got[5]] == ["(212) 555-1234", "(212) 555-9876", "212 555 1234", "212 555 9876"]
+    assert got[6] == [] and got[7] == []
+
+
+def test_a_column_named_pseudonyms_stays(make):
+    df = make([(1, "4111 1111 1111 1111")]).withColumn("pseudonyms", F.lit(7)).withColumn("PSEUDONYMS_", F.lit(8))
+    row = pseudonyms.pseudonymised(df).first()
+    assert row["pseudonyms"] == 7 and row["PSEUDONYMS_"] == 8 and row["pseudonyms__"][0].kind == "card"
+
+
 def test_feistel_is_a_permutation(spark):
     from pyspark.sql import functions as F
     pairs = spark.range(60 * 7).select(F.array((F.col("id") / 7).cast("bigint"), F.col("id") % 7).alias("s"))
@@ -497,6 +577,56 @@ def test_best_edits_equals_the_edit_matrix():
         assert min(decontaminate.best_edits(item, text, most), most + 1) == min(plain(item, text), most + 1)
 
 
+def edited(text, percent, kind, rng):
+    """``text`` with that share of its characters substituted, followed by a new one, or left out."""
+    at = set(rng.sample(range(len(text)), len(text) * percent // 100))
+    new = {"substituted": lambda c: rng.choice("abcdefghijklmnopqrstuvwxyz"), "inserted": lambda c: c + rng.choice("aeimnrst"),
+           "deleted": lambda c: ""}[kind]
+    return "".join(new(c) if i in at else c for i, c in enumerate(text))
+
+
+@pytest.mark.parametrize("kind", ["substituted", "inserted", "deleted"])
+def test_search_has_recall_up_to_the_accepted_edits(texts, kind):
+    rng = random.Random(kind)
+    items = duckdb.sql("SELECT item_id, text FROM '/root/testdata/sf0.1/benchmark.parquet' ORDER BY ALL").fetchall()
+    index = decontaminate.Index([i for i, _ in items], [t for _, t in items])
+    around = [t for t in texts.values() if len(t) > 400]
+    for percent in (5, 10, 15, 18):
+        rows = [f"{rng.choice(around)[:300]} . {edited(t, percent, kind, rng)} . {rng.choice(around)[:300]}" for _, t in items]
+        (_, _, data, ends), = decontaminate.chunks(pa.array(rows, pa.string()), 1 << 30)
+        words, got = decontaminate.Words(data, ends), decontaminate._matches(index, data, ends)
+        whole = [words.part(a, b) for a, b in zip(words.bounds[:-1], words.bounds[1:])]
+        want = {k for k in range(len(items))
+                if decontaminate.best_edits(index.texts[k], whole[k], int(index.most[k])) <= index.most[k]}
+        assert len(want) > 190
+        assert len({k for k in want if (k, k) in got}) >= 0.9 * len(want), percent
+        for (row, item), (edits, _) in got.items():     # what is found is right
+            assert edits == decontaminate.best_edits(index.texts[item], whole[row], int(index.most[item]))
+
+
+def test_short_items_are_found_exactly_and_pieces_change_nothing(spark, make, monkeypatch):
+    bench = [(1, "Xylo"), (2, "two words"), (3, "seven words are still not enough here"), (4, "--"), (5, "two words")]
+    rows = [(1, "a xylo, here"), (2, "xylophone"), (3, "Two, WORDS two words"), (4, "two"), (5, "words two"),
+            (6, "so: seven words are still not enough here"), (7, "seven words are still not enough there"), (8, "two"),
+            (9, "words")]
+    items = spark.createDataFrame(bench, "item_id bigint, text string")
+    got = {(r.doc_id, r.item_id, r.edits, r.from_word) for r in decontaminate.leaks(make(rows), items).collect()}
+    assert got == {(1, 1, 0, 1), (3, 2, 0, 0), (3, 5, 0, 0), (6, 3, 0, 1)}
+    assert decontaminate.leaks(make(rows), items.where("item_id = 4")).count() == 0
+    rng = random.Random(12)
+    vocabulary = [f"{a}{b}" for a in ("mora", "telu", "kani", "soro", "pila", "venu") for b in "abcdefghij"]
+    item = " ".join(rng.choices(vocabulary, k=30))
+    index = decontaminate.Index([1, 2], [item, " ".join(rng.choices(vocabulary, k=9))])
+    text = " ".join(" ".join(rng.choices(vocabulary, k=rng.randrange(5, 90))) + " " + edited(item, 8, "substituted", rng)
+                    for _ in range(40))
+    (_, _, data, ends), = decontaminate.chunks(pa.array([text, item, "", text], pa.string()))
+    whole = decontaminate._matches(index, data, ends)
+    assert {t for t, i in whole if i == 0} == {0, 1, 3}
+    monkeypatch.setattr(decontaminate, "PIECE_WORDS", 64)
+    pieces = decontaminate._matches(index, data, ends)
+    assert {k: v[0] for k, v in pieces.items()} == {k: v[0] for k, v in whole.items()}
+
+
 def test_leaks_on_odd_rows(spark, odd):
     bench = spark.createDataFrame([(1, "a b c d e f g h i j k l"), (2, "")], "item_id bigint, text string")
     assert {(r.doc_id, r.item_id, r.edits) for r in decontaminate.leaks(odd, bench).collect()} == {(8, 1, 0)}
