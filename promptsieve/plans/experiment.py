@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import json
 import time
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass
 
 from pyspark import StorageLevel
 from pyspark.ml.base import Estimator, Transformer
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.ml.util import DefaultParamsReader
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from promptsieve.labels import label_names
@@ -41,6 +43,24 @@ class Classifier:
             vector_to_array("probability").alias("probability"))
         return texts.select("row_id", *carry).join(scored, "row_id") if carry else scored
 
+    def save(self, path: str) -> None:
+        """Store terms, model and settings in one folder, replacing what was there."""
+        about = {"specs": [asdict(s) for s in self.specs], "history": self.history, "binary": self.binary,
+                 "train_seconds": self.train_seconds}
+        spark = self.features.sparkSession
+        self.features.write.mode("overwrite").parquet(f"{path}/features")
+        self.model.write().overwrite().save(f"{path}/model")
+        spark.createDataFrame([(json.dumps(about),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/about")
+
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> Classifier:
+        """A stored classifier, ready to score batches and streams; nothing is fitted."""
+        about = json.loads(spark.read.text(f"{path}/about").first()[0])
+        specs = tuple(TermSpec(**{k: tuple(v) if isinstance(v, list) else v for k, v in s.items()}) for s in about["specs"])
+        model = DefaultParamsReader.loadParamsInstance(f"{path}/model", spark)
+        return Classifier(specs, spark.read.parquet(f"{path}/features"), model, about["history"], about["train_seconds"],
+                          about["binary"])
+
 
 def regularization_grid(values: tuple[float, ...] = (1e-3, 1e-2), max_iter: int = 20) -> list[Estimator]:
     return [LogisticRegression(family="multinomial", regParam=r, maxIter=max_iter, weightCol="weight",

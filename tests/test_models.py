@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from promptsieve.operators import generate, metrics, split
 from promptsieve.operators.tfidf import TermSpec
 from promptsieve.plans import experiment, novel
+from promptsieve.plans.network import NetworkEstimator
 from promptsieve.session import materialized
 from promptsieve.sources import results, sinks
 from promptsieve.streaming.dedup import deduplicated
@@ -107,3 +108,48 @@ def test_novel_set_excludes_near_copies(spark, texts, tmp_path):
     assert built.where("label = 1").count() == 0
     # injections share sentences with the seen prompts, so some of them go as well
     assert 0 < built.where("label = 2").count() <= 10 and built.where("label = 3").count() >= 4
+
+
+def test_stored_classifier_scores_alike_in_another_session(spark, toy, clf, tmp_path):
+    clf.save(str(tmp_path / "clf"))
+    clf.save(str(tmp_path / "clf"))     # replaces
+    loaded = experiment.Classifier.load(spark.newSession(), str(tmp_path / "clf"))
+    assert (loaded.specs, loaded.history, loaded.binary) == (clf.specs, clf.history, clf.binary)
+    test = toy.where("split = 'test'")
+    want = {r.row_id: (r.y_pred, r.probability) for r in clf.score(test).collect()}
+    assert want == {r.row_id: (r.y_pred, r.probability) for r in loaded.score(test).collect()}
+    test.select("row_id", "text").write.parquet(str(tmp_path / "in"))
+    arrivals = spark.readStream.schema("row_id bigint, text string").parquet(str(tmp_path / "in"))
+    start_scoring(arrivals, loaded, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
+    assert {r.row_id: r.y_pred for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {
+        k: v[0] for k, v in want.items()}
+
+
+def centroids(train):
+    """Softmax over dot products with class means, as a stand-in for a network."""
+    import numpy as np
+    from pyspark.ml.stat import Summarizer
+    means = train.groupBy("label").agg(Summarizer.mean(F.col("features")).alias("m")).orderBy("label").collect()
+    weights = np.zeros((4, 200), dtype=np.float32)
+    for r in means:
+        weights[int(r.label)] = r.m.toArray() / np.linalg.norm(r.m.toArray())
+
+    def make_predict():
+        def predict(x):
+            e = np.exp(8 * x @ weights.T)
+            return e / e.sum(axis=1, keepdims=True)
+        return predict
+    return make_predict
+
+
+def test_own_network_runs_through_an_experiment(toy):
+    import numpy as np
+    clf, report = experiment.experiment(toy, "own", specs=SPECS, candidates=[NetworkEstimator(centroids, 200, 32)])
+    test = toy.where("split = 'test'")
+    predict = clf.model.make_predict()
+    rows = test.select("row_id", "label").join(clf.vectors(test), "row_id").collect()
+    own = predict(np.array([r.features.toArray() for r in rows], dtype=np.float32)).argmax(axis=1)
+    accuracy = sum(int(p == r.label) for p, r in zip(own, rows)) / len(rows)
+    assert accuracy > 0.5
+    assert {r.split: r.accuracy for r in report.collect()}["test"] == pytest.approx(accuracy, abs=1e-4)
+    assert clf.score(test).where("size(probability) <> 4").count() == 0
