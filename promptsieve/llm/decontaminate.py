@@ -49,7 +49,7 @@ GRAM_BITS = 13
 NO_GRAM = 1 << GRAM_BITS
 FRESH = 256
 GAP = 32                # places between parts of a window
-FLAT = 1 << 22          # runs of characters that are compared at once
+FLAT = 1 << 18          # runs of characters that are compared at once
 _C = np.uint64(0x9E3779B97F4A7C15)
 _STEP = np.arange(STEPS, dtype=np.uint64) * _C
 
@@ -60,19 +60,19 @@ _IS_WORD[48:58] = _IS_WORD[65:91] = _IS_WORD[97:123] = _IS_WORD[128:] = True
 def walk_keys(h: np.ndarray):
     """(opening words, keys) per walk and step: the first output word hashed with the one after the step, of the walks that
     moved in this step and are still inside ``h``."""
-    second = mixed(h ^ _C)
+    n, second = len(h), mixed(h ^ _C)
+    coins_of = np.append(h, np.uint64(0))       # a walk that leaves the words stays where it left
     for walk in range(WALKS):
-        coins = (h >> np.uint64(walk * 16)).astype(np.uint16)
+        coins = (coins_of >> np.uint64(walk * 16)).astype(np.uint16)
         first = mixed(h + np.uint64(walk))
-        opens = at = np.arange(len(h))
+        at = np.arange(n, dtype=np.int32)
         for step in range(STEPS):
-            moved = ((coins[at] >> np.uint16(step)) & np.uint16(1)).astype(bool)
-            at = at + moved
-            inside = at < len(h)
-            if not inside.all():
-                opens, at, moved = opens[inside], at[inside], moved[inside]
-            who, word = opens[moved], at[moved]
-            yield who, first[who] + _STEP[step] ^ second[word]
+            moved = (coins[at] >> np.uint16(step)) & np.uint16(1)
+            at += moved.astype(np.int32)
+            opens = np.flatnonzero(moved)
+            near = np.searchsorted(opens, n - STEPS)    # from here on walks may have left
+            opens = np.append(opens[:near], opens[near:][at[opens[near:]] < n])
+            yield opens, first[opens] + _STEP[step] ^ second[at[opens]]
 
 
 def row_hashes(h: np.ndarray, n: int) -> np.ndarray:
@@ -165,7 +165,8 @@ class Index:
         self.entries = np.concatenate(entries) if entries else np.zeros((0, 3), dtype=np.int64)
         order = np.argsort(self.keys, kind="stable")
         self.keys, self.entries = self.keys[order], self.entries[order]
-        self.shift = np.uint64(64 - min(26, max(16, len(self.keys).bit_length() + 4)))
+        self.keys, self.first, self.n_entries = np.unique(self.keys, return_index=True, return_counts=True)
+        self.shift = np.uint64(64 - min(26, max(16, len(self.keys).bit_length() + 3)))
         self.table = np.zeros(1 << (64 - int(self.shift)), dtype=bool)
         self.table[self.keys >> self.shift] = True
 
@@ -175,8 +176,10 @@ class Index:
         for at, keys in walk_keys(h):
             maybe = np.flatnonzero(self.table[keys >> self.shift])
             at, keys = at[maybe], keys[maybe]
-            low = np.searchsorted(self.keys, keys, side="left")
-            n = np.searchsorted(self.keys, keys, side="right") - low
+            key = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+            same = np.flatnonzero(self.keys[key] == keys)
+            at, key = at[same], key[same]
+            low, n = self.first[key], self.n_entries[key]
             found.append(np.repeat(at, n))
             entries.append(np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum()))
         return np.concatenate(found), self.entries[np.concatenate(entries)]
