@@ -9,14 +9,21 @@ from promptsieve.functions.draws import digest
 from promptsieve.functions.text import group_key
 from promptsieve.labels import LABELS, SEED
 from promptsieve.operators.lookup import HOT_ROWS, skew_safe_lookup
+from promptsieve.operators.neardup import with_family
 from promptsieve.operators.ranking import bucketed_rank
 
 N_FOLDS = 20
 HELDOUT_SHARE = 0.15
 
 
-def with_group_key(prompts: DataFrame, **kw) -> DataFrame:
-    return prompts.withColumn("group_key", group_key(F.col("text"), **kw))
+def with_group_key(prompts: DataFrame, mode: str = "text", **kw) -> DataFrame:
+    """Add ``group_key``: the near-duplicate family of the whole text, or with ``mode="prefix"`` the key of its first letters
+    and digits, which is the reference's rule and takes the options of ``group_key``."""
+    if mode == "prefix":
+        return prompts.withColumn("group_key", group_key(F.col("text"), **kw))
+    if mode != "text":
+        raise ValueError(f"unknown group mode {mode!r}")
+    return with_family(prompts, "group_key", **kw)
 
 
 def group_classes(keyed: DataFrame, labels=tuple(LABELS)) -> DataFrame:

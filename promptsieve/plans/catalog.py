@@ -238,7 +238,13 @@ def q_exact_sample(spark, sf_dir):
 
 @query
 def q_group_key(spark, sf_dir):
-    return split.with_group_key(documents(spark, sf_dir)).select("row_id", "group_key")
+    return split.with_group_key(prompts(spark, sf_dir)).select("row_id", "group_key")
+
+
+@query
+def q_prefix_group_key(spark, sf_dir):
+    """The reference's key: first letters and digits only."""
+    return split.with_group_key(documents(spark, sf_dir), mode="prefix").select("row_id", "group_key")
 
 
 @query

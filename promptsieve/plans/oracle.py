@@ -11,7 +11,7 @@ from promptsieve.functions import codecs
 from promptsieve.functions.text import WHITESPACE as WS
 from promptsieve.labels import LABELS, SEED
 from promptsieve.operators import generate as g
-from promptsieve.operators import similarity, split, vocab
+from promptsieve.operators import neardup, similarity, split, vocab
 from promptsieve.operators.tfidf import CHAR_BLOCK, WORD_BLOCK
 from promptsieve.plans import catalog, novel
 from promptsieve.sources.results import MODEL_ORDER
@@ -161,8 +161,23 @@ CTES: dict[str, str] = {
     "clean_rows": f"""SELECT c.text, c.label, c.source FROM
         ({first_rows('cleaned', 'lower(text)', 'source_rank, row_id', '*')}) c
         JOIN text_groups t ON t.k = lower(c.text) WHERE t.n_labels = 1""",
-    "keyed": """SELECT *, md5(substr(regexp_replace(lower(text), '[^a-z0-9]', '', 'g'), 1, 80)) AS group_key
-        FROM prompts""",
+    "named": f"""SELECT *, substr(md5(canon), 1, {neardup.NAME_DIGITS}) AS node FROM (SELECT *,
+        trim(regexp_replace(lower(text), '[{WS}]+', ' ', 'g')) AS canon FROM prompts)""",
+    "shingles": f"""SELECT DISTINCT node, unnest(CASE WHEN len(w) >= {neardup.SHINGLE_WORDS} THEN
+        list_transform(range(1, len(w) - {neardup.SHINGLE_WORDS - 2}),
+        lambda i: array_to_string(w[i:i + {neardup.SHINGLE_WORDS - 1}], ' '))
+        WHEN len(w) > 0 THEN [canon] ELSE [] END) AS s FROM (SELECT DISTINCT node, canon,
+        list_filter(string_split(canon, ' '), lambda x: x <> '') AS w FROM named)""",
+    "alike": f"""SELECT u, v FROM (SELECT a.node AS u, b.node AS v, count(*) AS n FROM shingles a JOIN shingles b
+        ON a.s = b.s AND a.node <> b.node GROUP BY a.node, b.node)
+        JOIN (SELECT node, count(*) AS nu FROM shingles GROUP BY node) x ON x.node = u
+        JOIN (SELECT node, count(*) AS nv FROM shingles GROUP BY node) y ON y.node = v
+        WHERE 100 * n >= {neardup.MIN_PERCENT} * (nu + nv - n)""",
+    "families": """WITH RECURSIVE reached(node, other) AS (SELECT DISTINCT u, u FROM alike
+        UNION SELECT r.node, l.v FROM reached r JOIN alike l ON l.u = r.other)
+        SELECT node, min(other) AS label FROM reached GROUP BY node""",
+    "keyed": """SELECT n.* EXCLUDE (canon, node), coalesce(f.label, n.node) AS group_key
+        FROM named n LEFT JOIN families f USING (node)""",
     "groups": """SELECT group_key, count(*) AS n_rows, count(*) FILTER (label = 0) AS c0,
         count(*) FILTER (label = 1) AS c1, count(*) FILTER (label = 2) AS c2, count(*) FILTER (label = 3) AS c3
         FROM keyed GROUP BY group_key""",
@@ -407,7 +422,8 @@ def _selects() -> dict[str, str]:
     q["q_exact_sample"] = f"""SELECT row_id, label FROM (SELECT row_id, label, row_number() OVER (PARTITION BY label
         ORDER BY {digest('share', 'row_id')}, row_id) AS rn, count(*) OVER (PARTITION BY label) AS n FROM prompts)
         WHERE rn <= floor(n * {catalog.SAMPLE_FRACTION})"""
-    q["q_group_key"] = """SELECT doc_id AS row_id, md5(substr(regexp_replace(lower(text), '[^a-z0-9]', '', 'g'), 1, 80))
+    q["q_group_key"] = "SELECT row_id, group_key FROM keyed"
+    q["q_prefix_group_key"] = """SELECT doc_id AS row_id, md5(substr(regexp_replace(lower(text), '[^a-z0-9]', '', 'g'), 1, 80))
         AS group_key FROM documents"""
     q["q_group_classes"] = "SELECT * FROM groups"
     q["q_folds"] = "SELECT group_key, n_rows, fold FROM folds"
