@@ -1,6 +1,6 @@
 """TF-IDF over word and character n-grams in long form.
 
-Terms are counted inside their row. The fit shuffles only (term, count) partial sums, combined map-side, and its result
+Terms are counted inside their row; runs of few characters as numbers, without a string per run. The fit shuffles only (term, count) partial sums, combined map-side, and its result
 is bounded by ``max_features``. For the transform, texts are placed by ``row_id`` before they are cut into terms; norms
 and vectors group by ``row_id`` and reuse that placement, so raw text is shuffled once and exploded terms never are.
 """
@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from promptsieve.functions import charcodes
 from promptsieve.functions.ngrams import char_ngrams, counted, word_ngrams
 from promptsieve.functions.text import WORD_CHARS, truncated, word_tokens
 from promptsieve.operators.lookup import bounded
@@ -36,9 +37,17 @@ class TermSpec:
     max_chars: int | None = None
     stop_words: tuple[str, ...] = field(default=(), repr=False)
 
-    def terms(self, text: Column) -> Column:
+    @property
+    def is_packed(self) -> bool:
+        """Whether the terms are short enough to be counted as two numbers instead of strings."""
+        return self.unit == "char" and max(self.sizes) <= charcodes.MAX_CHARS
+
+    def prepared(self, text: Column) -> Column:
         text = truncated(text, self.max_chars)
-        text = F.lower(text) if self.lowercase else text
+        return F.lower(text) if self.lowercase else text
+
+    def terms(self, text: Column) -> Column:
+        text = self.prepared(text)
         if self.unit == "char":
             return char_ngrams(text, self.sizes)
         if self.unit == "token":
@@ -61,24 +70,39 @@ def placed(texts: DataFrame) -> DataFrame:
 
 
 def term_counts(texts: DataFrame, *specs: TermSpec) -> DataFrame:
-    """(row_id, block, term, tf), counted inside each row; a text without terms keeps one row with NULL term."""
+    """(row_id, block, term, k1, k2, tf), counted inside each row; a text without terms keeps one row with NULL tf.
+
+    Packed terms are the numbers k1 and k2 and have no ``term``; other terms have their hash as k1.
+    """
 
     def tagged(block: int, spec: TermSpec) -> Column:
         tag = F.lit(block).alias("block")
         return F.transform(counted(spec.terms(F.col("text"))),
-                           lambda t: F.struct(tag, t["term"].alias("term"), t["tf"].alias("tf")))
+                           lambda t: F.struct(tag, t["term"].alias("term"), F.xxhash64(t["term"]).alias("k1"),
+                                              F.lit(0).cast("bigint").alias("k2"), t["tf"].alias("tf")))
+
+    def packed(block: int, spec: TermSpec) -> Column:
+        counts = charcodes.counted_runs(spec.prepared(F.col("text")), spec.sizes)
+        return F.transform(counts, lambda t: F.struct(F.lit(block).alias("block"), F.lit(None).cast("string").alias("term"),
+                                                      t["k1"].alias("k1"), t["k2"].alias("k2"), t["tf"].alias("tf")))
 
-    counts = F.concat(*[tagged(b, s) for b, s in enumerate(specs)])
+    counts = F.concat(*[(packed if s.is_packed else tagged)(b, s) for b, s in enumerate(specs)])
     return texts.select("row_id", F.explode_outer(counts).alias("_t")).select("row_id", "_t.*")
 
 
 def fit_block(texts: DataFrame, spec: TermSpec) -> DataFrame:
-    """(term, idx, df, idf): the most frequent terms, ties by term, indexed in term order."""
+    """(term, idx, df, idf): the most frequent terms, ties by term, indexed in term order.
+
+    Packed terms are counted and ranked as numbers, which order like the terms; only those kept become strings.
+    """
     n_docs = texts.agg(F.count("*")).scalar()
-    corpus = (term_counts(texts, spec).where(F.col("term").isNotNull())
-              .groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("ctf"))
+    keys = ["k1", "k2"] if spec.is_packed else ["term"]
+    corpus = (term_counts(texts, spec).where(F.col("tf").isNotNull())
+              .groupBy(*keys).agg(F.count("*").alias("df"), F.sum("tf").alias("ctf"))
               .where(F.col("df") >= spec.min_df))
-    top = top_by_count(corpus, "ctf", spec.max_features, "term")
+    top = top_by_count(corpus, "ctf", spec.max_features, *keys)
+    if spec.is_packed:
+        top = top.withColumn("term", charcodes.unpacked(F.col("k1"), F.col("k2")))
     return top.select("term", (F.row_number().over(Window.orderBy("term")) - 1).alias("idx"), "df",
                       (F.log((n_docs + 1) / (F.col("df") + 1)) + 1).alias("idf"))
 
@@ -104,14 +128,24 @@ def weights(texts: DataFrame, fitted: DataFrame, *specs: TermSpec, is_placed: bo
 
     Terms outside the fit are dropped, or kept with NULL ``idx`` so that no row can vanish.
     """
-    known = bounded(fitted.select("block", "term", "idx", "df", "idf"), dimension(*specs))
+    packed = [b for b, s in enumerate(specs) if s.is_packed]
+    k1, k2 = F.xxhash64("term"), F.lit(0).cast("bigint")
+    if packed:
+        (p1, p2), is_packed = charcodes.packed(F.col("term")), F.col("block").isin(*packed)
+        k1, k2 = F.when(is_packed, p1).otherwise(k1), F.when(is_packed, p2).otherwise(k2)
+    known = bounded(fitted.select("block", F.col("term").alias("_known"), "idx", "df", "idf", k1.alias("k1"),
+                                  k2.alias("k2")), dimension(*specs)).alias("known")
     tf = F.col("tf").cast("double")
     damped = F.log(tf) + 1
     sublinear = [s.sublinear for s in specs]
     if not all(sublinear):
         damped = F.when(F.col("block").isin(*[b for b, on in enumerate(sublinear) if on]), damped).otherwise(tf)
-    raw = (term_counts(texts if is_placed else placed(texts), *specs)
-           .join(known, ["block", "term"], "left" if keep_unknown else "inner")
+    counts = term_counts(texts if is_placed else placed(texts), *specs).alias("counts")
+    same = ((F.col("counts.block") == F.col("known.block")) & (F.col("counts.k1") == F.col("known.k1"))
+            & (F.col("counts.k2") == F.col("known.k2"))
+            & (F.col("counts.term").isNull() | (F.col("counts.term") == F.col("_known"))))
+    raw = (counts.join(known, same, "left" if keep_unknown else "inner")
+           .select("row_id", "counts.block", F.coalesce("_known", "counts.term").alias("term"), "idx", "df", "idf", "tf")
            .withColumn("_raw", damped * F.col("idf")))
     # one long sort key for all blocks, which Spark sorts by radix
     length = F.coalesce(*[F.when(F.col("block") == b, F.sqrt(F.sum(

@@ -4,10 +4,12 @@ import hashlib
 import re
 import sys
 import unicodedata
+from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
-from promptsieve.functions import codecs, text as tx
+from promptsieve.functions import charcodes, codecs, text as tx
 from promptsieve.functions.draws import draw, row_seed
 from promptsieve.functions.ngrams import char_ngrams, counted, word_ngrams
 
@@ -115,3 +117,22 @@ def test_draws_are_uniform_and_stable(spark):
     assert abs(a[0] - 0.5) < 0.01 and a[1] >= 0 and a[2] < 1
     assert df.repartition(3).agg(F.sum(F.col("d").cast("decimal(20,15)"))).first() == df.agg(
         F.sum(F.col("d").cast("decimal(20,15)"))).first()
+
+
+def test_packed_runs_equal_the_strings(spark):
+    many = "".join(chr(0x4e00 + (i * 7919) % 20000) for i in range(9000))   # an alphabet too large for one number
+    texts = ["", None, "ab", "abc", "aaaaaa", "a\x00b\x00c", "naïve 😀😀 text 😀😀", "x" * 5000 + "abcde", many + many[:50]]
+    df = spark.createDataFrame(list(enumerate(texts)), "row_id int, t string")
+    sizes = (1, 3, 4, 5, 6)
+    rows = df.select("row_id", F.explode(charcodes.counted_runs(F.col("t"), sizes)).alias("e")).select(
+        "row_id", charcodes.unpacked(F.col("e.k1"), F.col("e.k2")).alias("term"), "e.*")
+    k1, k2 = charcodes.packed(F.col("term"))
+    assert rows.where((k1 != F.col("k1")) | (k2 != F.col("k2"))).isEmpty()
+    found = rows.collect()
+    for i, t in enumerate(texts):
+        want = Counter(t[k:k + n] for n in sizes for k in range(len(t) - n + 1)) if t else Counter()
+        assert {r.term: r.tf for r in found if r.row_id == i} == want
+    ordered = sorted({r.term: (r.k1, r.k2) for r in found}.items())
+    assert [k for _, k in ordered] == sorted(k for _, k in ordered)
+    with pytest.raises(ValueError):
+        charcodes.counted_runs(F.col("t"), (7,))
