@@ -18,7 +18,7 @@ from promptsieve.plans import corpus, experiment, novel
 from promptsieve.session import materialized, scratch_path
 from promptsieve.sources import readers, registry, results, sinks
 from promptsieve.sources.registry import Source, labelled
-from promptsieve.streaming.dedup import deduplicated
+from promptsieve.streaming.dedup import start_deduplication
 from promptsieve.streaming.scoring import start_scoring
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -565,17 +565,12 @@ def q_stream_score(spark, sf_dir):
 
 @query
 def q_stream_dedup(spark, sf_dir):
-    """Distinct event payloads; the delay spans the table, measured first, so no copy survives."""
-    ends = table(spark, sf_dir, "events").agg(F.unix_seconds(F.max(F.col("ts").cast("timestamp")))
-                                              - F.unix_seconds(F.min(F.col("ts").cast("timestamp")))).first()[0] or 0
+    """Distinct event payloads of a stream; state covers an hour, the sink everything before."""
     arrivals = (spark.readStream.schema(table(spark, sf_dir, "events").schema)
-                .option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-                .withColumn("ts", F.col("ts").cast("timestamp")))
+                .option("pathGlobFilter", "events.parquet").parquet(sf_dir).select("props"))
     out = scratch_path(spark, "dedup")
-    (deduplicated(arrivals, "ts", "props", f"{ends + 1} seconds").select("text_key").writeStream.format("parquet")
-     .option("path", f"{out}/keys").option("checkpointLocation", f"{out}/state")
-     .trigger(availableNow=True).start().awaitTermination())
-    return spark.read.parquet(f"{out}/keys")
+    start_deduplication(arrivals, f"{out}/keys", f"{out}/state", "props").awaitTermination()
+    return spark.read.parquet(f"{out}/keys").select("text_key")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ from promptsieve.plans import experiment, novel
 from promptsieve.plans.network import NetworkEstimator
 from promptsieve.session import materialized
 from promptsieve.sources import results, sinks
-from promptsieve.streaming.dedup import deduplicated
+from promptsieve.streaming.dedup import deduplicated, start_deduplication
 from promptsieve.streaming.scoring import start_scoring
 
 SPECS = (TermSpec("word", "token", (1, 2), min_df=2, max_features=150),
@@ -100,6 +100,33 @@ def test_stream_dedup(spark, tmp_path):
     assert sorted(r.text for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["Copy", "other"]
 
 
+def test_stream_dedup_for_all_time_with_bounded_state(spark, tmp_path):
+    """Copies far apart go although the state forgets them; a second run goes on where the first one ended."""
+    source, sink, state = (str(tmp_path / p) for p in ("in", "out", "state"))
+    schema = "row_id bigint, text string"
+
+    def arrive(first, n):
+        data = [(i, f"Text {i}") for i in range(first, first + n)] + [(-first, f"TEXT {first}"), (-first - 1, "text 0"), (7, None)]
+        spark.createDataFrame(data, schema).coalesce(1).write.mode("append").parquet(source)
+
+    def run():
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
+        query = start_deduplication(stream, sink, state, ttl="0 seconds")
+        query.awaitTermination()
+        return [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
+
+    for first in (0, 50, 100):
+        arrive(first, 50)
+    sizes = run()
+    arrive(150, 50)
+    arrive(120, 50)     # all but one seen, or new copies of them
+    sizes += run()
+    kept = spark.read.parquet(sink).collect()
+    assert len(kept) == len({r.text_key for r in kept}) == 201
+    assert sorted(r.text.lower() for r in kept if r.text) == sorted(f"text {i}" for i in range(200))
+    assert max(sizes) <= 2 * 53 and sizes[-1] < 201
+
+
 def test_novel_set_excludes_near_copies(spark, texts, tmp_path):
     sizes = {"jailbreak": 10, "injection": 10, "obfuscation": 8, "benign": 10}
     pool = novel.with_pool_id(novel.candidate_pool(texts(60), sizes=sizes))
