@@ -1,4 +1,5 @@
-"""Obfuscation branches of the augmentation jobs: ``fn(text, seed) -> Column``, all built-in expressions.
+"""Obfuscation branches of the augmentation jobs: ``fn(text, seed) -> Column``. The built-in ones are expressions of Spark;
+an ``ArrowCodec`` is a Python function of the user's own over Arrow batches.
 
 ``seed`` is the row's 32-bit draw base; branches without randomness ignore it.
 """
@@ -7,9 +8,13 @@ from __future__ import annotations
 
 import string
 from collections.abc import Callable
+from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from promptsieve.functions.binding import let
 from promptsieve.functions.draws import SPAN, step_draw
@@ -118,11 +123,58 @@ HELDOUT_CODECS: dict[str, Codec] = {
 }
 
 
-def encode_by_choice(codecs: dict[str, Codec], index: Column, text: Column, seed: Column) -> tuple[Column, Column]:
-    """(name, encoded text) of the ``index``-th codec in name order; only the chosen branch is evaluated per row."""
+@dataclass(frozen=True)
+class ArrowCodec:
+    """A branch in Python: ``fn(texts, seeds)`` gives one string per text of the two Arrow arrays.
+
+    In a column it runs for every row, whatever a ``when`` around it says; ``encode_rows`` gives it its own rows only.
+    """
+
+    fn: Callable[[pa.Array, pa.Array], pa.Array]
+
+    def __call__(self, text: Column, seed: Column) -> Column:
+        fn = self.fn
+
+        def run(texts: pa.Array, seeds: pa.Array) -> pa.Array:
+            return fn(texts, seeds)
+
+        return F.arrow_udf(run, StringType())(text, seed)
+
+
+def reversed_words(texts: pa.Array, seeds: pa.Array) -> pa.Array:
+    return pa.array([t if t is None else " ".join(reversed(t.split(" "))) for t in texts.to_pylist()], pa.string())
+
+
+ARROW_CODECS: dict[str, Codec] = {"reversed_words": ArrowCodec(reversed_words)}
+
+
+def encode_rows(rows: DataFrame, codecs: dict[str, Codec], index: str, text: str, seed: str, name: str,
+                encoded: str) -> DataFrame:
+    """Add ``name`` and ``encoded`` by the ``index``-th codec in name order. Built-in codecs share one branch; each Arrow codec
+    is a branch of the rows drawn for it, so that its function sees no others. ``rows`` is read once per branch."""
+    order = sorted(codecs)
+    arrow = [i for i, key in enumerate(order) if isinstance(codecs[key], ArrowCodec)]
+    columns = F.col(text), F.col(seed)
+    branches = [rows.where(F.col(index) == i).withColumns({name: F.lit(order[i]), encoded: codecs[order[i]](*columns)})
+                for i in arrow]
+    if len(arrow) < len(order):
+        chosen, made = encode_by_choice({i: codecs[key] for i, key in enumerate(order) if i not in arrow}, F.col(index),
+                                        *columns, names=dict(enumerate(order)))
+        branches.insert(0, rows.where(~F.col(index).isin(*arrow)).withColumns({name: chosen, encoded: made}))
+    return reduce(DataFrame.unionByName, branches)
+
+
+def encode_by_choice(codecs: dict, index: Column, text: Column, seed: Column,
+                     names: dict[int, str] | None = None) -> tuple[Column, Column]:
+    """(name, encoded text) of the ``index``-th codec in name order; only the chosen branch is evaluated per row.
+
+    With ``names`` the keys of ``codecs`` are the places themselves.
+    """
+    by_place = codecs if names else {i: codecs[key] for i, key in enumerate(sorted(codecs))}
+    names = names or dict(enumerate(sorted(codecs)))
     name = encoded = None
-    for i, key in enumerate(sorted(codecs)):
-        name = F.when(index == i, F.lit(key)) if name is None else name.when(index == i, F.lit(key))
-        branch = codecs[key](text, seed)
+    for i, codec in by_place.items():
+        name = F.when(index == i, F.lit(names[i])) if name is None else name.when(index == i, F.lit(names[i]))
+        branch = codec(text, seed)
         encoded = F.when(index == i, branch) if encoded is None else encoded.when(index == i, branch)
     return name, encoded

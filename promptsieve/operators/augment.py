@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from promptsieve.functions.codecs import TRAIN_CODECS, Codec, encode_by_choice
+from promptsieve.functions.codecs import TRAIN_CODECS, ArrowCodec, Codec, encode_rows
 from promptsieve.functions.draws import row_seed
 from promptsieve.functions.text import truncated
 from promptsieve.labels import SEED, SPLITS
 from promptsieve.operators.ranking import exact_sample
+from promptsieve.session import materialized
 
 FRACTION = 0.15
 OBFUSCATION_LABEL = 3
@@ -23,10 +24,12 @@ def obfuscated_copies(rows: DataFrame, codecs: dict[str, Codec] = TRAIN_CODECS,
     chosen = exact_sample(attacks, "row_id", frac=frac, seed=seed, salt="augment", by=by, strata=strata)
     base = row_seed(seed, "codec", F.col("row_id"))
     index = F.pmod(row_seed(seed, "which", F.col("row_id")), F.lit(len(codecs)))
-    name, text = encode_by_choice(codecs, F.col("_index"), F.col("_text"), F.col("_seed"))
-    return (chosen.withColumns({"_index": index, "_seed": base, "_text": truncated(F.col("text"), max_chars)})
-            .withColumns({"text": text, "label": F.lit(OBFUSCATION_LABEL),
-                          "source": F.concat(F.lit("obfuscated:"), name)})
+    drawn = chosen.withColumns({"_index": index, "_seed": base, "_text": truncated(F.col("text"), max_chars)})
+    if any(isinstance(c, ArrowCodec) for c in codecs.values()):
+        drawn = materialized(drawn, "drawn")    # one branch per Arrow codec reads it
+    return (encode_rows(drawn, codecs, "_index", "_text", "_seed", "_codec", "_encoded")
+            .withColumns({"text": F.col("_encoded"), "label": F.lit(OBFUSCATION_LABEL),
+                          "source": F.concat(F.lit("obfuscated:"), "_codec")})
             .select(*rows.columns))
 
 

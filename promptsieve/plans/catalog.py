@@ -281,6 +281,13 @@ def q_augment_train(spark, sf_dir):
     return augment.augment_splits(rows)
 
 
+@query
+def q_augment_arrow(spark, sf_dir):
+    """The same with a Python function beside the built-in codecs."""
+    rows = split_prompts(spark, sf_dir).select("split", "row_id", "text", "label", "source")
+    return augment.augment_splits(rows, {**codecs.TRAIN_CODECS, **codecs.ARROW_CODECS})
+
+
 @query
 def q_heldout_encode(spark, sf_dir):
     """Every attack prompt through one held-out codec."""

@@ -100,6 +100,8 @@ def codec_sql(name: str, t: str, s: str) -> str:
         return (f"array_to_string(list_transform(string_split({t}, ' '), lambda w: CASE WHEN "
                 f"regexp_full_match({core}, '[A-Za-z]{{2,}}') THEN substr({core}, 2) || substr({core}, 1, 1) || 'ay' "
                 f"ELSE w END), ' ')")
+    if name == "reversed_words":
+        return f"array_to_string(list_reverse(string_split({t}, ' ')), ' ')"
     raise KeyError(name)
 
 
@@ -436,10 +438,12 @@ def _selects() -> dict[str, str]:
         CAST(sum(n) AS BIGINT) AS n_rows, CAST(sum(u) AS BIGINT) AS n_unplaced_rows FROM (
         SELECT group_key, count(DISTINCT split) AS s, count(*) AS n, count(*) FILTER (split IS NULL) AS u
         FROM placed GROUP BY group_key)"""
-    name, text = codec_case(codecs.TRAIN_CODECS, "w", "text", "cs")
-    q["q_augment_train"] = f"""SELECT split, row_id, text, label, source FROM placed UNION ALL
+    for query, train in (("q_augment_train", codecs.TRAIN_CODECS),
+                         ("q_augment_arrow", {**codecs.TRAIN_CODECS, **codecs.ARROW_CODECS})):
+        name, text = codec_case(train, "w", "text", "cs")
+        q[query] = f"""SELECT split, row_id, text, label, source FROM placed UNION ALL
         SELECT split, row_id, {text}, 3, 'obfuscated:' || {name} FROM (SELECT *,
-        {seed32('which', 'row_id')} % {len(codecs.TRAIN_CODECS)} AS w, {seed32('codec', 'row_id')} AS cs,
+        {seed32('which', 'row_id')} % {len(train)} AS w, {seed32('codec', 'row_id')} AS cs,
         row_number() OVER (PARTITION BY split ORDER BY {digest('augment', 'row_id')}, row_id) AS rn,
         count(*) OVER (PARTITION BY split) AS n FROM placed WHERE label IN (1, 2)) WHERE rn <= floor(n * 0.15)"""
     name, text = codec_case(codecs.HELDOUT_CODECS, "w", "text", "cs")

@@ -1,9 +1,10 @@
 from collections import Counter, defaultdict
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from promptsieve.functions.codecs import TRAIN_CODECS
+from promptsieve.functions.codecs import TRAIN_CODECS, ArrowCodec
 from promptsieve.functions.draws import digest
 from promptsieve.operators import augment, dedup, generate, split
 from promptsieve.operators.lookup import skew_safe_lookup
@@ -123,6 +124,23 @@ def test_augment_counts(spark):
     assert augment.augment(df, frac=1.0, max_chars=5).where("label = 3 AND length(text) > 80").count() == 0
 
 
+def test_arrow_codecs_see_their_own_rows_only(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def shout(texts, seeds):
+        seen.add(len(texts))
+        return pa.array([t.upper() + str(s) for t, s in zip(texts.to_pylist(), seeds.to_pylist())])
+
+    df = raw(spark, [(f"attack number {i}", 1) for i in range(400)])
+    out = augment.augment(df, {**TRAIN_CODECS, "shout": ArrowCodec(shout)}, 0.5).where("label = 3").collect()
+    mine = [r for r in out if r.source == "obfuscated:shout"]
+    assert len(out) == 200 and 10 < len(mine) < 60 and seen.value == len(mine)
+    assert all(r.text.startswith(f"ATTACK NUMBER {r.row_id}") for r in mine)
+    plain = augment.augment(df, {"shout": ArrowCodec(shout)}, 0.1).where("label = 3")
+    assert {r.source for r in plain.collect()} == {"obfuscated:shout"}
+    assert len({r.source for r in out}) == 7
+
+
 def test_augment_stays_in_its_split(spark):
     df = raw(spark, [("attack %d" % i, 1) for i in range(90)]).withColumn(
         "split", F.element_at(F.array(*map(F.lit, ("train", "val", "test"))), (F.col("row_id") % 3 + 1).cast("int")))
