@@ -62,7 +62,7 @@ def split_of(fold: Column, n_folds: int = N_FOLDS) -> Column:
 
 def assign_split(prompts: DataFrame, n_folds: int = N_FOLDS, seed: int = SEED, labels=tuple(LABELS),
                  hot_rows: int = HOT_ROWS, **key_options) -> DataFrame:
-    """Add ``group_key``, ``fold`` and ``split``."""
+    """Add ``group_key``, ``fold`` and ``split``. ``key_options`` go to ``with_group_key``."""
     keyed = with_group_key(prompts, **key_options)
     folds = group_folds(group_classes(keyed, labels), n_folds, seed, labels)
     placed = skew_safe_lookup(keyed, folds, "group_key", "fold", "n_rows", F.col("row_id"), hot_rows)

@@ -102,7 +102,9 @@ def raw_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def split_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return split.assign_split(prompts(spark, sf_dir))
+    """Stored, as the jobs read it several times."""
+    rows = materialized(prompts(spark, sf_dir), "prompts")
+    return materialized(split.assign_split(rows), "split")
 
 
 def ruled(model: str, text=None):
@@ -340,7 +342,7 @@ def q_vocab_char(spark, sf_dir):
 @query
 def q_encode(spark, sf_dir):
     """Vocabulary from the train split, ids for every prompt."""
-    rows = materialized(split_prompts(spark, sf_dir), "split")
+    rows = split_prompts(spark, sf_dir)
     words = vocab.build_vocab(rows.where("split = 'train'"), "word")
     return vocab.encode(rows, words).select("row_id", F.array_join(F.col("ids").cast("array<string>"), " ").alias("ids"))
 
@@ -362,7 +364,7 @@ def q_tfidf_char(spark, sf_dir):
 @query
 def q_tfidf_transform(spark, sf_dir):
     """Both blocks fitted on train, every prompt transformed; a summary of each sparse row."""
-    rows = materialized(split_prompts(spark, sf_dir), "split")
+    rows = split_prompts(spark, sf_dir)
     specs = (WORD_BLOCK, CHAR_BLOCK)
     fitted = tfidf.fit(rows.where("split = 'train'"), *specs)
     sparse = tfidf.sparse_rows(tfidf.weights(rows, fitted, *specs, keep_unknown=True))
