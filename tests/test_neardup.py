@@ -139,3 +139,48 @@ def test_a_family_stays_in_one_split(spark):
     df = spark.createDataFrame([(i, t, l) for i, (t, l) in enumerate(data)], "row_id bigint, text string, label int")
     placed = split.assign_split(df).collect()
     assert max(Counter(g for g, _ in {(r.row_id // 4, r.split) for r in placed}).values()) == 1
+
+
+def crowded(rng, families, members, edits):
+    """Families that share a long passage, so that a band holds many of them and no two of them link."""
+    passage = text(rng, 150)
+    out = []
+    for _ in range(families):
+        base = passage + " " + text(rng, 60)
+        out += [base] + [edited(rng, base, edits) for _ in range(members - 1)]
+    return out
+
+
+def test_sets_of_unlike_classes_stay_where_they_are(spark, monkeypatch):
+    """Crowded bands pair many classes that do not link; few of these pairs are compared by their sets."""
+    texts, tried, verified = crowded(random.Random(10), 60, 1, 0), [], neardup.verified
+
+    def counting(pairs, sets, *rest):
+        tried.append(pairs.count())
+        return verified(pairs, sets, *rest)
+
+    monkeypatch.setattr(neardup, "verified", counting)
+    assert grouped(frame(spark, texts)) == {frozenset({i}) for i in range(60)}
+    assert brute(texts) == {frozenset({i}) for i in range(60)}
+    assert sum(tried) <= 10
+
+
+def test_families_beside_large_ones(spark):
+    """What is left of a band beside a large family meets all of it at once."""
+    rng = random.Random(11)
+    texts = crowded(rng, 4, 2, 2) + crowded(rng, 1, 50, 1)
+    assert grouped(frame(spark, texts)) == brute(texts)
+
+
+def test_sketches_rule_out_no_link():
+    rng = random.Random(12)
+    for size in (1, 4, 5, 30, 300, 4000):
+        base = text(rng, size)
+        for edits in (0, 1, size // 60, size // 25, size // 8):
+            a, b = (neardup.shingle_hashes(t.encode()) for t in (base, edited(rng, base, min(edits, size))))
+            common = len(set(a.tolist()) & set(b.tolist()))
+            assert len(a) == len(shingles(base))
+            apart = sum(int(x).bit_count() for x in (neardup.sketch(a) ^ neardup.sketch(b)).view("uint64"))
+            assert apart <= len(a) + len(b) - 2 * common
+            if 100 * common >= 80 * (len(a) + len(b) - common):
+                assert 180 * apart <= 20 * (len(a) + len(b))
