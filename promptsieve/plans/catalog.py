@@ -46,6 +46,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def arriving(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The table as a stream of its files, be it one file or a folder of many. As a pattern the path may be either."""
+    return spark.readStream.schema(table(spark, sf_dir, name).schema).parquet(f"{sf_dir}/{name}.parque[t]")
+
+
 def spread(df: DataFrame, key: str) -> DataFrame:
     """Redistribute a text table only when its scan offers fewer tasks than there are cores, as one file with one row
     group does. A table of many files passes through unshuffled."""
@@ -563,9 +568,7 @@ def q_model_importance(spark, sf_dir):
 @query
 def q_stream_score(spark, sf_dir):
     clf, _ = _classifier(spark, sf_dir)
-    arrivals = (spark.readStream.schema(table(spark, sf_dir, "documents").schema)
-                .option("pathGlobFilter", "documents.parquet").parquet(sf_dir)
-                .select(F.col("doc_id").alias("row_id"), "text"))
+    arrivals = arriving(spark, sf_dir, "documents").select(F.col("doc_id").alias("row_id"), "text")
     out = scratch_path(spark, "score")
     start_scoring(arrivals, clf, f"{out}/scored", f"{out}/state").awaitTermination()
     return spark.read.parquet(f"{out}/scored").select("row_id", "y_pred", "blocked", "confidence")
@@ -574,8 +577,7 @@ def q_stream_score(spark, sf_dir):
 @query
 def q_stream_dedup(spark, sf_dir):
     """Distinct event payloads of a stream; state covers an hour, the sink everything before."""
-    arrivals = (spark.readStream.schema(table(spark, sf_dir, "events").schema)
-                .option("pathGlobFilter", "events.parquet").parquet(sf_dir).select("props"))
+    arrivals = arriving(spark, sf_dir, "events").select("props")
     out = scratch_path(spark, "dedup")
     start_deduplication(arrivals, f"{out}/keys", f"{out}/state", "props").awaitTermination()
     return spark.read.parquet(f"{out}/keys").select("text_key")

@@ -50,3 +50,10 @@ def test_query_equals_sql(spark, db, name):
     kinds = {c: KINDS.get(str(t), str(t)) for c, t in zip(want.columns, want.types)}
     assert dict(got.dtypes) == kinds
     pd.testing.assert_frame_equal(canonical(got.toPandas()), canonical(want.df()))
+
+
+def test_streams_read_tables_of_many_files(spark, tmp_path):
+    """A table may be one file or a folder of files."""
+    rows = [(i, f"payload {i % 30}") for i in range(90)]
+    spark.createDataFrame(rows, "event_id bigint, props string").repartition(3).write.parquet(f"{tmp_path}/events.parquet")
+    assert contract.queries()["q_stream_dedup"](spark, str(tmp_path)).count() == 30
