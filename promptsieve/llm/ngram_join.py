@@ -2,7 +2,10 @@
 
 A text is the set of its five-word shingles. Texts with equal sets are one class and go through once.
 
-1. The global order of shingles is cut into fragments by hash. Map tasks pack their shingles per fragment, so one shuffle of
+1. Two texts that link share t of their smallest shingles, the first n - ceil(0.8 n) + t of n in the order of the hashes.
+   Classes of which fewer than t = ceil(n / 10) of these are held by other classes link with nothing and go no further. The
+   names of the others go to the tasks as a bitmap of bounded size, whose false hits only keep more classes.
+   The global order of shingles is cut into fragments by hash. Map tasks pack their shingles per fragment, so one shuffle of
    about eight bytes a shingle brings each fragment together; there document frequencies are counted and shingles of one
    class dropped. A class that keeps less than the threshold of its shingles links with nothing.
 2. The rest is ordered by (frequency, hash). Classes that link share a shingle of their prefixes.
@@ -27,9 +30,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from promptsieve.llm.common import chunks, mixed, small, stored, with_side, word_hashes, word_spans
+from promptsieve.llm.phrases import _in as in_bitmap, bitmap
 
 WORDS = 5
 PERCENT = 80
+PREFIX_PART = 10            # share of a class's shingles that links must show among the smallest ones
 PACK_SHINGLES = 1 << 19     # shingles a map task holds before it sends them, packed per fragment
 HASH_BYTES = 6              # of a shingle's hash that are sent; the fragment adds what it knows of the rest
 PARTS = 4                   # fragments in which overlaps of candidate pairs are counted
@@ -94,9 +99,19 @@ def classes(docs: DataFrame) -> DataFrame:
         run, "doc_id bigint, text_hash bigint, n_shingles bigint, key bigint")
 
 
-def packed(docs: DataFrame, fragments: int) -> DataFrame:
+def smallest(hashes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, sizes): of each class the smallest shingles, of which it shares ``ceil(n / PREFIX_PART)`` with any class it
+    links with. The hashes are mixed again, so that they spread over the fragments."""
+    sizes = np.diff(at)
+    kept = sizes + (-sizes * PERCENT // 100) - (-sizes // PREFIX_PART)      # n - ceil(0.8 n) + ceil(n / 10)
+    place = np.arange(len(hashes)) - np.repeat(at[:-1], sizes)
+    return mixed(hashes[place < np.repeat(kept, sizes)] ^ _C), kept
+
+
+def packed(docs: DataFrame, fragments: int, only: tuple[int, np.ndarray] | None = None, prefix: bool = False) -> DataFrame:
     """(fragment, hashes, keys, counts): a map task's shingles of one fragment; ``counts`` of them belong to each of
-    ``keys``. A task sends each class once."""
+    ``keys``. A task sends each class once, with ``only`` just the classes of that bitmap, with ``prefix`` just the
+    smallest shingles."""
     def run(batches):
         seen: set[int] = set()
         held, n_held = [], 0
@@ -122,9 +137,12 @@ def packed(docs: DataFrame, fragments: int) -> DataFrame:
         for batch in batches:
             for _, _, hashes, at in _sets_of(batch):
                 keys, sizes = class_keys(hashes, at), np.diff(at)
+                if prefix:
+                    hashes, sizes = smallest(hashes, at)
+                wanted = np.ones(len(keys), dtype=bool) if only is None else in_bitmap(only, keys.view(np.uint64))
                 fresh = np.zeros(len(keys), dtype=bool)
                 for i, (k, n) in enumerate(zip(keys.tolist(), sizes.tolist())):
-                    if n and k not in seen:
+                    if n and wanted[i] and k not in seen:
                         seen.add(k)
                         fresh[i] = True
                 if not fresh.any():
@@ -178,17 +196,30 @@ def _least(n: Column) -> Column:
     return F.ceil(n * PERCENT / 100)
 
 
-def survivors(docs: DataFrame, named: DataFrame, fragments: int) -> DataFrame:
+def meeting(docs: DataFrame, sizes: DataFrame, total: int) -> tuple[int, np.ndarray]:
+    """Bitmap of the classes of whose smallest shingles others hold as many as a link takes. ``sizes`` has key and n."""
+    fragments = _fragments(docs, total * (100 - PERCENT) // 100 * 2)
+    held = shared(packed(docs, fragments, prefix=True), fragments).groupBy("key").agg(F.count("*").alias("_held"))
+    enough = held.join(sizes, "key").where(F.col("_held") >= F.ceil(F.col("n") / PREFIX_PART))
+    return bitmap(stored(enough.select(F.col("key").alias("name"))))
+
+
+def survivors(docs: DataFrame, named: DataFrame, total: int) -> DataFrame:
     """(key, n, tokens, weight): classes that may link; ``tokens`` are their shared shingles, rarest first, and ``weight``
     says how central they are."""
     sizes = named.where("n_shingles > 0").groupBy("key").agg(F.first("n_shingles").alias("n"))
-    kept = shared(packed(docs, 3 * fragments), fragments).groupBy("key").agg(
+    only, fragments = meeting(docs, sizes, total), _fragments(docs, total)
+    kept = shared(packed(docs, 3 * fragments, only), fragments).groupBy("key").agg(
         F.array_sort(F.collect_list(F.struct("df", "h"))).alias("tokens"))
     weight = F.aggregate("tokens.df", F.lit(0.0), lambda a, x: a + F.log(x.cast("double"))) / F.col("n")
     return (kept.join(sizes, "key").where(F.size("tokens") >= _least(F.col("n")))
             .select("key", "n", "tokens", weight.alias("weight")))
 
 
+def _fragments(docs: DataFrame, shingles: int) -> int:
+    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-shingles // FRAGMENT_SHINGLES))
+
+
 def linked(pairs: DataFrame, parts: DataFrame) -> DataFrame:
     """Pairs (a, b) beyond the threshold. ``parts`` has (key, part, hs): overlaps are counted part by part and summed."""
     left = parts.select(F.col("key").alias("a"), "part", F.col("hs").alias("_l"))
@@ -346,8 +377,7 @@ def _joined(docs: DataFrame) -> DataFrame:
     """``join`` with the text's hash and the ``group`` of linked classes."""
     named = stored(classes(docs))
     total = named.agg(F.sum("n_shingles")).first()[0] or 0
-    fragments = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // FRAGMENT_SHINGLES))
-    found = stored(survivors(docs, named, fragments))
+    found = stored(survivors(docs, named, total))
     labels = merged(found)
     ids = named.where("n_shingles > 0").groupBy("key").agg(F.min("doc_id").alias("_id")).join(labels, "key", "left")
     ids = ids.withColumn("label", F.coalesce("label", "key"))

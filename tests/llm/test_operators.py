@@ -713,3 +713,35 @@ def test_pseudonyms_depend_on_the_key(make):
     assert len({text, one[0], other[0], plain[0]}) == 4
     for a, b in zip(one[0].split(), other[0].split()):
         assert a != b or not any(c.isdigit() for c in a)
+
+
+def test_join_moves_few_shingles_of_texts_without_copies(spark, monkeypatch):
+    """Only texts that share one of their smallest shingles with another send all of theirs; links are those of all pairs."""
+    from promptsieve.llm import ngram_join
+    rng = random.Random(31)
+    texts = [" ".join(f"w{rng.randrange(500)}" for _ in range(rng.choice((3, 60, 200)))) for _ in range(120)]
+    for k in range(10):
+        words = texts[k].split(" ")
+        words[rng.randrange(len(words))] = f"x{k}"
+        texts.append(" ".join(words))
+    sent, shared = [], ngram_join.shared
+
+    def counting(packs, fragments):
+        sent.append(packs.agg({"hashes": "count"}).first()[0] and sum(len(r.hashes) for r in packs.collect()) // ngram_join.HASH_BYTES)
+        return shared(packs, fragments)
+
+    monkeypatch.setattr(ngram_join, "shared", counting)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r.doc_id: r for r in ngram_join.join(docs).collect()}
+    sets = []
+    for t in texts:
+        w = t.split(" ")
+        sets.append({tuple(w[i:i + 5]) for i in range(max(len(w) - 4, 1))})
+    want = list(range(len(texts)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if 100 * len(a & sets[j]) >= 80 * len(a | sets[j]):
+                want = [want[j] if x == want[i] else x for x in want]
+    assert [got[i].component_id for i in range(len(texts))] == want and len(set(want)) < len(texts)
+    assert [got[i].n_shingles for i in range(len(texts))] == [len(s) for s in sets]
+    assert sum(sent) < sum(map(len, sets)) // 2
