@@ -3,10 +3,13 @@
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from promptsieve.functions import runs as rr
-from promptsieve.operators import tfidf
+from promptsieve.functions.text import SPACES, word_tokens
+from promptsieve.operators import importance, tfidf
 from promptsieve.operators.tfidf import CHAR_BLOCK, WORD_BLOCK, TermSpec
 
 ROWS = ["abcabc", "", "bcabca", "x", "aaaaa", "ünï😀ünï😀"]
@@ -51,3 +54,32 @@ def test_weights_neither_sort_nor_shuffle_terms(spark):
     rows = spark.createDataFrame([(i, f"the red fox {i % 3} runs") for i in range(30)], "row_id bigint, text string")
     plan = tfidf.weights(rows, tfidf.fit(rows, CHAR_BLOCK), CHAR_BLOCK)._jdf.queryExecution().executedPlan().toString()
     assert "Window" not in plan and "Exchange hashpartitioning" not in plan and "SortMergeJoin" not in plan
+
+
+def test_tokens_are_those_of_the_pattern(spark):
+    texts = ["a_b  c,d!!", "", "x", "y", None, "ünï😀b\u00a0c\u0301 日本語٣", "  lead\ttrail ", "\u2028\u3000", "ab a\u200bb"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    want = [r.w or [] for r in df.select("i", word_tokens(F.col("t")).alias("w")).orderBy("i").collect()]
+    symbols, bounds, words = rr.token_symbols(pa.array(texts), rr.kind_table(*rr.kinds(spark)))
+    cut = [[words[int(s)].as_py() for s in symbols[bounds[k]:bounds[k + 1]]] for k in range(len(texts))]
+    assert cut == want
+    symbols, bounds, words = rr.token_symbols(pa.array(texts), rr.kind_table(*rr.kinds(spark)), True, pa.array(["ab"]))
+    cut = [[words[int(s)].as_py() for s in symbols[bounds[k]:bounds[k + 1]]] for k in range(len(texts))]
+    assert cut == [[w for w in ws if len(w) > 1 and w != "ab"] for ws in want]
+
+
+def test_spaces_are_the_white_space(spark):
+    first, kind = rr.kinds(spark)
+    assert set(np.flatnonzero(rr.kind_table(first, kind) == rr.SPACE)) == {32, *map(ord, SPACES)}
+
+
+def test_nested_attributions_agree_with_flat_ones(spark):
+    rows = [(1, 1, [(0, "[CLS]", 9.0, True), (1, "Ignore", 4.0, False), (2, "this", 1.0, False), (3, "that", 1.0, False)]),
+            (2, 2, [(0, "ignore", 2.0, False)]), (3, 3, [(0, "##ignore", 0.0, False)]), (4, 0, [(0, "ignore", 5.0, False)]), (5, 1, [])]
+    nested = spark.createDataFrame(rows, "row_id bigint, pred int, tokens array<struct<pos: int, token: string, score: double, special: boolean>>")
+    flat = importance.flat(nested)
+    found = lambda df: sorted(tuple(r) for r in df.collect())
+    for fn in (importance.top_tokens_per_prompt, lambda a: importance.mean_importance(a, 1), lambda a: importance.top_tokens(a, 2, 1)):
+        assert found(fn(importance.normalized(nested))) == found(fn(importance.normalized(flat)))
+    plan = importance.mean_importance(importance.normalized(nested))._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan
