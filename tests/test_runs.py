@@ -11,6 +11,7 @@ from promptsieve.functions import runs as rr
 from promptsieve.functions.text import SPACES, word_tokens
 from promptsieve.operators import importance, tfidf
 from promptsieve.operators.tfidf import CHAR_BLOCK, WORD_BLOCK, TermSpec
+from promptsieve.plans import experiment
 
 ROWS = ["abcabc", "", "bcabca", "x", "aaaaa", "ünï😀ünï😀"]
 
@@ -46,7 +47,7 @@ def test_joined_and_sparse_weights_agree(spark, spec):
         ["the red fox, The red hen", "a red fox runs " * 3, None, "", "ünï 😀😀😀😀 ünï", "the hen sleeps! red fox"])],
         "row_id bigint, text string")
     fitted = tfidf.fit(rows, spec)
-    as_dict = lambda df: {(r.row_id, r.block, r.term, r.idx, r.df): pytest.approx(r.weight) for r in df.collect()}
+    as_dict = lambda df: {(r.row_id, r.block, r.term, r.idx, r.df): round(r.weight, 9) for r in df.collect()}
     assert as_dict(tfidf.weights(rows, fitted, spec)) == as_dict(tfidf.joined_weights(rows, fitted, spec))
 
 
@@ -83,3 +84,18 @@ def test_nested_attributions_agree_with_flat_ones(spark):
         assert found(fn(importance.normalized(nested))) == found(fn(importance.normalized(flat)))
     plan = importance.mean_importance(importance.normalized(nested))._jdf.queryExecution().executedPlan().toString()
     assert "Window" not in plan
+
+
+def test_classifier_scores_without_shuffle_and_like_the_joined_route(spark, monkeypatch):
+    words = ("red fox runs", "blue hen sleeps!", "grey cat 12 jumps")
+    rows = spark.createDataFrame([(i, f"{words[i % 3]} at {i % 7}", i % 3, "val" if i % 5 == 0 else "train") for i in range(90)],
+                                 "row_id bigint, text string, label int, split string")
+    clf = experiment.train(rows, (TermSpec("word", "token", (1, 2), max_features=30), TermSpec("char", "char", (3,), max_features=20)),
+                           candidates=experiment.regularization_grid((1e-2,), 5))
+    plan = clf.score(rows, ("label",))._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "Exchange" not in plan and "Join" not in plan
+    found = lambda: ({r.row_id: (r.label, r.y_pred, [round(p, 9) for p in r.probability]) for r in clf.score(rows, ("label",)).collect()},
+                     {(r.row_id, r.rank, r.token): round(r.score, 9) for r in experiment.explain(clf, rows).collect()})
+    sparse = found()
+    monkeypatch.setattr(tfidf, "BROADCAST_ROWS", 10)
+    assert not tfidf.is_bounded(*clf.specs) and found() == sparse and len(sparse[0]) == 90
