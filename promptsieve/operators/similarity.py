@@ -1,15 +1,22 @@
 """TF-IDF cosine join: how close each candidate comes to any reference text.
 
 Reference texts are the large side. They are deduplicated and placed by text hash in one shuffle and stay there while
-they are cut into terms, weighted and compared. Candidate postings are broadcast when a measured size allows; beyond
+they are cut into terms, weighted and compared. Candidate postings go to the references when a measured size allows, and
+the scores of some references at a time leave only the best per candidate; beyond
 that both sides meet on a (term, cell) grid, where frequent terms are cut into cells of bounded size.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from promptsieve.functions import runs as rr
 from promptsieve.functions.stopwords import ENGLISH
 from promptsieve.operators import tfidf
 from promptsieve.operators.lookup import bounded
@@ -19,6 +26,7 @@ from promptsieve.session import materialized
 MAX_SIM = 0.8
 DIGITS = 6                           # scores are rounded before they meet a threshold
 BROADCAST_CANDIDATE_CHARS = 4 << 20  # total candidate text up to which postings are broadcast
+CHUNK_PAIRS = 1 << 22                # term matches, and scores, that a task holds at once; more only for a single reference
 CELL_ROWS = 100_000                  # rows of one term on one side of a grid cell
 
 
@@ -88,6 +96,47 @@ def is_small(candidates: DataFrame, limit: int = BROADCAST_CANDIDATE_CHARS) -> b
     return (candidates.agg(F.sum(F.length("text"))).first()[0] or 0) <= limit
 
 
+def _best_in_chunks(candidates: DataFrame, refs: DataFrame, fitted: DataFrame, spec: TermSpec) -> DataFrame:
+    """(cand, sim): the largest cosine of each candidate that shares a term with a reference. The candidates' postings go to
+    the references, whose scores are added up some texts at a time and leave a task as one row per candidate."""
+    cands = tfidf.sparse(candidates, fitted, spec).toArrow()
+    ids, n = cands["row_id"].combine_chunks(), len(cands)
+    lists = cands["indices"].combine_chunks()
+    idx = lists.flatten().to_numpy().astype(np.int64)
+    owner = np.repeat(np.arange(n), rr.sizes_of(lists))
+    order = np.argsort(idx, kind="stable")
+    owner, weight = owner[order], cands["values"].combine_chunks().flatten().to_numpy()[order]
+    start = np.searchsorted(idx[order], np.arange(tfidf.dimension(spec) + 1))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = np.zeros(n)
+        for batch in batches:
+            terms = batch.column("indices").flatten().to_numpy(zero_copy_only=False)
+            values = batch.column("values").flatten().to_numpy(zero_copy_only=False)
+            sizes = rr.sizes_of(batch.column("indices"))
+            ref = np.repeat(np.arange(batch.num_rows), sizes)
+            met = start[terms + 1] - start[terms]
+            first = 0
+            pairs = np.concatenate(([0], np.cumsum(np.bincount(ref, met, batch.num_rows)))).astype(np.int64)
+            while first < batch.num_rows:
+                end = int(np.searchsorted(pairs, pairs[first] + CHUNK_PAIRS, side="right")) - 1
+                end = max(first + 1, min(end, first + max(1, CHUNK_PAIRS // n)))
+                at = slice(*np.searchsorted(ref, (first, end)))
+                many = met[at]
+                posting = np.repeat(start[terms[at]] - np.cumsum(many) + many, many) + np.arange(many.sum())
+                cell = np.repeat((ref[at] - first) * n, many) + owner[posting]
+                sums = np.bincount(cell, np.repeat(values[at], many) * weight[posting], (end - first) * n)
+                np.maximum(best, sums.reshape(end - first, n).max(axis=0), out=best)
+                first = end
+        found = np.flatnonzero(best)
+        yield pa.RecordBatch.from_arrays([ids.take(pa.array(found)), pa.array(best[found])], names=["cand", "sim"])
+
+    schema = T.StructType([T.StructField("cand", candidates.schema["row_id"].dataType), T.StructField("sim", T.DoubleType())])
+    if not n:
+        return candidates.sparkSession.createDataFrame([], schema)
+    return tfidf.sparse(refs, fitted, spec).select("indices", "values").mapInArrow(run, schema)
+
+
 def max_similarity(candidates: DataFrame, refs: DataFrame, spec: TermSpec | None = None, mode: str = "exact_max",
                    threshold: float = MAX_SIM, small: bool | None = None) -> DataFrame:
     """(row_id, max_sim) for every candidate; ``refs`` comes from ``reference_texts``.
@@ -99,10 +148,16 @@ def max_similarity(candidates: DataFrame, refs: DataFrame, spec: TermSpec | None
         raise ValueError(f"unknown mode {mode!r}")
     spec = spec or similarity_spec()
     small = is_small(candidates) if small is None else small
+    in_chunks = mode == "exact_max" and small and tfidf.is_bounded(spec)
+    if in_chunks:
+        refs = materialized(refs, "references")     # read by the fit and by the scores
     fitted = materialized(tfidf.fit(refs, spec), "fitted")
-    cand_postings = _postings(candidates, fitted, spec, "cand")
-    ref_postings = _postings(refs, fitted, spec, "ref", is_placed=True).drop("df")
-    if mode == "exact_max":
+    if not in_chunks:
+        cand_postings = _postings(candidates, fitted, spec, "cand")
+        ref_postings = _postings(refs, fitted, spec, "ref", is_placed=True).drop("df")
+    if in_chunks:
+        scores = _best_in_chunks(candidates, refs, fitted, spec)
+    elif mode == "exact_max":
         scores = _dot(_meet(cand_postings, ref_postings, small, spec.max_features))
     else:
         # both joins read the references: keep what can meet a candidate, once

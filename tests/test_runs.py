@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from promptsieve.functions import runs as rr
 from promptsieve.functions.text import SPACES, word_tokens
-from promptsieve.operators import importance, tfidf
+from promptsieve.operators import importance, similarity, tfidf
 from promptsieve.operators.tfidf import CHAR_BLOCK, WORD_BLOCK, TermSpec
 from promptsieve.plans import experiment
 
@@ -99,3 +99,21 @@ def test_classifier_scores_without_shuffle_and_like_the_joined_route(spark, monk
     sparse = found()
     monkeypatch.setattr(tfidf, "BROADCAST_ROWS", 10)
     assert not tfidf.is_bounded(*clf.specs) and found() == sparse and len(sparse[0]) == 90
+
+
+@pytest.mark.parametrize("chunk", [1, 7, 1 << 22])
+def test_best_similarity_in_chunks_equals_the_grid(spark, monkeypatch, chunk):
+    monkeypatch.setattr(similarity, "CHUNK_PAIRS", chunk)
+    words = "sun moon star cloud rain wind snow leaf tree root".split()
+    text = lambda i: " ".join(words[(i * k) % 10] for k in range(1, 2 + i % 6))
+    frame = lambda values: spark.createDataFrame(list(enumerate(values)), "row_id bigint, text string")
+    refs = similarity.reference_texts(frame([text(i) for i in range(40)] + [""]))
+    cands = frame([text(3 * i + 1) + " hill" * (i % 2) for i in range(9)] + ["", None, "lake"])
+    found = lambda small: {r.row_id: r.max_sim for r in similarity.max_similarity(cands, refs, small=small).collect()}
+    assert found(True) == found(False) and len(found(True)) == 12
+
+
+def test_scores_of_pairs_are_not_shuffled(spark):
+    frame = lambda n: spark.createDataFrame([(i, f"sun moon star{i % 4} cloud") for i in range(n)], "row_id bigint, text string")
+    best = similarity.max_similarity(frame(5), similarity.reference_texts(frame(30)), small=True)
+    assert "cand_weight" not in best._jdf.queryExecution().optimizedPlan().toString()
