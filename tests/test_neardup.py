@@ -184,3 +184,31 @@ def test_sketches_rule_out_no_link():
             assert apart <= len(a) + len(b) - 2 * common
             if 100 * common >= 80 * (len(a) + len(b) - common):
                 assert 180 * apart <= 20 * (len(a) + len(b))
+
+
+def test_sets_are_made_of_classes_that_share_a_band(spark, monkeypatch):
+    """Sets of other classes are neither stored nor moved."""
+    rng, stored, materialized = random.Random(13), [], neardup.materialized
+    base = text(rng, 200)
+    near = [base, edited(rng, base, 1)]
+
+    def counting(df, name):
+        out = materialized(df, name)
+        if "hashes" in out.columns:
+            stored.append(out.agg(F.sum(F.size("hashes"))).first()[0])
+        return out
+
+    monkeypatch.setattr(neardup, "materialized", counting)
+    got = grouped(frame(spark, near + near[:1] * 5 + [text(rng, 300) for _ in range(60)]))
+    assert frozenset(range(7)) in got and len(got) == 61
+    assert sum(stored) == sum(len(shingles(t)) for t in near)
+
+
+def test_many_pairs_of_few_classes_move_few_sets(spark, monkeypatch, capsys):
+    monkeypatch.setattr(neardup, "BROADCAST_ROWS", 10)
+    pairs = spark.createDataFrame([(i, j) for i in range(5) for j in range(i)], "node bigint, pivot bigint")
+    sets = spark.createDataFrame([(i, [i % 2, 7, 8, 9, 10]) for i in range(50)], "node bigint, hashes array<bigint>")
+    links = neardup.verified(pairs, sets, 100)
+    links.explain()
+    assert capsys.readouterr().out.count("LeftSemi") == 2       # one on either side
+    assert {(r.u, r.v) for r in links.collect()} == {(0, 2), (0, 4), (2, 4), (1, 3)}
