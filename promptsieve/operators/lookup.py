@@ -16,12 +16,15 @@ def bounded(dim: DataFrame, max_rows: int) -> DataFrame:
 
 
 def skew_safe_lookup(rows: DataFrame, dim: DataFrame, key: str, value: str, n_rows: str, spread: Column,
-                     hot_rows: int = HOT_ROWS) -> DataFrame:
+                     hot_rows: int = HOT_ROWS, n_keys: int | None = None) -> DataFrame:
     """Left lookup ``rows.key -> dim.value`` for a ``dim`` with one row per key and its row count ``n_rows``.
 
-    Hot keys are answered by broadcast. Their rows then leave the shuffle join under a scattered key (``spread``)
-    that matches nothing, so no task receives more than one ordinary key's rows.
+    A ``dim`` whose row count ``n_keys`` is known and small is broadcast as a whole, and no row moves. Otherwise hot keys are
+    answered by broadcast. Their rows then leave the shuffle join under a scattered key (``spread``) that matches nothing, so no
+    task receives more than one ordinary key's rows.
     """
+    if n_keys is not None and n_keys <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(dim.select(key, value)), key, "left")
     hot = (dim.where(F.col(n_rows) >= hot_rows).orderBy(F.desc(n_rows), key).limit(HOT_KEYS)
            .select(F.col(key), F.col(value).alias("_hot")))
     routed = (rows.join(F.broadcast(hot), key, "left")

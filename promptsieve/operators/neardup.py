@@ -284,6 +284,6 @@ def with_family(rows: DataFrame, name: str = "group_key", text: str = "text") ->
     """Add the family's key: the smallest class name in it, in hexadecimal digits. Stores the rows, which are read three times."""
     rows = materialized(rows.withColumn("_node", class_name(F.col(text))), "rows")
     found = families(rows, text, "_node").select(F.col("node").alias("_node"), F.col("label").alias("_label"))
-    return (rows.join(found, "_node", "left")
+    return (rows.join(bounded(found, found.count()), "_node", "left")
             .withColumn(name, F.lower(F.lpad(F.hex(F.coalesce("_label", "_node")), NAME_DIGITS, "0")))
             .drop("_node", "_label"))

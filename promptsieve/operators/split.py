@@ -11,6 +11,7 @@ from promptsieve.labels import LABELS, SEED
 from promptsieve.operators.lookup import HOT_ROWS, skew_safe_lookup
 from promptsieve.operators.neardup import with_family
 from promptsieve.operators.ranking import bucketed_rank
+from promptsieve.session import materialized
 
 N_FOLDS = 20
 HELDOUT_SHARE = 0.15
@@ -64,8 +65,9 @@ def assign_split(prompts: DataFrame, n_folds: int = N_FOLDS, seed: int = SEED, l
                  hot_rows: int = HOT_ROWS, **key_options) -> DataFrame:
     """Add ``group_key``, ``fold`` and ``split``. ``key_options`` go to ``with_group_key``."""
     keyed = with_group_key(prompts, **key_options)
-    folds = group_folds(group_classes(keyed, labels), n_folds, seed, labels)
-    placed = skew_safe_lookup(keyed, folds, "group_key", "fold", "n_rows", F.col("row_id"), hot_rows)
+    folds = group_folds(group_classes(keyed, labels), n_folds, seed, labels).select("group_key", "n_rows", "fold")
+    folds = materialized(folds, "folds")
+    placed = skew_safe_lookup(keyed, folds, "group_key", "fold", "n_rows", F.col("row_id"), hot_rows, folds.count())
     return placed.withColumn("split", split_of(F.col("fold"), n_folds))
 
 

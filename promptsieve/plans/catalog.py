@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from promptsieve.functions import codecs
@@ -12,6 +12,7 @@ from promptsieve.functions import text as tx
 from promptsieve.functions.draws import choice, row_seed
 from promptsieve.labels import SEED, SPLITS, label_name
 from promptsieve.operators import augment, dedup, generate, importance, metrics, similarity, split, stats, tfidf, vocab
+from promptsieve.operators.lookup import bounded
 from promptsieve.operators.ranking import exact_sample, shuffled
 from promptsieve.operators.tfidf import CHAR_BLOCK, WORD_BLOCK
 from promptsieve.plans import corpus, experiment, novel
@@ -70,10 +71,15 @@ def judged(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents as labelled prompts: toxic ones injections, poor ones jailbreaks, the rest benign."""
+    """All documents as labelled prompts: toxic ones injections, poor ones jailbreaks, the rest benign. Texts stay where they are
+    if the judgements that change a row are few: those of attacks, and of documents that are judged more than once."""
     label = F.when(F.col("toxic") == 1, 2).when(F.col("quality") == 0, 1).otherwise(0)
-    return judged(spark, sf_dir).select(F.col("doc_id").alias("row_id"), tx.normalize(F.col("text")).alias("text"),
-                                        label.alias("label"), "source")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), "doc_id")
+    times = F.count("*").over(Window.partitionBy("doc_id"))
+    labels = (table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic", times.alias("_times"))
+              .where("toxic = 1 OR quality = 0 OR _times > 1").drop("_times"))
+    return (docs.join(bounded(labels, labels.count()), "doc_id", "left")
+            .select(F.col("doc_id").alias("row_id"), tx.normalize(F.col("text")).alias("text"), label.alias("label"), "source"))
 
 
 def stored_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -111,9 +117,11 @@ def raw_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return registry.load_all(spark, sources(spark, sf_dir))
 
 
-def split_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stored, as the jobs read it several times."""
-    return materialized(split.assign_split(prompts(spark, sf_dir)), "split")
+def split_prompts(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """Stored, as the jobs read it several times; only ``columns``, if given, so that texts nobody reads again are neither
+    moved nor stored."""
+    placed = split.assign_split(prompts(spark, sf_dir))
+    return materialized(placed.select(*columns) if columns else placed, "split")
 
 
 def ruled(model: str, text=None):
@@ -267,17 +275,17 @@ def q_folds(spark, sf_dir):
 
 @query
 def q_split(spark, sf_dir):
-    return split_prompts(spark, sf_dir).select("row_id", "label", "group_key", "fold", "split")
+    return split_prompts(spark, sf_dir, "row_id", "label", "group_key", "fold", "split")
 
 
 @query
 def q_split_stats(spark, sf_dir):
-    return stats.split_stats(split_prompts(spark, sf_dir))
+    return stats.split_stats(split_prompts(spark, sf_dir, "split", "label"))
 
 
 @query
 def q_split_leakage(spark, sf_dir):
-    return split.split_leakage(split_prompts(spark, sf_dir))
+    return split.split_leakage(split_prompts(spark, sf_dir, "group_key", "split"))
 
 
 # ---- augmentation and generation
@@ -408,7 +416,7 @@ def q_vocab_round_trip(spark, sf_dir):
 @query
 def q_stats_round_trip(spark, sf_dir):
     path = scratch_path(spark, "stats")
-    sinks.write_json(stats.split_stats(split_prompts(spark, sf_dir)), path)
+    sinks.write_json(stats.split_stats(split_prompts(spark, sf_dir, "split", "label")), path)
     return sinks.read_json(spark, path, lines=True).select("split", "label_name", "n", "split_rows", "fraction")
 
 

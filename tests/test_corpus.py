@@ -6,10 +6,10 @@ from pyspark.sql import functions as F
 
 from promptsieve.functions.codecs import TRAIN_CODECS, ArrowCodec
 from promptsieve.functions.draws import digest
-from promptsieve.operators import augment, dedup, generate, split
+from promptsieve.operators import augment, dedup, generate, lookup, split
 from promptsieve.operators.lookup import skew_safe_lookup
 from promptsieve.operators.ranking import bucketed_rank, exact_sample, top_by_count
-from promptsieve.plans import corpus, novel
+from promptsieve.plans import catalog, corpus, novel
 
 
 def rows(df, *columns):
@@ -105,6 +105,69 @@ def test_split_does_not_depend_on_partitions_or_routes(spark):
     assert rows(split.assign_split(df, hot_rows=3), "row_id", "fold") == base
 
 
+@pytest.fixture
+def no_small_tables(spark):
+    """Tables are as if too large for Spark to broadcast them unasked."""
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "-1")
+    yield
+    spark.conf.set(key, before)
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_split_does_not_move_texts_for_few_groups(spark, monkeypatch, no_small_tables):
+    df = families(spark)
+    placed = split.assign_split(df)
+    assert "hashpartitioning" not in plan(placed) and "SortMergeJoin" not in plan(placed)
+    base = rows(placed, "row_id", "fold")
+    monkeypatch.setattr(lookup, "BROADCAST_ROWS", 0)    # more groups than that: their rows are routed
+    for hot_rows in (3, 1000):
+        routed = split.assign_split(df, hot_rows=hot_rows)
+        assert "hashpartitioning" in plan(routed) and rows(routed, "row_id", "fold") == base
+
+
+@pytest.fixture
+def tables(spark, tmp_path):
+    text = lambda i: f"note {i // 2} " + " ".join(f"w{(i // 2) * 37 % 101 + k}" for k in range(30)) + (" idiot." if i % 3 else " mild.")
+    docs = [(i, text(i), "src") for i in range(40)]
+    judged = [(i, i % 2, int(i % 5 == 0)) for i in range(30)] + [(1, 1, 0), (3, 0, 1), (33, 1, 0), (33, 1, 0), (34, None, None)]
+    spark.createDataFrame(docs, "doc_id bigint, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(judged, "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    return str(tmp_path)
+
+
+def test_prompts_bring_judgements_to_the_texts(spark, tables, no_small_tables):
+    got = catalog.prompts(spark, tables)
+    assert "SortMergeJoin" not in plan(got)
+    label = F.when(F.col("toxic") == 1, 2).when(F.col("quality") == 0, 1).otherwise(0).alias("label")
+    want = catalog.judged(spark, tables).select("doc_id", label, "text", "source")
+    assert rows(got, "row_id", "label", "text", "source") == rows(want, "doc_id", "label", "text", "source")
+    assert got.count() == 43        # documents that were judged twice come twice
+
+
+@pytest.fixture
+def stored(monkeypatch):
+    """Columns of the tables that the queries store beside those of the split itself."""
+    found, materialized = [], catalog.materialized
+
+    def recording(df, name):
+        found.append(set(df.columns))
+        return materialized(df, name)
+
+    monkeypatch.setattr(catalog, "materialized", recording)
+    return found
+
+
+@pytest.mark.parametrize("name", ["q_split", "q_split_stats", "q_split_leakage", "q_stats_round_trip"])
+def test_summaries_of_the_split_store_no_texts(spark, tables, stored, name):
+    assert catalog.QUERIES[name](spark, tables).count() > 0
+    assert len(stored) == 1 and "text" not in stored[0]
+
+
 def test_leakage_summary(spark):
     placed = split.assign_split(families(spark))
     assert tuple(split.split_leakage(placed).first()) == (300, 0, 900, 0)
