@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from promptsieve.functions import codecs
@@ -117,10 +117,10 @@ def raw_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return registry.load_all(spark, sources(spark, sf_dir))
 
 
-def split_prompts(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+def split_prompts(spark: SparkSession, sf_dir: str, *columns: str, **more: Column) -> DataFrame:
     """Stored, as the jobs read it several times; only ``columns``, if given, so that texts nobody reads again are neither
-    moved nor stored."""
-    placed = split.assign_split(prompts(spark, sf_dir))
+    moved nor stored. ``more`` are columns made of a prompt before the split."""
+    placed = split.assign_split(prompts(spark, sf_dir).withColumns(more))
     return materialized(placed.select(*columns) if columns else placed, "split")
 
 
@@ -134,9 +134,11 @@ def ruled(model: str, text=None):
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(model, split, row_id, y_true, y_pred) of the text rules on the split documents, and on prompts made of them as
     the novel set."""
-    known = split_prompts(spark, sf_dir).select("split", "row_id", "text", "label")
-    fresh = generate.toy_corpus(documents(spark, sf_dir)).select(F.lit("novel").alias("split"), "row_id", "text", "label")
-    guesses = F.array(*[F.struct(F.lit(m).alias("model"), ruled(m).alias("y_pred")) for m in RULES])
+    rules = {f"by_{m}": ruled(m) for m in RULES}
+    columns = ["split", "row_id", "label", *rules]
+    known = split_prompts(spark, sf_dir, *columns, **rules)
+    fresh = (generate.toy_corpus(documents(spark, sf_dir)).withColumns({"split": F.lit("novel"), **rules}).select(*columns))
+    guesses = F.array(*[F.struct(F.lit(m).alias("model"), F.col(f"by_{m}").alias("y_pred")) for m in RULES])
     return (known.unionByName(fresh).select("split", "row_id", F.col("label").alias("y_true"), F.inline(guesses))
             .select("model", "split", "row_id", "y_true", "y_pred"))
 

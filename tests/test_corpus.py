@@ -168,6 +168,13 @@ def test_summaries_of_the_split_store_no_texts(spark, tables, stored, name):
     assert len(stored) == 1 and "text" not in stored[0]
 
 
+@pytest.mark.parametrize("name", ["q_confusion", "q_macro_metrics", "q_binary_metrics", "q_security_metrics", "q_class_report",
+                                  "q_compare", "q_gap"])
+def test_judged_rules_store_no_texts(spark, tables, stored, name):
+    assert catalog.QUERIES[name](spark, tables).count() > 0
+    assert len(stored) == 1 and "text" not in stored[0]
+
+
 def test_leakage_summary(spark):
     placed = split.assign_split(families(spark))
     assert tuple(split.split_leakage(placed).first()) == (300, 0, 900, 0)
