@@ -394,7 +394,7 @@ def q_tfidf_transform(spark, sf_dir):
 @query
 def q_splits_round_trip(spark, sf_dir):
     path = scratch_path(spark, "splits")
-    sinks.write_splits(split_prompts(spark, sf_dir), path)
+    sinks.write_splits(split.assign_split(prompts(spark, sf_dir)), path)
     read = [readers.read_split(spark, path, s).select(F.lit(s).alias("split"), "row_id", F.md5("text").alias("text_md5"),
                                                      "label") for s in SPLITS]
     return read[0].unionByName(read[1]).unionByName(read[2])

@@ -175,6 +175,11 @@ def test_judged_rules_store_no_texts(spark, tables, stored, name):
     assert len(stored) == 1 and "text" not in stored[0]
 
 
+def test_splits_are_written_once(spark, tables, stored):
+    assert catalog.q_splits_round_trip(spark, tables).count() == 43
+    assert stored == []
+
+
 def test_leakage_summary(spark):
     placed = split.assign_split(families(spark))
     assert tuple(split.split_leakage(placed).first()) == (300, 0, 900, 0)
