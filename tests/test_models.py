@@ -1,8 +1,11 @@
+import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier
 from pyspark.sql import functions as F
 
-from promptsieve.operators import generate, metrics, split
+from promptsieve.functions import runs as rr
+from promptsieve.operators import generate, metrics, split, tfidf
 from promptsieve.operators.tfidf import TermSpec
 from promptsieve.plans import experiment, novel
 from promptsieve.plans.network import NetworkEstimator
@@ -69,6 +72,21 @@ def test_first_strictly_best_model_wins(toy, clf):
     assert len(history) == 4 and model.getRegParam() == 1e-3
 
 
+def test_training_vectors_are_stored_in_small_row_groups(texts, clf, monkeypatch):
+    """A row group is the most that Spark reads at once; thousands of long rows don't fit an executor."""
+    monkeypatch.setattr(experiment, "ROW_GROUP", 1 << 14)
+    vectors = clf.training_vectors(texts(3000).coalesce(1), ())
+    groups = [pq.ParquetFile(f.removeprefix("file:")).metadata for f in vectors.inputFiles()]
+    assert sum(g.num_rows for g in groups) == 3000
+    assert all(g.row_group(k).num_rows <= 1500 for g in groups for k in range(g.num_row_groups))
+    assert {r.row_id: r.features for r in vectors.collect()} == {r.row_id: r.features for r in clf.vectors(texts(3000)).collect()}
+
+
+def test_vectors_are_made_in_bounded_parts():
+    assert list(rr.chunks(np.array([6, 5, 4, 30, 1, 1]), 10)) == [(0, 1), (1, 3), (3, 4), (4, 6)]
+    assert rr.CHUNK_SYMBOLS <= 1 << 19 and tfidf.ENTRIES <= 1 << 18     # two tasks of an executor share about 1 GB for Python
+
+
 def test_explanations(toy, clf):
     top = experiment.explain(clf, toy.where("split = 'test'"))
     assert top.where("rank > 8 OR score < 0 OR score > 1").count() == 0
