@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,6 +13,7 @@ WHITESPACE = r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{202
 WORD_CHARS = r"\p{L}\p{N}_"
 SPACES = "".join(map(chr, [*range(0x9, 0xe), *range(0x1c, 0x20), 0x85, 0xa0, 0x1680, *range(0x2000, 0x200b), 0x2028, 0x2029,
                            0x202f, 0x205f, 0x3000]))     # the same but for the blank itself, one by one
+ODD_SPACE = WHITESPACE.replace(r"\x1c-\x20", r"\x1c-\x1f")   # the class without the blank
 # Code points that canonical composition never touches. A text made of them alone is already NFC.
 NFC_STABLE = (
     r"\x{0}-\x{2ff}\x{38e}-\x{482}\x{48a}-\x{52f}\x{200b}-\x{20cf}\x{2190}-\x{2328}\x{2500}-\x{27bf}"
@@ -56,6 +60,19 @@ def tokens(text: Column, level: str = "word", lowercase: bool = False) -> Column
     return (word_tokens if level == "word" else char_tokens)(text, lowercase)
 
 
+def matches(text: Column, pattern: str) -> Column:
+    """``rlike`` for alternatives without groups. Plain words among them are searched as bytes, which takes a fraction of the
+    time that a regular expression takes to try them at every character."""
+    parts = re.findall(r"(?:\[[^\]]*\]|[^|\[])+", pattern)
+    if "|".join(parts) != pattern or set(pattern) & set("()\\"):
+        return text.rlike(pattern)
+    plain = [p for p in parts if not set(p) & set(".^$*+?{}[]")]
+    found = [F.contains(text, F.lit(p)) for p in plain]
+    if len(plain) < len(parts):
+        found.append(text.rlike("|".join(p for p in parts if p not in plain)))
+    return functools.reduce(Column.__or__, found)
+
+
 def exact_key(text: Column) -> Column:
     """Key of texts that differ in case only: 64 hex characters instead of the text itself."""
     return F.sha2(F.lower(text), 256)

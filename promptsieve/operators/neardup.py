@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from promptsieve.functions.text import WHITESPACE
+from promptsieve.functions.text import ODD_SPACE, WHITESPACE
 from promptsieve.operators.lookup import BROADCAST_ROWS, bounded
 from promptsieve.session import materialized
 
@@ -34,7 +34,7 @@ MIN_PERCENT = 80
 BANDS, BAND_ROWS = 25, 5
 IDLE_ROUNDS = 2     # rounds without a new link after which the search ends
 NAME_DIGITS = 15    # hexadecimal digits of a class name
-BLOCK = 4096        # shingles that are hashed at once, so that a long text needs no more memory
+BLOCK = 256         # shingles that are hashed at once: 256 KB, which stay in a core's cache
 OUTSIDERS = 4       # classes outside the largest family of a band, up to which the band is always closed
 CLOSING_PAIRS = 4   # pairs per class up to which a round closes more bands, those with the fewest classes outside first
 SKETCH_BITS = 1024
@@ -49,8 +49,10 @@ _powers = {"up": np.ones(1, dtype=np.uint64), "down": np.ones(1, dtype=np.uint64
 
 
 def canonical(text: Column) -> Column:
-    """Lower-cased words with one space between them."""
-    return F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), f"[{WHITESPACE}]+", " "))
+    """Lower-cased words with one space between them. Texts that have no other white space are left as they are."""
+    text = F.coalesce(text, F.lit(""))
+    is_spaced = ~F.contains(text, F.lit("  ")) & ~text.rlike(f"[{ODD_SPACE}]")
+    return F.trim(F.when(is_spaced, F.lower(text)).otherwise(F.regexp_replace(F.lower(text), f"[{WHITESPACE}]+", " ")))
 
 
 def class_name(text: Column) -> Column:
@@ -96,7 +98,8 @@ def band_keys(values: np.ndarray) -> np.ndarray | None:
         return None
     low = np.full(BANDS * BAND_ROWS, np.iinfo(np.uint64).max, dtype=np.uint64)
     for at in range(0, len(values), BLOCK):
-        block = values[at:at + BLOCK, None] * _FACTORS + _SHIFTS
+        block = values[at:at + BLOCK, None] * _FACTORS
+        block += _SHIFTS
         block ^= block >> np.uint64(29)
         np.minimum(low, block.min(axis=0), out=low)
     folded = np.arange(BANDS, dtype=np.uint64)

@@ -128,7 +128,7 @@ def ruled(model: str, text=None):
     """Class that a text rule gives."""
     text = F.col("text") if text is None else text
     two, one = RULES[model]
-    return F.when(text.rlike(two), 2).when(text.rlike(one), 1).otherwise(0)
+    return F.when(tx.matches(text, two), 2).when(tx.matches(text, one), 1).otherwise(0)
 
 
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -212,3 +213,14 @@ def test_many_pairs_of_few_classes_move_few_sets(spark, monkeypatch, capsys):
     links.explain()
     assert capsys.readouterr().out.count("LeftSemi") == 2       # one on either side
     assert {(r.u, r.v) for r in links.collect()} == {(0, 2), (0, 4), (2, 4), (1, 3)}
+
+
+def test_texts_of_single_blanks_need_no_replacement(spark):
+    """The canonical form is the same whether or not a text passes the test for other white space."""
+    texts = ["", None, "a b", " A b ", "a  b", "a\tb", "a \n b", "a b", "a 　b", "\x1fa", "İ x", "a\x00b", "  ", "\x85"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    whole = F.trim(F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), f"[{neardup.WHITESPACE}]+", " "))
+    got = df.select(neardup.canonical(F.col("text")).alias("c"), whole.alias("w")).collect()
+    assert [r.c for r in got] == [r.w for r in got]
+    blocked = neardup.band_keys(np.arange(1, 2000, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    assert neardup.BLOCK * neardup.BANDS * neardup.BAND_ROWS * 8 <= 1 << 18 and blocked.shape == (neardup.BANDS,)

@@ -136,3 +136,14 @@ def test_packed_runs_equal_the_strings(spark):
     assert [k for _, k in ordered] == sorted(k for _, k in ordered)
     with pytest.raises(ValueError):
         charcodes.counted_runs(F.col("t"), (7,))
+
+
+def test_alternatives_match_as_the_pattern_does(spark):
+    """Plain words are no regular expression in the plan, and the rows are those of the pattern."""
+    rows = ["an idiot", "Idiot", "", None, "a<!--b", "12345", "123", "#$%", "# $%", "system =", "***", "*|*", "ab(c", "x.y", "xzy"]
+    df = spark.createDataFrame([(r,) for r in rows], "text string")
+    for pattern in ("idiot|moron", "[#$%&]{3}|[0-9]{4}", "idiot|<!--", "system =|[*]{3}", "b|(a|x)", "[|*]{3}", "x.y", r"x\.y|q"):
+        got = df.select(tx.matches(F.col("text"), pattern).alias("m"), F.col("text").rlike(pattern).alias("w")).collect()
+        assert [r.m for r in got] == [r.w for r in got]
+    plan = df.select(tx.matches(F.col("text"), "idiot|moron"))._jdf.queryExecution().toString()
+    assert "RLIKE" not in plan.upper()
