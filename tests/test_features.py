@@ -34,6 +34,33 @@ def test_vocab_cut_breaks_ties_by_first_occurrence(spark):
     assert [r.token for r in v.orderBy("id").collect()] == ["<pad>", "<unk>", "m", "q"]
 
 
+def test_encode_needs_no_shuffle_and_cuts_long_texts_in_full(spark, monkeypatch):
+    """Long words, white space and odd characters before the last kept token; the joined form has the same ids."""
+    rows = ["a z b", "", None, "b " * 9, "x" * 100 + " a b", " " * 90 + "a", "a b a" + "b" * 70, "a" * 39 + " b", "é😀 a", "a,b"]
+    df = texts(spark, rows)
+    v = vocab.build_vocab(texts(spark, ["a a b b , ,", "a" * 39 + " " + "a" * 39]), min_freq=2)
+    got = vocab.encode(df, v, 5)
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(vocab, "BROADCAST_ROWS", 0)
+    want = {r.row_id: r.ids for r in vocab.encode(df, v, 5).collect()}
+    assert {r.row_id: r.ids for r in got.collect()} == want and got.dtypes == vocab.encode(df, v, 5).dtypes
+
+
+@pytest.mark.parametrize("level", ["word", "char"])
+def test_tokens_are_counted_in_chunks(spark, level):
+    """Frequency and first position in (row, position) order, whatever order rows and null keys arrive in."""
+    rows = [(7, "b a b"), (-3, "c, a😀"), (7, "q b"), (None, "n n a"), (2, None), (5, ""), (1 << 40, "zz b")]
+    got = {r.token: (r.n, r.first) for r in vocab.token_counts(
+        spark.createDataFrame(rows, "row_id bigint, text string").coalesce(1), level).collect()}
+    want = {}
+    for row_id, text in rows:
+        for at, t in enumerate(re.findall(r"\w+|[^\w\s]", text or "") if level == "word" else text or ""):
+            n, first = want.get(t, (0, None))
+            place = None if row_id is None else row_id * (1 << 31) + at
+            want[t] = n + 1, min((p for p in (first, place) if p is not None), default=None)
+    assert got == want
+
+
 def test_cached_vocab_follows_the_corpus(spark, tmp_path):
     first = sinks.get_or_build_vocab(texts(spark, ["a a"]), str(tmp_path))
     other = sinks.get_or_build_vocab(texts(spark, ["b b"]), str(tmp_path))
