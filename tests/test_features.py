@@ -162,3 +162,13 @@ def test_prune_agrees_for_many_thresholds(spark):
 def test_empty_references_keep_everything(spark):
     empty = reference_texts(texts(spark, ["x"]).where("row_id < 0"))
     assert {r.max_sim for r in max_similarity(texts(spark, CANDS), empty).collect()} == {0.0}
+
+
+def test_weights_come_term_by_term(spark):
+    """Rows of one term stand together, so that their term, index and df take no space where they are stored; a lookup is made
+    once per term and not per entry."""
+    df = texts(spark, [" ".join(f"w{(i * k) % 40}" for k in range(1, 30)) for i in range(300)]).coalesce(1)
+    spec = TermSpec("char", "char", (3, 4))
+    rows = tfidf.weights(df, tfidf.fit(df, spec), spec).collect()
+    changes = sum(a.idx != b.idx for a, b in zip(rows, rows[1:]))
+    assert changes + 1 == len({r.idx for r in rows}) and len({(r.row_id, r.term) for r in rows}) == len(rows)
