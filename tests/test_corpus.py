@@ -175,6 +175,12 @@ def test_judged_rules_store_no_texts(spark, tables, stored, name):
     assert len(stored) == 1 and "text" not in stored[0]
 
 
+@pytest.mark.parametrize("name", ["q_encode", "q_tfidf_transform"])
+def test_features_store_what_they_read(spark, tables, stored, name):
+    assert catalog.QUERIES[name](spark, tables).count() > 0
+    assert stored[0] == {"split", "row_id", "text"}
+
+
 def test_splits_are_written_once(spark, tables, stored):
     assert catalog.q_splits_round_trip(spark, tables).count() == 43
     assert stored == []
